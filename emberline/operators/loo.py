@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import MAD_SCALE
+from emberline.operators.layers import Layer, layered
 from emberline.operators.ranks import (
     broadcast_if_small,
     join_on,
@@ -91,42 +92,34 @@ def _loo_record_large(rows: DataFrame, keys: list[str], value: str) -> DataFrame
     return full.select(*keys, F.struct("n", "n_pos", "n_neg", "mid", "centre", "dev").alias("loo"))
 
 
-def _without(n: Column, mid: Column, v: Column) -> Column:
-    """Median of the group after one member of value ``v`` is taken out."""
-    a = F.when(v <= mid[0], mid[1]).otherwise(mid[0])
-    b = F.when(v <= mid[1], mid[2]).otherwise(mid[1])
-    return F.when(n % 2 == 0, a).when(n > 1, (a + b) / 2.0)
+def loo_layers(r: str, v: str, p: str) -> list[Layer]:
+    """Three layers giving <p>_n, <p>_med, <p>_mad from a record column and a value column.
 
-
-def loo_count(loo: Column, v: Column) -> Column:
-    """Peers behind the statistic: the member itself counts only if it is in the group."""
-    return F.coalesce(loo["n"], F.lit(0)) - F.when(v.isNotNull(), 1).otherwise(0)
-
-
-def loo_median(loo: Column, v: Column) -> Column:
-    """LOO median for a member value; a NULL value is not a member, so nothing is removed."""
-    return F.when(v.isNull(), loo["centre"][3]).otherwise(_without(loo["n"], loo["mid"], v))
-
-
-def loo_mad(loo: Column, v: Column) -> Column:
-    mid = loo["mid"]
-    # with n = 1 there is no peer; with a = 0 the first comparison is NULL and falls through
-    i = F.when(v <= mid[0], 0).when(v <= mid[1], 1).otherwise(2)
-    centre, dev = F.get(loo["centre"], i), F.get(loo["dev"], i)
-    inside = _without(loo["n"], dev, F.abs(v - centre))
-    return F.when(v.isNull(), median_of_middle(loo["n"], loo["dev"][3])).otherwise(inside)
-
-
-def loo_scale(loo: Column, v: Column, floor: Column) -> Column:
-    return F.greatest(MAD_SCALE * loo_mad(loo, v), floor)
-
-
-def group_mad(loo: Column) -> Column:
-    return median_of_middle(loo["n"], loo["dev"][3])
+    A NULL value is not a member of the group, so nothing is removed for it.
+    """
+    d = f"abs({v} - {p}_med)"
+    lo = f"IF({d} <= {p}_dv[0], {p}_dv[1], {p}_dv[0])"
+    hi = f"IF({d} <= {p}_dv[1], {p}_dv[2], {p}_dv[1])"
+    return [
+        {
+            f"{p}_i": F.expr(
+                f"CASE WHEN {v} IS NULL THEN 3 WHEN {v} <= {r}.mid[0] THEN 0 WHEN {v} <= {r}.mid[1] THEN 1 ELSE 2 END"
+            ),
+            f"{p}_n": F.expr(f"coalesce({r}.n, 0L) - int({v} IS NOT NULL)"),
+        },
+        {f"{p}_med": F.expr(f"{r}.centre[{p}_i]"), f"{p}_dv": F.expr(f"{r}.dev[{p}_i]")},
+        {
+            f"{p}_mad": F.expr(
+                f"CASE WHEN {p}_i = 3 THEN IF({r}.n % 2 = 1, {p}_dv[1], ({p}_dv[0] + {p}_dv[1]) / 2D) "
+                f"WHEN {p}_n < 1 THEN NULL WHEN {r}.n % 2 = 0 THEN {lo} ELSE ({lo} + {hi}) / 2D END"
+            )
+        },
+    ]
 
 
-def group_med(loo: Column) -> Column:
-    return loo["centre"][3]
+def group_mad(rec: str) -> Column:
+    """MAD of the whole group (nobody removed) from its record."""
+    return F.expr(f"IF({rec}.n % 2 = 1, {rec}.dev[3][1], ({rec}.dev[3][0] + {rec}.dev[3][1]) / 2D)")
 
 
 def with_loo(
@@ -134,22 +127,12 @@ def with_loo(
     keys: Sequence[str],
     value: str,
     floor: Column | None = None,
-    prefix: str = "loo_",
+    prefix: str = "loo",
     skewed: bool | None = None,
 ) -> DataFrame:
-    """Rows plus <prefix>n, <prefix>median, <prefix>mad, <prefix>scale of their peers."""
-    rec = loo_record(df, keys, value, skewed)
-    v = F.col(value)
-    out = join_on(df, rec, list(keys), "left")
-    loo = F.col("loo")
-    out = out.withColumns(
-        {
-            f"{prefix}n": loo_count(loo, v),
-            f"{prefix}median": loo_median(loo, v),
-            f"{prefix}mad": loo_mad(loo, v),
-        }
-    )
+    """Rows plus <prefix>_n, _med, _mad, _scale of their peers."""
+    rec = loo_record(df, keys, value, skewed).withColumnRenamed("loo", "__rec")
     fl = F.lit(0.0) if floor is None else floor
-    return out.withColumn(
-        f"{prefix}scale", F.greatest(MAD_SCALE * F.col(f"{prefix}mad"), fl)
-    ).drop("loo")
+    scale = {f"{prefix}_scale": F.greatest(MAD_SCALE * F.col(f"{prefix}_mad"), fl)}
+    out = layered(join_on(df, rec, list(keys), "left"), [*loo_layers("__rec", value, prefix), scale])
+    return out.drop("__rec", f"{prefix}_i", f"{prefix}_dv")
