@@ -68,27 +68,35 @@ def screen_components(
     comp = evidence.groupBy("as_of_hours", "component_id", "lot_id").agg(
         F.array_sort(F.collect_list(item), lambda a, b: a["ordinal"] - b["ordinal"]).alias("params")
     )
-    comp = comp.withColumns(
-        {
-            "x": F.transform("params", lambda p: p["joint_x"]),
-            "joint_m": F.transform("params", lambda p: p["joint_m"]),
-            "joint_s": F.transform("params", lambda p: p["joint_s"]),
-        }
+    comp = _with_joint(comp, telemetry, as_of, reg, "p.now IS NOT NULL")
+    comp = fuse_component(comp)
+    return comp.select("as_of_hours", "component_id", "lot_id", "final", "joint", "params")
+
+
+def joint_only(
+    telemetry: DataFrame, as_of: int | Iterable[int], reg: Registry = REGISTRY, skewed: bool | None = None
+) -> DataFrame:
+    """Joint evidence alone: component rows with ``joint``."""
+    s = contextual_series(telemetry, as_of, reg, ("joint",), False, skewed)
+    s = layered(s, joint_input_layers())
+    comp = s.groupBy("as_of_hours", "component_id", "lot_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct(reg.lookup("ordinal").alias("ordinal"), "has_now", "joint_x", "joint_m", "joint_s"))
+        ).alias("params")
     )
-    comps = components(telemetry, _horizons(as_of), reg)
-    now_any = comps.select(
-        "as_of_hours", "component_id", "lot_id",
-        F.exists("readings", lambda r: r["elapsed_hours"] == F.col("as_of_hours")).alias("now_any"),
-        "readings",
+    return _with_joint(comp, telemetry, as_of, reg, "p.has_now")
+
+
+def _with_joint(comp: DataFrame, telemetry: DataFrame, as_of, reg: Registry, has_now: str) -> DataFrame:
+    comp = comp.withColumns(
+        {c: F.expr(f"transform(params, p -> p.{src})") for c, src in (("x", "joint_x"), ("joint_m", "joint_m"), ("joint_s", "joint_s"))}
+        | {"now_any": F.expr(f"exists(params, p -> {has_now})")}
     )
-    vectors = series_vectors(now_any, reg)
-    moments = lot_moments(vectors, len(reg.parameters))
-    comp = comp.withColumn(
-        "now_any", F.exists("params", lambda p: p["now"].isNotNull())
+    comps = components(telemetry, _horizons(as_of), reg).withColumn(
+        "now_any", F.expr("exists(readings, r -> r.elapsed_hours = as_of_hours)")
     )
-    comp = joint_distance(comp, moments, reg.names)
-    comp = fuse_component(comp)
-    return comp.select("as_of_hours", "component_id", "lot_id", "final", "joint", "params")
+    moments = lot_moments(series_vectors(comps, reg), len(reg.parameters))
+    return joint_distance(comp, moments, reg.names)
 
 
 def series_vectors(comps: DataFrame, reg: Registry = REGISTRY) -> DataFrame:
