@@ -82,7 +82,7 @@ def joint_distance(rows: DataFrame, moments: DataFrame, params: Sequence[str]) -
     total = parts[0]
     for q in parts[1:]:
         total = total + q
-    df = df.withColumn("__d", F.sqrt(F.greatest(F.lit(0.0), total)))
+    df = df.withColumn("__q", total).withColumn("__d", F.expr("IF(__q IS NULL, NULL, sqrt(greatest(0D, __q)))"))
     d = F.col("__d")
     hit = F.coalesce(d >= JOINT_LIMIT, F.lit(False))
     lacking = (F.col("joint_lot") < MIN_JOINT_LOT) | ~F.col("now_any")

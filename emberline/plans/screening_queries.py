@@ -148,10 +148,10 @@ def cusum(spark, d):
     return s.where("has_now AND size(obs) >= 2").select(*ID, r6("drift.cusum", 4).alias("cusum"), "drift.persistent")
 
 
-@query("d_joint", COMPONENTS + f" SELECT component_id, {o6('d', 3)} AS distance, coalesce(d >= 4.25, false) AS suspected FROM cf")
+@query("d_joint", COMPONENTS + f" SELECT component_id, {o6('d', 4)} AS distance, coalesce(d >= 4.25, false) AS suspected FROM cf")
 def d_joint(spark, d):
     c = S.joint_only(tel(spark, d), T)
-    return c.select("component_id", r6("joint.distance", 3).alias("distance"), "joint.suspected")
+    return c.select("component_id", r6("joint.distance", 4).alias("distance"), "joint.suspected")
 
 
 @query(
