@@ -67,14 +67,14 @@ def _bucketed(rows: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFra
     split = cut(
         rows.groupBy(*keys).agg(
             F.count(value).alias("__n"),
-            F.percentile_approx(value, fractions, 20 * SPLITTERS).alias("__s"),
+            F.percentile_approx(value, fractions, 20 * SPLITTERS).alias("__splitters"),
         )
     )
     tagged = join_on(rows, broadcast_if_small(split), keys, "inner")
     tagged = tagged.withColumn(
-        "__b", F.size(F.filter("__s", lambda s: s < F.col(value)))
-    ).drop("__s")
-    return tagged, split.drop("__s")
+        "__b", F.size(F.filter("__splitters", lambda s: s < F.col(value)))
+    ).drop("__splitters")
+    return tagged, split.drop("__splitters")
 
 
 def _pick_large(rows: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:

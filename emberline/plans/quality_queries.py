@@ -330,8 +330,8 @@ def slice_changes(spark, d):
     W + EVR + """ SELECT event_id, elapsed_hours, previous_hours FROM (SELECT *, lag(elapsed_hours) OVER (PARTITION BY component_id, parameter_name ORDER BY event_id % 1000, event_id) AS previous_hours FROM evr) WHERE elapsed_hours < previous_hours""",
 )
 def monotonic_time(spark, d):
-    ev = A.event_readings(spark, d).withColumn("arrival", F.struct(F.col("event_id") % 1000, "event_id"))
-    return Q.out_of_order(ev, "arrival").select("event_id", "elapsed_hours", "previous_hours")
+    ev = A.event_readings(spark, d).withColumn("arrival", (F.col("event_id") % 1000) * 10000000 + F.floor(F.col("event_id") / 1000))
+    return Q.out_of_order(ev, "arrival", 10000000).select("event_id", "elapsed_hours", "previous_hours")
 
 
 @query(
