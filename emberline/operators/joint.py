@@ -3,15 +3,17 @@
 Every member is standardised by statistics that exclude it, so its reference matrix is its
 own.  But that matrix only needs sums, cross sums and a count of the lot's complete vectors,
 shifted by the member's leave-one-out centre, minus the member itself.  The sums are one
-combined aggregate per lot; the per-member matrix and its solve are native column arithmetic
-(an LDL' factorisation of a 4 x 4), so a lot never meets in one task and no Python runs.
+combined aggregate per lot and the member's matrix entries are column arithmetic, so a lot
+never meets in one task; only the small symmetric solves run in vectorised Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import MAD_SCALE, score_joint
@@ -44,45 +46,54 @@ def lot_moments(vectors: DataFrame, p: int) -> DataFrame:
     return vectors.groupBy("as_of_hours", "lot_id").agg(*aggs)
 
 
+def _solver():
+    """R^-1 z for a batch of members: one vectorised solve per Arrow batch of lower triangles."""
+    @F.pandas_udf("array<double>")
+    def solve(tri: pd.Series, z: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(tri), dtype=object)
+        ok = tri.notna().to_numpy()
+        if ok.any():
+            zz = np.stack(z[ok].to_numpy())
+            p = zz.shape[1]
+            low = np.tril_indices(p)
+            m = np.zeros((len(zz), p, p))
+            m[:, low[0], low[1]] = np.stack(tri[ok].to_numpy())
+            m[:, low[1], low[0]] = m[:, low[0], low[1]]
+            w = np.linalg.solve(m, zz[..., None])[..., 0]
+            out[ok] = pd.Series(list(w), index=out.index[ok])
+        return out
+
+    return solve
+
+
 def joint_distance(rows: DataFrame, moments: DataFrame, params: Sequence[str]) -> DataFrame:
     """Component rows with arrays x, joint_m, joint_s + moments -> ``joint`` evidence struct."""
     p = len(params)
     df = rows.join(moments, ["as_of_hours", "lot_id"], "left")
-    x, m, s = (F.col(c) for c in ("x", "joint_m", "joint_s"))
+    x = F.col("x")
     ready = (
         ~F.exists(x, lambda v: v.isNull())
         & (F.col("joint_lot") >= MIN_JOINT_LOT)
         & (F.col("joint_n") - 1 >= MIN_JOINT_PEERS)
     )
     df = df.withColumn("__ready", ready)
-    n = F.col("joint_n")
-    first: Layer = {}
+    z = ", ".join(f"(x[{i}] - joint_m[{i}]) / joint_s[{i}]" for i in range(p))
+    cells = []
     for i in range(p):
-        first[f"z{i}"] = F.when(F.col("__ready"), (x[i] - m[i]) / s[i])
         for j in range(i + 1):
             e = (
                 f"(s{i}{j} - joint_m[{j}] * s{i} - joint_m[{i}] * s{j} + joint_n * joint_m[{i}] * joint_m[{j}] "
                 f"- (x[{i}] - joint_m[{i}]) * (x[{j}] - joint_m[{j}])) / (joint_s[{i}] * joint_s[{j}] * (joint_n - 2))"
             )
-            first[f"r{i}{j}"] = F.expr(f"IF(__ready, {1.0 - SHRINK}D * {e} + {SHRINK if i == j else 0.0}D, NULL)")
-    df = df.withColumns(first)
-    # LDL' pivot by pivot: pivot j and column j of L, then forward and back substitution
-    for j in range(p):
-        pivot = f"r{j}{j}" + "".join(f" - l{j}{k} * l{j}{k} * d{k}" for k in range(j))
-        fwd = f"z{j}" + "".join(f" - l{j}{k} * y{k}" for k in range(j))
-        df = df.withColumns({f"d{j}": F.expr(f"nullif({pivot}, 0D)"), f"y{j}": F.expr(fwd)})
-        below = {
-            f"l{i}{j}": F.expr(f"(r{i}{j}" + "".join(f" - l{i}{k} * l{j}{k} * d{k}" for k in range(j)) + f") / d{j}")
-            for i in range(j + 1, p)
-        }
-        df = df.withColumns(below) if below else df
-    for i in reversed(range(p)):
-        df = df.withColumn(f"w{i}", F.expr(f"y{i} / d{i}" + "".join(f" - l{k}{i} * w{k}" for k in range(i + 1, p))))
-    parts = [F.col(f"z{i}") * F.col(f"w{i}") for i in range(p)]
-    total = parts[0]
-    for q in parts[1:]:
-        total = total + q
-    df = df.withColumn("__q", total).withColumn("__d", F.expr("IF(__q IS NULL, NULL, sqrt(greatest(0D, __q)))"))
+            cells.append(f"{1.0 - SHRINK}D * {e} + {SHRINK if i == j else 0.0}D")
+    df = df.withColumns(
+        {"__z": F.expr(f"IF(__ready, array({z}), NULL)"), "__r": F.expr(f"IF(__ready, array({', '.join(cells)}), NULL)")}
+    )
+    df = df.withColumn("__p", F.zip_with("__z", _solver()("__r", "__z"), lambda u, w: u * w))
+    df = df.withColumn(
+        "__d", F.expr("IF(__p IS NULL, NULL, sqrt(greatest(0D, aggregate(__p, 0D, (t, v) -> t + v))))")
+    )
+    parts = [F.col("__p")[i] for i in range(p)]
     d = F.col("__d")
     hit = F.coalesce(d >= JOINT_LIMIT, F.lit(False))
     lacking = (F.col("joint_lot") < MIN_JOINT_LOT) | ~F.col("now_any")

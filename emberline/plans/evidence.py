@@ -7,19 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.reporting import action
+
 
 def lot_statuses(components: DataFrame) -> DataFrame:
-    """component -> state per lot, as one ordered text per chunk-free lot listing.
-
-    The listing *is* the feature (one entry per component of the lot); for lots that do not fit
-    a cell use the component table itself.
-    """
-    return components.groupBy("lot_id").agg(
-        F.count(F.lit(1)).alias("n_components"),
-        F.array_join(
-            F.sort_array(F.collect_list(F.concat("component_id", F.lit("="), "final.state"))), ","
-        ).alias("statuses"),
-    )
+    """lot -> component -> state, one row per component (a lot is never gathered in a cell)."""
+    return components.select("lot_id", "component_id", "final.state", action("final.state").alias("action"))
 
 
 def equipment_diagnostics(s: DataFrame) -> DataFrame:

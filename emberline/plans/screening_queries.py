@@ -260,7 +260,10 @@ def state_evolution(spark, d):
     return c.groupBy("as_of_hours", "final.state", "final.qualifier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lot_statuses", COMPONENTS + " SELECT lot_id, count(*) AS n_components, string_agg(component_id || '=' || state, ',' ORDER BY component_id) AS statuses FROM cf GROUP BY 1")
+@query(
+    "lot_statuses",
+    COMPONENTS + " SELECT lot_id, component_id, state, CASE state WHEN 'FAIL' THEN 'REJECT_COMPONENT' WHEN 'EQUIPMENT_SUSPECTED' THEN 'INSPECT_EQUIPMENT_AND_RETEST' WHEN 'HOLD' THEN 'QUARANTINE_FOR_RETEST' WHEN 'INSUFFICIENT_DATA' THEN 'COMPLETE_MEASUREMENTS' ELSE 'CONTINUE_SCREENING' END AS action FROM cf",
+)
 def lot_statuses(spark, d):
     return E.lot_statuses(S.screen_components(tel(spark, d), T))
 
