@@ -213,13 +213,12 @@ def zero_anchored(spark, d):
     return out(anchored(spark, d), "u_hat", regime="regime")
 
 
-# v24 comes back through exp(ln(v)): its last-digit noise is rounded away before the reported digits
-CI_COLS = {"predicted": "y", "low_90": "l90", "high_90": "h90", "low_95": "l95", "high_95": "h95"}
+CI_COLS = {"low_90": "l90", "high_90": "h90", "low_95": "l95", "high_95": "h95"}
 
 
-@query("conformal_intervals", W + ZA + " SELECT component_id, parameter_name, " + ", ".join(f"{o6(f'round({v}, 9)', 4)} AS {k}" for k, v in CI_COLS.items()) + " FROM ci")
+@query("conformal_intervals", W + ZA + " SELECT component_id, parameter_name, " + ", ".join(f"{o6(v, 4)} AS {k}" for k, v in CI_COLS.items()) + " FROM ci")
 def conformal_intervals(spark, d):
-    return anchored(spark, d).select(*ID, *[r6(F.round(c, 9), 4).alias(c) for c in CI_COLS])
+    return anchored(spark, d).select(*ID, *[r6(c, 4).alias(c) for c in CI_COLS])
 
 
 @query("threshold_crossing", W + ZA + " SELECT component_id, CASE WHEN h90 < 60 THEN 'BELOW' WHEN l90 > 60 THEN 'ABOVE' ELSE 'CROSSES' END AS at_60, CASE WHEN h90 < 65 THEN 'BELOW' WHEN l90 > 65 THEN 'ABOVE' ELSE 'CROSSES' END AS at_65 FROM ci WHERE parameter_name = 'RDS(on)'")
@@ -345,11 +344,11 @@ def production(spark, d):
 @query(
     "production_forecast",
     W + ADV + f""", w AS (SELECT component_id, parameter_name, max(value) FILTER (elapsed_hours = 0) AS a, max(value) FILTER (elapsed_hours = 24) AS b FROM tel WHERE elapsed_hours IN (0, 24) GROUP BY 1, 2)
-SELECT w.component_id, w.parameter_name, CASE WHEN w.a IS NULL THEN 'MISSING_0H' WHEN w.b IS NULL THEN 'MISSING_24H' END AS refusal, regime, {o6('round(y, 9)', 4)} AS predicted, coalesce(advisory, 'INSUFFICIENT_DATA') AS advisory
+SELECT w.component_id, w.parameter_name, CASE WHEN w.a IS NULL THEN 'MISSING_0H' WHEN w.b IS NULL THEN 'MISSING_24H' END AS refusal, regime, {o6('l90', 4)} AS low_90, {o6('h90', 4)} AS high_90, coalesce(advisory, 'INSUFFICIENT_DATA') AS advisory
 FROM w LEFT JOIN adv ON adv.component_id = w.component_id AND adv.parameter_name = w.parameter_name""",
 )
 def production_forecast(spark, d):
-    return out(production(spark, d).withColumn("predicted", F.round("predicted", 9)), "predicted", digits=4, refusal="refusal", regime="regime", advisory="advisory")
+    return out(production(spark, d), "low_90", "high_90", digits=4, refusal="refusal", regime="regime", advisory="advisory")
 
 
 @query(
