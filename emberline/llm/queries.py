@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.catalog import ORACLES, QUERIES, query
 from emberline.llm.near_text import near_duplicates
+from emberline.llm.packing import pack
+from emberline.llm.quality import COUNTS, quality_rules
 from emberline.llm.tables import read
 
 
@@ -15,4 +17,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op7_sum_of_squares_packing")
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op8_compression_quality")
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 __all__ = ["ORACLES", "QUERIES"]
