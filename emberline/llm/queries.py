@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberline.llm.catalog import ORACLES, QUERIES, query
+from emberline.llm import lines, mixing
+from emberline.llm.lines import drop_boilerplate_lines
+from emberline.llm.mixing import mix_sources
 from emberline.llm.near_text import near_duplicates
 from emberline.llm.packing import pack
 from emberline.llm.quality import COUNTS, quality_rules
+from emberline.llm.sharding import shard_by_bytes
 from emberline.llm.tables import read
 
 
+@query("op1_site_line_dedup", lines.ORACLE)
+def op1_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op3_histogram_sort_sharding")
+def op3_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(read(spark, sf_dir, "documents"), shards=24)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
@@ -27,4 +44,9 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@query("op10_pareto_mixing", mixing.ORACLE)
+def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 __all__ = ["ORACLES", "QUERIES"]
