@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.catalog import ORACLES, QUERIES, query
-from emberline.llm import lines, mixing
+from emberline.llm import hosts, lines, mixing
+from emberline.llm.hosts import judge_urls
 from emberline.llm.lines import drop_boilerplate_lines
 from emberline.llm.mixing import mix_sources
 from emberline.llm.near_text import near_duplicates
 from emberline.llm.packing import pack
+from emberline.llm.privacy import KINDS, sanitise
 from emberline.llm.quality import COUNTS, quality_rules
 from emberline.llm.sharding import shard_by_bytes
 from emberline.llm.tables import read
@@ -34,6 +36,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op5_disclosure_sanitising")
+def op5_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(read(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+
+
+@query("op6_host_trust", hosts.ORACLE)
+def op6_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op7_sum_of_squares_packing")
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents")).drop("ids")
