@@ -19,6 +19,7 @@ from emberline.llm.shingles import WordHashes, band_keys, circulant_signatures,
 from emberline.llm.tables import cut, is_empty, slices, text_bytes, without
 
 BANDS, ROWS = 16, 4
+FIRST_BANDS = 4
 LEADER_ROUNDS = 3
 _SKETCH = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("cls", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("cls", pa.string()), ("members", pa.binary())])
@@ -91,12 +92,16 @@ def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     # shingles of one member only sort first and can be shared with nobody, so only their number matters
     order = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = cut(ranked.select("cls", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).select("cls", "root", "shingle"))
+    prefix = cut(ranked.select("cls", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).drop("df"))
     sizes = prefix.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
     held = prefix.join(main, "shingle")
-    minor = held.where("root <> main").select("shingle", F.col("cls").alias("x"), F.col("root").alias("rx"))
-    return _proper(minor.join(held.select("shingle", F.col("cls").alias("y"), F.col("root").alias("ry")), "shingle").where("rx <> ry"), "x", "y")
+    minor = held.where("root <> main").select("shingle", F.col("cls").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    other = held.select("shingle", F.col("cls").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    # the first shared shingle is followed by all the others, of which such a pair has so many
+    shared = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    fits = (F.col("rx") != F.col("ry")) & (F.col("ix") <= F.col("nx") - shared + 1) & (F.col("iy") <= F.col("ny") - shared + 1)
+    return _proper(minor.join(other, "shingle").where(fits), "x", "y")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,26 +155,28 @@ def _class_roots(sketch: DataFrame, rows_of: DataFrame, words: int, percent: int
     """(cls, root) of the classes that are linked with another class."""
     spark = sketch.sparkSession
     none = spark.createDataFrame([], "cls string, root string")
-    keyed = sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).select("cls", "d", F.explode("bands").alias("bucket"))
+    keyed = sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).select("cls", "d", F.posexplode("bands").alias("band", "bucket"))
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
     held = cut(keyed.join(crowded, "bucket"))
     if is_empty(held):
         return none
     located = held.select("cls", "d").distinct()
     sets = cut(rows_of.join(located.select("cls", F.col("d").alias("at")), F.col("d").eqNullSafe(F.col("at"))).select("cls", "text").mapInArrow(_set_reader(words), "cls string, members binary").dropDuplicates(["cls"]))
-    links = _links(_proper(held, "cls", "leader"), sets, percent)
+    # a few bands settle most families; the others then have few pairs left to test
+    links = _links(_proper(held.where(F.col("band") < FIRST_BANDS), "cls", "leader"), sets, percent)
     roots = cut(_named(connected_components(links, "a", "b")))
-    # buckets of two are settled by their one pair
-    open_ = held.where("size > 2").select("bucket", "cls")
+    open_ = held.select("bucket", "cls", "size")
     for turn in range(LEADER_ROUNDS):
         open_ = _unsettled(open_, roots)
         if is_empty(open_):
             return roots
-        if turn == LEADER_ROUNDS - 1:
-            break
         leader = open_.groupBy("bucket").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("leader"))
         tried = open_.join(leader, "bucket").where("root <> leader.root").select("cls", F.col("leader.cls").alias("leader"))
         roots = _merged(roots, _links(_proper(tried, "cls", "leader"), sets, percent))
+        open_ = open_.where("size > 2")  # a bucket of two is settled by its one pair
+    open_ = _unsettled(open_, roots)
+    if is_empty(open_):
+        return roots
     rest = _residual_pairs(open_.select("cls", "root").distinct(), sets, percent)
     return _merged(roots, _links(rest, sets, percent))
 
@@ -179,8 +186,8 @@ def _named(components: DataFrame) -> DataFrame:
 
 
 def _unsettled(open_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, cls, root) of the buckets that still hold several components."""
-    now = open_.select("bucket", "cls").join(roots, "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+    """Members (bucket, cls, size, root) of the buckets that still hold several components."""
+    now = open_.select("bucket", "cls", "size").join(roots, "cls", "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
     several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     return cut(now.join(several, "bucket"))
 
