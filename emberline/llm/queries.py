@@ -11,6 +11,7 @@ from emberline.llm.hosts import judge_urls
 from emberline.llm.lines import drop_boilerplate_lines
 from emberline.llm.mixing import mix_sources
 from emberline.llm.near_text import near_duplicates
+from emberline.llm.near_vectors import near_vectors
 from emberline.llm.packing import pack
 from emberline.llm.privacy import KINDS, sanitise
 from emberline.llm.quality import COUNTS, quality_rules
@@ -23,6 +24,11 @@ def op1_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query("op2_hnsw_near_dedup")
+def op2_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), least=0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
 @query("op3_histogram_sort_sharding")
 def op3_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(read(spark, sf_dir, "documents"), shards=24)
