@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import cut, without
+from emberline.llm.tables import cut, joinable, without
 
 # (verdict, host, path) of the standing rules
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -86,7 +86,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dens
     trust, distrust = (F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("t", "d"))
     share = F.col("pages") / F.col("__all")
     bad = hosts.crossJoin(totals.select(F.col("pages").alias("__all"))).join(ranked, "host").where((distrust > trust) & (distrust >= F.round(density * share, 9))).select(F.col("host").alias("__bad"))
-    judged = own.join(bad, F.col("host") == F.col("__bad"), "left")
+    judged = own.join(joinable(bad), F.col("host") == F.col("__bad"), "left")
     verdict = F.coalesce("__kind", F.when(F.col("__bad").isNotNull(), "block"), F.lit("allow"))
     return judged.withColumn("verdict", verdict).drop("__kind", "__bad")
 

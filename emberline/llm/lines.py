@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import without
+from emberline.llm.tables import joinable, without
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -22,9 +22,8 @@ def drop_boilerplate_lines(docs: DataFrame, site: str = "source", max_ratio: flo
     Adds n_lines and n_dropped; every row is a page of its site, a page counts once for a line however often the line
     repeats in it. Lines are compared as they are; lines without a word are neither counted nor dropped. Counts are
     exact over all pages, combined per task before they are shuffled. A site keeps at most (mean distinct lines per
-    page) / max_ratio boilerplate lines, so the per-site list that meets the pages is bounded by page length; pages
-    of a hot site are joined to it by broadcast or, beyond the session's broadcast size, by a join that adaptive
-    execution splits.
+    page) / max_ratio boilerplate lines, so the per-site list that meets the pages is bounded by page length; the lists
+    are broadcast if they measure a few MB, otherwise joined by site, where adaptive execution splits a hot site.
 
     A null text stays null with 0 lines and counts as a page; an empty text has one line, a blank one. Null sites form
     one site. Repeated rows are pages of their own. An empty table gives an empty result. Extra columns pass through;
@@ -37,7 +36,7 @@ def drop_boilerplate_lines(docs: DataFrame, site: str = "source", max_ratio: flo
     held = docs.select(place.alias("__site"), F.explode(F.array_distinct(F.filter(lines, _worded))).alias("__line"))
     often = held.groupBy("__site", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     common = often.alias("o").join(pages.alias("p"), F.col("o.__site").eqNullSafe(F.col("p.__site"))).where(F.col("__n") > max_ratio * F.col("__pages"))
-    listed = common.groupBy(F.col("o.__site").alias("__site")).agg(F.collect_list("__line").alias("__common"))
+    listed = joinable(common.groupBy(F.col("o.__site").alias("__site")).agg(F.collect_list("__line").alias("__common")))
     joined = docs.join(listed, place.eqNullSafe(F.col("__site")), "left")
     hit = joined.withColumn("__lines", lines).withColumn("__bad", F.array_intersect("__lines", "__common"))
     kept = F.filter("__lines", lambda x: ~F.array_contains("__bad", x))

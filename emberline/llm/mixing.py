@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import WORD, cut, without
+from emberline.llm.tables import WORD, cut, joinable, without
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -76,11 +76,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     own = own.withColumn("__h", F.conv(F.substring(F.md5(mark), 1, 12), 16, 10).cast("long"))
     narrow = cut(own.select("source", "size", "__h"))
     sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * _class(F.col("size"))).alias("__classed"))
-    plan = cut(source_targets(sums))
+    plan = joinable(source_targets(sums))
     found = narrow.withColumnRenamed("source", "__s").join(plan, F.col("__s").eqNullSafe(F.col("source"))).where("size > 0").select("source", "size", "target", *_expected())
     certain = found.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("__whole")).alias("words"))
     # sources are numbered from here on, so that null needs no care
-    named = cut(plan.join(certain.select(F.col("source").alias("__s"), "words"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "__classed", (F.col("target") - F.coalesce("words", F.lit(0))).alias("need"), F.monotonically_increasing_id().alias("sid")))
+    named = joinable(plan.join(certain.select(F.col("source").alias("__s"), "words"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "__classed", (F.col("target") - F.coalesce("words", F.lit(0))).alias("need"), F.monotonically_increasing_id().alias("sid")))
     drawn = cut(found.where("__p > 0").join(named.select(F.col("source").alias("__s"), "need", "sid"), F.col("source").eqNullSafe(F.col("__s"))).select(F.col("sid").alias("source"), "size", "need", "__rank"))
     top = _boundary(drawn, F.shiftright("__rank", 36))
     inner = drawn.join(top, "source").where(F.shiftright("__rank", 36) == F.col("bin")).select("source", "size", "__rank", (F.col("need") - F.col("before")).alias("need"))
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     cutoff = prefix.join(closing.select("source", F.col("c.one").alias("__one")), "source", "left").withColumnRenamed("source", "sid")
     # a source without a boundary wants all its fractions (or has none)
     reached = F.coalesce("__cut", F.when(F.col("need") > 0, F.lit(1 << _BITS)).otherwise(F.lit(-1)))
-    final = named.join(cutoff, "sid", "left").select(F.col("source").alias("__s"), "source_size", "target", "__classed", reached.alias("__cut"), F.coalesce("__one", F.lit(-1)).alias("__one"))
+    final = joinable(named.join(cutoff, "sid", "left").select(F.col("source").alias("__s"), "source_size", "target", "__classed", reached.alias("__cut"), F.coalesce("__one", F.lit(-1)).alias("__one")))
     whole, p, rank = _expected()
     out = own.join(final, F.col("source").eqNullSafe(F.col("__s"))).withColumns({"__whole": whole, "__p": p}).withColumn("__rank", rank)
     extra = ((F.col("__p") > 0) & ((F.col("__rank") <= F.col("__cut")) | (F.col("__rank") == F.col("__one")))).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from emberline.llm.tables import cut, is_empty, without
+from emberline.llm.tables import cut, is_empty, joinable, without
 
 KINDS = ["email", "ip", "card", "phone"]
 GENERALISE, REMOVE = 0.8, 0.95
@@ -125,7 +125,7 @@ def revealing_terms(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
     are independent. A pair needs MIN_TEXTS different texts, so mere copies are no evidence.
     """
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), _LETTERS), lambda x: F.length(x) >= 3))
-    texts = docs.where(F.col("text").rlike("[0-9@]")).join(marked.select("h").distinct(), "h", "left_semi")
+    texts = docs.where(F.col("text").rlike("[0-9@]")).join(joinable(marked.select("h").distinct()), "h", "left_semi")
     held = cut(texts.select("h", F.explode(terms).alias("term")).distinct())
     pairs = held.join(marked, "h")
     counted = pairs.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).where(F.col("texts") >= MIN_TEXTS)
@@ -162,7 +162,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     if is_empty(marked):
         labels = labels.withColumn("more", F.lit(""))
     else:
-        terms = cut(revealing_terms(keyed, marked, base.count()))
+        terms = joinable(revealing_terms(keyed, marked, base.count()))
         found = keyed.where(F.col("text").rlike("[0-9@]")).join(terms, "h").select("h", _term_spans("text", "terms", "removed").alias("more")).dropDuplicates(["h"])
         labels = labels.join(found, "h", "left")
     whole = labels.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__base"), F.concat_ws(",", F.nullif("spans", F.lit("")), F.nullif("more", F.lit(""))).alias("spans"))

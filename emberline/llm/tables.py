@@ -36,8 +36,21 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+BROADCAST_BYTES = 8 << 20
+
+
+def joinable(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A checkpointed copy of a small side of a join, marked for broadcast if its measured size is within ``limit``.
+
+    Beyond the limit the join is an ordinary one, which adaptive execution may split where keys are hot.
+    """
+    df = cut(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-__all__ = ["WORD", "cut", "is_empty", "read", "slices", "text_bytes", "without"]
+__all__ = ["WORD", "cut", "is_empty", "joinable", "read", "slices", "text_bytes", "without"]
