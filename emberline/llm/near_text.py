@@ -7,6 +7,7 @@ meet further leaders, and what is still apart is settled exactly by prefix filte
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from emberline.llm.components import connected_components
 from emberline.llm.shingles import WordHashes, band_keys, circulant_signatures, set_digest, shingle_set, similar
 from emberline.llm.tables import cut, is_empty, slices, text_bytes, without
 
-BANDS, ROWS = 16, 4
+ROWS = 4
+MISS = 1e-5
 FIRST_BANDS = 4
 LEADER_ROUNDS = 3
 _SKETCH = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("cls", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -113,12 +115,16 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands of ``rows`` coordinates so that a pair at the threshold escapes them all with probability below ``miss``."""
+    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Adds n_shingles, class_id, component_id, kept to every row; links need 100 * intersection >= percent * union.
 
     class_id names the text's shingle set (rows of one class are linked); component_id is the smallest doc_id
-    reachable, kept says doc_id = component_id. At similarity 0.85 a pair escapes all 16 bands of 4 coordinates
-    with probability below 1e-5; at 0.8 below 3e-4, and leaders of further rounds reach most of those by a chain.
+    reachable, kept says doc_id = component_id. There are as many bands as ``bands_for`` the threshold says.
 
     Nulls: a null text is empty; empty texts have no class, are linked with nothing and keep their own id. A null
     doc_id names a component only if none of its rows has an id. Rows repeated whole or in doc_id alone are rows of
@@ -127,7 +133,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     docs = without(docs, ["n_shingles", "class_id", "component_id", "kept"])
     rows_of = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    sketch = cut(rows_of.mapInArrow(_sketcher(words, bands, rows), "d long, h long, cls string, n_shingles long, bands array<long>"))
+    sketch = cut(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
     roots = _class_roots(sketch, rows_of, words, percent)
     per_doc = sketch.select("d", "h", "cls", "n_shingles").distinct()
     rooted = per_doc.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

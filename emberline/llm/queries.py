@@ -15,6 +15,7 @@ from emberline.llm.near_vectors import near_vectors
 from emberline.llm.packing import pack
 from emberline.llm.privacy import KINDS, sanitise
 from emberline.llm.quality import COUNTS, quality_rules
+from emberline.llm.secrets import scan_secrets
 from emberline.llm.sharding import shard_by_bytes
 from emberline.llm.tables import read
 
@@ -62,6 +63,12 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@query("op9_forest_secret_scan")
+def op9_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "label", F.round("probability", 6).alias("probability"), "is_secret")
+
+
 @query("op10_pareto_mixing", mixing.ORACLE)
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

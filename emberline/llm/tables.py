@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet beside the checkpoints and read back: later passes read the columns they need."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # settles the checkpoint folder
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)
+
+
 BROADCAST_BYTES = 8 << 20
 
 
@@ -53,4 +63,4 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-__all__ = ["WORD", "cut", "is_empty", "joinable", "read", "slices", "text_bytes", "without"]
+__all__ = ["WORD", "cut", "is_empty", "joinable", "read", "slices", "stored", "text_bytes", "without"]
