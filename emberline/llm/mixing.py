@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import WORD, cut, joinable, without
+from emberline.llm.tables import WORD, cut, is_empty, joinable, without
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 SEED = 20
+PASSES = 4
+NEAR = 0.01
 _BITS = 48
 _OWN = ["size", "source_size", "target", "copies", "taken"]
 
@@ -45,11 +47,28 @@ def _class(size: Column) -> Column:
 
 
 def _boundary(rows: DataFrame, part: Column) -> DataFrame:
-    """Per source the first bin in which the running words reach ``need``: (source, bin, before)."""
-    bins = rows.groupBy("source", part.alias("bin")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    run = Window.partitionBy("source").orderBy("bin")
-    reached = bins.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") >= F.col("need"))
-    return reached.groupBy("source").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("b")).select("source", "b.bin", "b.before")
+    """Per source the bin in which the running words reach ``need``, or its last bin: (source, bin, before)."""
+    bins = rows.groupBy("source", part.alias("bin")).agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("before").alias("base"))
+    run = bins.withColumn("upto", F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+    place = F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))
+    found = run.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("need"), place)), F.max(place)).alias("b"))
+    return joinable(found.select("source", "b.bin", "b.before"))
+
+
+def _prefix(rows: DataFrame) -> DataFrame:
+    """(source, hi, words): the longest run of rows (source, size, need, __rank) in rank order whose words fit ``need``.
+
+    Two histograms of 4096 bins over the rank find the bin in 16 million where the run ends; only that one is sorted.
+    """
+    rows = rows.withColumn("before", F.lit(0).cast("long"))
+    for shift in (36, 24):
+        bin_ = F.shiftright("__rank", shift)
+        rows = rows.drop("bin").join(_boundary(rows, bin_).withColumnRenamed("before", "below"), "source").where(bin_ == F.col("bin")).drop("before").withColumnRenamed("below", "before")
+    ranks = rows.groupBy("source", "bin", "need", "before", "__rank").agg(F.sum("size").alias("words"))
+    upto = ranks.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("__rank")))
+    fits = F.col("upto") <= F.col("need")
+    ends = F.coalesce(F.max(F.when(fits, F.col("__rank"))), F.shiftleft(F.first("bin"), 24) - 1)
+    return upto.groupBy("source").agg(ends.alias("hi"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("words"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
@@ -59,12 +78,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     w is its length class over 16 and mean w the word-weighted mean of its source, so longer documents are preferred
     and the expected words are the target exactly. The whole part is allocated for certain. The fraction p is an
     inclusion probability: documents are ranked by the odds of a random number over the odds of p, and the best
-    ranked are taken while the source's words stay within the target; the sample is closed by the one document left
-    whose size comes nearest to the words still missing, if it brings them nearer. Random numbers are hashes of seed, doc_id
-    and text, so reruns agree, and rows alike in both are taken alike.
+    ranked are taken while the source's words stay within the target. Where a document too large for the rest ends
+    that more than NEAR short of the target, ranking goes on among the later ones that fit, PASSES times at most. The
+    sample is closed by the one later document whose size comes nearest to the words still missing, if it brings them
+    nearer. Random numbers are hashes of seed, doc_id and text, so reruns agree, and rows alike in both are taken alike.
 
-    The cut-off rank of a source is found by two histograms of 4096 bins over all its documents and a sort of the one
-    bin in 16 million that holds it, so a hot source never meets in one task.
+    No source is sorted or meets in one task: see ``_prefix``.
 
     A null or word-less text has size 0 and no copy; a null source is a source, the last one; null ids are hashed as
     such. Equal ranks are taken together. An empty table gives an empty result. Extra columns pass through; input
@@ -82,29 +101,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     # sources are numbered from here on, so that null needs no care
     named = joinable(plan.join(certain.select(F.col("source").alias("__s"), "words"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "__classed", (F.col("target") - F.coalesce("words", F.lit(0))).alias("need"), F.monotonically_increasing_id().alias("sid")))
     drawn = cut(found.where("__p > 0").join(named.select(F.col("source").alias("__s"), "need", "sid"), F.col("source").eqNullSafe(F.col("__s"))).select(F.col("sid").alias("source"), "size", "need", "__rank"))
-    top = _boundary(drawn, F.shiftright("__rank", 36))
-    inner = drawn.join(top, "source").where(F.shiftright("__rank", 36) == F.col("bin")).select("source", "size", "__rank", (F.col("need") - F.col("before")).alias("need"))
-    mid = _boundary(inner, F.shiftright("__rank", 24))
-    last = inner.join(mid, "source").where(F.shiftright("__rank", 24) == F.col("bin")).select("source", "size", "__rank", "bin", (F.col("need") - F.col("before")).alias("need"))
-    ranks = last.groupBy("source", "bin", "need", "__rank").agg(F.sum("size").alias("words"))
-    upto = ranks.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("__rank")))
-    fits = F.col("upto") <= F.col("need")
-    prefix = upto.groupBy("source").agg(
-        F.coalesce(F.max(F.when(fits, F.col("__rank"))), F.shiftleft(F.first("bin"), 24) - 1).alias("__cut"),
-        (F.first("need") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("gap"),
-    )
-    prefix = cut(prefix)
+    state = named.select(F.col("sid").alias("source"), F.col("need").alias("gap"), (NEAR * F.col("target")).alias("goal"), F.lit(-1).cast("long").alias("lo"), F.expr("array() :: array<struct<lo: bigint, hi: bigint, cap: double>>").alias("passes"))
+    for _ in range(PASSES):
+        open_ = state.where("gap > goal")
+        if is_empty(open_):
+            break
+        fitting = drawn.join(open_, "source").where("__rank > lo and size <= gap").select("source", "size", "__rank", F.col("gap").alias("need"))
+        done = _prefix(fitting)
+        taken = F.struct("lo", "hi", F.col("gap").alias("cap"))
+        state = joinable(state.join(done, "source", "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"), "goal", F.coalesce("hi", "lo").alias("lo"), F.when(F.col("hi").isNotNull(), F.concat("passes", F.array(taken))).otherwise(F.col("passes")).alias("passes")))
     miss = F.abs(F.col("size") - F.col("gap"))
-    closing = drawn.join(prefix, "source").where((F.col("__rank") > F.col("__cut")) & (miss < F.col("gap"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__rank").alias("one"))).alias("c"))
-    cutoff = prefix.join(closing.select("source", F.col("c.one").alias("__one")), "source", "left").withColumnRenamed("source", "sid")
-    # a source without a boundary wants all its fractions (or has none)
-    reached = F.coalesce("__cut", F.when(F.col("need") > 0, F.lit(1 << _BITS)).otherwise(F.lit(-1)))
-    final = joinable(named.join(cutoff, "sid", "left").select(F.col("source").alias("__s"), "source_size", "target", "__classed", reached.alias("__cut"), F.coalesce("__one", F.lit(-1)).alias("__one")))
+    closing = drawn.join(state, "source").where((F.col("__rank") > F.col("lo")) & (miss < F.col("gap"))).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__rank").alias("one"))).alias("c"))
+    chosen = state.join(closing, "source", "left").select(F.col("source").alias("sid"), "passes", F.coalesce("c.one", F.lit(-1)).alias("__one"))
+    final = joinable(named.join(chosen, "sid").select(F.col("source").alias("__s"), "source_size", "target", "__classed", F.col("passes").alias("__passes"), "__one"))
     whole, p, rank = _expected()
     out = own.join(final, F.col("source").eqNullSafe(F.col("__s"))).withColumns({"__whole": whole, "__p": p}).withColumn("__rank", rank)
-    extra = ((F.col("__p") > 0) & ((F.col("__rank") <= F.col("__cut")) | (F.col("__rank") == F.col("__one")))).cast("long")
+    in_pass = F.exists("__passes", lambda x: (F.col("__rank") > x["lo"]) & (F.col("__rank") <= x["hi"]) & (F.col("size") <= x["cap"]))
+    extra = ((F.col("__p") > 0) & (in_pass | (F.col("__rank") == F.col("__one")))).cast("long")
     copies = F.when(F.col("size") > 0, F.col("__whole") + extra).otherwise(0).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__h", "__s", "__classed", "__cut", "__one", "__whole", "__p", "__rank")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__h", "__s", "__classed", "__passes", "__one", "__whole", "__p", "__rank")
 
 
 def _expected() -> tuple[Column, Column, Column]:
@@ -120,6 +135,17 @@ def _expected() -> tuple[Column, Column, Column]:
     return whole.alias("__whole"), p.alias("__p"), rank.alias("__rank")
 
 
+_PASS_SQL = "".join(
+    f""",
+e{k} AS (
+  SELECT r.source, rank, sum(sum(size)) OVER (PARTITION BY r.source ORDER BY rank) AS upto FROM ranked r JOIN st{k - 1} s ON r.source IS NOT DISTINCT FROM s.source
+  WHERE p > 0 AND size > 0 AND gap > goal AND rank > lo AND size <= gap GROUP BY r.source, rank
+), h{k} AS (SELECT e.source, max(rank) AS hi, max(upto) AS words FROM e{k} e JOIN st{k - 1} s ON e.source IS NOT DISTINCT FROM s.source WHERE upto <= gap GROUP BY 1),
+st{k} AS (SELECT s.source, gap - coalesce(words, 0) AS gap, goal, coalesce(hi, lo) AS lo FROM st{k - 1} s LEFT JOIN h{k} h ON s.source IS NOT DISTINCT FROM h.source)"""
+    for k in range(1, PASSES + 1)
+)
+_TAKEN_SQL = " OR ".join(f"(rank > st{k - 1}.lo AND rank <= st{k}.lo AND size <= st{k - 1}.gap)" for k in range(1, PASSES + 1))
+_JOIN_SQL = " ".join(f"JOIN st{k} ON r.source IS NOT DISTINCT FROM st{k}.source" for k in range(PASSES + 1))
 ORACLE = f"""
 WITH own AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -144,14 +170,11 @@ WITH own AS (
 ), ranked AS (
   SELECT *, CASE WHEN p > 0 THEN CAST(floor((u / (1 - u)) / (p / (1 - p)) / (1 + (u / (1 - u)) / (p / (1 - p))) * 281474976710656.0) AS BIGINT) END AS rank,
     target - sum(whole * size) OVER (PARTITION BY source) AS need FROM parts
-), upto AS (
-  SELECT source, rank, any_value(need) AS need, sum(sum(size)) OVER (PARTITION BY source ORDER BY rank) AS upto FROM ranked WHERE p > 0 AND size > 0 GROUP BY source, rank
-  UNION ALL SELECT source, -1, any_value(need), 0 FROM ranked GROUP BY source
-), prefix AS (SELECT source, max(rank) AS cut, any_value(need) - max(upto) AS gap FROM upto WHERE upto <= need OR rank = -1 GROUP BY source),
+), st0 AS (SELECT source, any_value(need) AS gap, {NEAR} * any_value(target) AS goal, -1 AS lo FROM ranked GROUP BY 1){_PASS_SQL},
 closing AS (
-  SELECT f.source, arg_min(rank, struct_pack(o := abs(size - gap), r := rank)) AS one FROM ranked r JOIN prefix f ON r.source IS NOT DISTINCT FROM f.source
-  WHERE p > 0 AND size > 0 AND rank > cut AND abs(size - gap) < gap GROUP BY f.source
+  SELECT f.source, arg_min(rank, struct_pack(o := abs(size - gap), r := rank)) AS one FROM ranked r JOIN st{PASSES} f ON r.source IS NOT DISTINCT FROM f.source
+  WHERE p > 0 AND size > 0 AND rank > lo AND abs(size - gap) < gap GROUP BY f.source
 )
-SELECT doc_id, size, source_size, target, (whole + CASE WHEN size > 0 AND p > 0 AND (rank <= cut OR rank = coalesce(one, -1)) THEN 1 ELSE 0 END) * size AS taken
-FROM ranked r JOIN prefix c ON r.source IS NOT DISTINCT FROM c.source LEFT JOIN closing e ON r.source IS NOT DISTINCT FROM e.source
+SELECT doc_id, size, source_size, target, (whole + CASE WHEN size > 0 AND p > 0 AND ({_TAKEN_SQL} OR rank = coalesce(one, -1)) THEN 1 ELSE 0 END) * size AS taken
+FROM ranked r {_JOIN_SQL} LEFT JOIN closing e ON r.source IS NOT DISTINCT FROM e.source
 """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+
+import zstandard
 
 
 def shingles(text, width):
@@ -54,3 +57,74 @@ def near_duplicates(docs, width, percent):
     links += [(min(ds), d) for ds in by_set.values() for d in ds]
     found = components(sets, links)
     return {d: (len(sets[d]), found[d]) for d in sets}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def quality_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    w, seen, dup = words(text), set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = Counter(windows)
+    covered = {i + j for i, x in enumerate(windows) if count[x] > 1 for j in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def kept_by_quality(text, document_bands, chunk, chunk_band):
+    if quality_counts(text)[5]:
+        return False
+    raw = text.encode()
+    ratio = len(zstandard.compress(raw, 3)) / len(raw)
+    _, low, high = [b for b in document_bands if b[0] <= len(raw)][-1]
+    parts = [len(zstandard.compress(raw[i : i + chunk], 3)) / chunk for i in range(0, len(raw) - chunk + 1, chunk)]
+    few, many = sum(r < chunk_band[0] for r in parts), sum(r > chunk_band[1] for r in parts)
+    return low <= ratio <= high and 2 * few <= len(parts) and 2 * many <= len(parts)
+
+
+def boilerplate(docs, max_ratio, min_pages):
+    """[(text, n_lines, n_dropped)] for [(text, site)]."""
+    pages, holding = Counter(site for _, site in docs), Counter()
+    for text, site in docs:
+        for line in {x for x in (text or "").split("\n") if words(x)}:
+            holding[site, line] += 1
+    out = []
+    for text, site in docs:
+        if text is None:
+            out.append((None, 0, 0))
+            continue
+        lines = text.split("\n")
+        kept = [x for x in lines if not (holding[site, x] >= min_pages and holding[site, x] > max_ratio * pages[site])]
+        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def personal_spans(text):
+    """[(kind, start, end)] straight from the patterns."""
+
+    def luhn(d):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+        return sum(v - 9 * (v > 9) for v in doubled) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+
+
+def propagated(edges, seeds, rounds=20, damping=0.85):
+    """{host: score} of one kind; edges {(src, dst): share}."""
+    score = dict(seeds)
+    for _ in range(rounds):
+        push = Counter()
+        for (a, b), share in edges.items():
+            push[b] += damping * score.get(a, 0) * share
+        back = 1 - sum(push.values())
+        score = {h: push[h] + seeds.get(h, 0) * back for h in {*push, *seeds}}
+    return score
