@@ -49,7 +49,7 @@ def acceleration(pts: Column) -> Column:
     a, b, c = back(pts, 3), back(pts, 2), back(pts, 1)
     return F.when(
         F.size(pts) >= 3,
-        (c["u"] - b["u"]) / (c["t"] - b["t"]) - (b["u"] - a["u"]) / (b["t"] - a["t"]),
+        F.try_divide(c["u"] - b["u"], (c["t"] - b["t"]).cast("double")) - F.try_divide(b["u"] - a["u"], (b["t"] - a["t"]).cast("double")),
     )
 
 
@@ -74,11 +74,11 @@ def ols_t(pts: Column) -> Column:
     mu = F.aggregate(pts, F.lit(0.0), lambda s, p: s + p["u"]) / n
     sxx = F.aggregate(pts, F.lit(0.0), lambda s, p: s + (p["t"] - mt) * (p["t"] - mt))
     sxy = F.aggregate(pts, F.lit(0.0), lambda s, p: s + (p["t"] - mt) * (p["u"] - mu))
-    slope = sxy / sxx
+    slope = F.try_divide(sxy, sxx)
     sse = F.aggregate(
         pts,
         F.lit(0.0),
         lambda s, p: s + F.pow(p["u"] - mu - slope * (p["t"] - mt), 2),
     )
-    se = F.sqrt(sse / (n - 2.0) / sxx)
+    se = F.sqrt(F.try_divide(F.try_divide(sse, n - 2.0), sxx))
     return F.when(F.size(pts) >= 3, F.when(se > 1e-12, slope / se).otherwise(F.lit(0.0)))

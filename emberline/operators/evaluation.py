@@ -57,7 +57,7 @@ def select_model(folds: DataFrame, default: str, challenger: str, tolerance: flo
     p = folds.groupBy("parameter_name").agg(
         *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{i}") for i, m in enumerate((default, challenger)) for c in ("mae_mean", "mae_std")]
     )
-    gap = (F.col("mae_mean_0") - F.col("mae_mean_1")) / F.col("mae_mean_0")
+    gap = F.try_divide(F.col("mae_mean_0") - F.col("mae_mean_1"), F.col("mae_mean_0"))
     choice = (
         F.when(gap > tolerance, challenger).when(gap < -tolerance, default)
         .when(F.col("mae_std_1") < F.col("mae_std_0") * (1 - tolerance), challenger).otherwise(default)
@@ -90,11 +90,15 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def cost_curve(counts: DataFrame, ratios=(1, 2, 5, 10, 20, 50)) -> DataFrame:
-    """L(r) = r FN + FP per screen and cost ratio."""
+    """L(r) = r FN + FP of the screen and of the limits alone, per component, and their quotient.
+
+    ``counts``: tp, fp, fn, tn of the screen and static_fp, static_fn of the absolute limits on the same components.
+    A screen without cost has no quotient.
+    """
     r = counts.withColumn("ratio", F.explode(F.array(*[F.lit(int(x)) for x in ratios])))
-    return r.withColumn("cost", F.col("ratio") * F.col("fn") + F.col("fp")).withColumn(
-        "normalised", F.col("cost") / (F.col("ratio") * (F.col("tp") + F.col("fn")))
-    )
+    n = F.greatest(F.lit(1), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    r = r.withColumns({"cost": F.col("ratio") * F.col("fn") + F.col("fp"), "static_cost": F.col("ratio") * F.col("static_fn") + F.col("static_fp")})
+    return r.withColumns({"normalised": F.col("cost") / n, "static_normalised": F.col("static_cost") / n, "reduction": F.try_divide("static_cost", "cost")})
 
 
 def residual_quantiles(df: DataFrame, keys, value: str, probs=(0.25, 0.5, 0.75, 0.9, 0.95, 0.99), skewed: bool | None = None) -> DataFrame:
@@ -163,7 +167,7 @@ def sensor_enrichment(cells: DataFrame, labels: DataFrame, cuts=(10, 20, 50, 100
     ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n_excess"), F.desc("rms"), "row_id")))
     hits = ranked.withColumn("k", F.explode(F.array(*[F.lit(int(c)) for c in cuts]))).where("rk <= k").groupBy("k").agg(F.sum("is_failure").alias("hits"))
     return hits.crossJoin(F.broadcast(base)).select(
-        "k", "hits", (F.col("hits") / F.col("k")).alias("precision"), ((F.col("hits") / F.col("k")) / (F.col("failures") / F.col("total"))).alias("lift")
+        "k", "hits", (F.col("hits") / F.col("k")).alias("precision"), F.try_divide(F.col("hits") / F.col("k"), F.try_divide("failures", "total")).alias("lift")
     )
 
 

@@ -352,16 +352,17 @@ def production_forecast(df: DataFrame, delta: str | None = None, reg: Registry =
         delta = "delta_hat"
     df = df.withColumn("excess_drift", F.coalesce("excess_drift", F.col("u24") - F.col("u0")))
     df = conformal_intervals(zero_anchored(df, delta), reg)
-    y = F.coalesce(inverse_transform("parameter_name", "u_hat", reg), F.col("v24"))
+    # a zero-anchored forecast is the reading itself, not its way through the transform and back
+    y = F.when(F.col("regime") == "ZERO_ANCHORED", F.col("v24")).otherwise(F.coalesce(inverse_transform("parameter_name", "u_hat", reg), F.col("v24")))
     ok = F.col("refusal").isNull()
     df = df.withColumn("predicted", F.when(ok, y))
     for c in ("low_90", "high_90", "low_95", "high_95", "regime"):
         df = df.withColumn(c, F.when(ok, F.col(c)))
     df = safety_slope(df, reg, "low_90", "high_90")
-    warn = F.when(
-        F.col("parameter_name") == "RDS(on)",
-        (threshold_class("low_90", "high_90", 60.0) != "BELOW") | (threshold_class("low_90", "high_90", 65.0) != "BELOW"),
-    ).otherwise(F.lit(False)) | (F.col("decision") == "EARLY_REJECT")
+    # a parameter with a screening margin warns at the margin and at its limit, any parameter at its safety boundary
+    margin, limit = reg.lookup("margin_high"), reg.lookup("spec_high")
+    near = margin.isNotNull() & ~(F.col("high_90") < F.least(margin, limit))
+    warn = F.coalesce(near, F.lit(False)) | (F.col("decision") == "EARLY_REJECT") | F.coalesce(F.col("interval_status") == "BOUNDARY_CROSSED", F.lit(False))
     return df.withColumn("advisory", F.when(~ok, "INSUFFICIENT_DATA").when(warn, "EARLY_WARNING").otherwise("CONTINUE"))
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from emberline.operators.quality import as_of
 
-# Prescribed action per state.
+# Fixed values of the disposition contract: prescribed action per state.
 ACTIONS = {
-    "FAIL": "REJECT_COMPONENT",
-    "EQUIPMENT_SUSPECTED": "INSPECT_EQUIPMENT_AND_RETEST",
-    "HOLD": "QUARANTINE_FOR_RETEST",
-    "INSUFFICIENT_DATA": "COMPLETE_MEASUREMENTS",
+    "FAIL": "CONDEMN_TO_SCRAP",
+    "EQUIPMENT_SUSPECTED": "QUARANTINE_SOCKET_RETEST",
+    "HOLD": "HOLD_MATERIAL_REVIEW_BOARD",
+    "INSUFFICIENT_DATA": "DEFER_INSUFFICIENT_DATA",
 }
-DEFAULT_ACTION = "CONTINUE_SCREENING"
+DEFAULT_ACTION = "CLEARED_FOR_FLIGHT"
 
 
 def action(state: str | Column) -> Column:

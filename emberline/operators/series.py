@@ -29,12 +29,29 @@ def is_skewed(telemetry: DataFrame) -> bool:
     return has_large_groups(telemetry, ["lot_id", "parameter_name", "elapsed_hours"])
 
 
+ARRIVAL = "arrival_seq"
+
+
+def latest(telemetry: DataFrame, order: str = ARRIVAL) -> DataFrame:
+    """One row per component, lot, parameter and checkpoint: the reading that arrived last.
+
+    Each task keeps its own latest row of a key before the shuffle, so a key that repeats without end stays one row.
+    """
+    keys = ["component_id", "lot_id", "parameter_name", "elapsed_hours"]
+    rest = [c for c in telemetry.columns if c not in (*keys, order)]
+    return telemetry.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("row")).select(*keys, "row.*")
+
+
 def components(telemetry: DataFrame, as_of: Iterable[int], reg: Registry = REGISTRY) -> DataFrame:
     """as_of_hours, component_id, lot_id, readings: one row per component and horizon.
 
-    The horizon filter reaches the scan; horizons share the one component shuffle.
+    The horizon filter reaches the scan; horizons share the one component shuffle. Telemetry
+    with an ``arrival_seq`` column may repeat readings: the last to arrive counts. Without it
+    readings are unique per component, parameter and checkpoint.
     """
     horizons = sorted(set(int(t) for t in as_of))
+    if ARRIVAL in telemetry.columns:
+        telemetry = latest(telemetry)
     have = [c if c in telemetry.columns else None for c in READING]
     seen = telemetry.where(F.col("elapsed_hours") <= horizons[-1]).withColumn(
         "u", transform("parameter_name", "value", reg)
@@ -55,6 +72,12 @@ def components(telemetry: DataFrame, as_of: Iterable[int], reg: Registry = REGIS
     return got.where(F.size("readings") > 0).select("as_of_hours", "component_id", "lot_id", "readings")
 
 
+def is_skewed_components(comps: DataFrame) -> bool:
+    """The same probe on component rows, where they are already at hand."""
+    read = comps.select("lot_id", F.explode("readings").alias("r"))
+    return has_large_groups(read.select("lot_id", "r.parameter_name", "r.elapsed_hours"), ["lot_id", "parameter_name", "elapsed_hours"])
+
+
 def series(comps: DataFrame, reg: Registry = REGISTRY) -> DataFrame:
     """One row per component, horizon and registered parameter, with ordered history."""
     names = F.array(*[F.lit(n) for n in reg.names])

@@ -16,6 +16,7 @@ from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.prognostic_queries import FIT, ID, SOLVE, SUMSQL, TRI, W, ZA, anchored, locked, tri
 from emberline.plans.quality_queries import PARTS_SQL, lot_partitions
 from emberline.plans.screening_oracle import component_ctes
+from emberline.session import cut
 from emberline.registry import REGISTRY
 from emberline.sources import adapters as A
 
@@ -162,9 +163,20 @@ def confusion(spark, d):
     return counts(spark, d).select("tp", "fp", "fn", "tn", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
-@query("cost_curve", CONFUSION + f" SELECT CAST(r AS INTEGER) AS ratio, r * fn + fp AS cost, {o6('(r * fn + fp) / (r * (tp + fn))')} AS normalised FROM cm, (VALUES (1), (2), (5), (10), (20), (50)) v(r)")
+COST = CONFUSION + f""",
+st AS (SELECT count(*) FILTER (s AND NOT defective) AS sfp, count(*) FILTER (NOT s AND defective) AS sfn FROM (SELECT defective, coalesce(b, false) AS s FROM lab LEFT JOIN (SELECT component_id, bool_or(spec_status = 'SPEC_BREACH') AS b FROM spec GROUP BY 1) USING (component_id)))
+SELECT CAST(r AS INTEGER) AS ratio, r * fn + fp AS cost, r * sfn + sfp AS static_cost, {o6('(r * fn + fp) / (tp + fp + fn + tn)')} AS normalised, {o6('(r * sfn + sfp) / (tp + fp + fn + tn)')} AS static_normalised, {o6('(r * sfn + sfp) / nullif(r * fn + fp, 0)')} AS reduction
+FROM cm, st, (VALUES (1), (2), (5), (10), (20), (50)) v(r)"""
+
+
+@query("cost_curve", COST)
 def cost_curve(spark, d):
-    return V.cost_curve(counts(spark, d)).select("ratio", "cost", r6("normalised").alias("normalised"))
+    breach = F.exists("params", lambda p: p["spec"]["status"] == "SPEC_BREACH").alias("static")
+    c = cut(S.screen_components(A.telemetry_parts(spark, d), 24).select("component_id", F.col("final.state").isin("FAIL", "ALERT", "HOLD").alias("flagged"), breach))
+    lab = cut(labels(spark, d))
+    static = V.confusion(c.select("component_id", F.col("static").alias("flagged")), lab).select(F.col("fp").alias("static_fp"), F.col("fn").alias("static_fn"))
+    curve = V.cost_curve(V.confusion(c, lab).crossJoin(static))
+    return curve.select("ratio", "cost", "static_cost", *[r6(x).alias(x) for x in ("normalised", "static_normalised", "reduction")])
 
 
 @query("threshold_metrics", W + STATIC + f" SELECT parameter_name, tp, fp, fn, tn, {o6('tp / nullif(tp + fp, 0)')} AS precision, {o6('tp / nullif(tp + fn, 0)')} AS recall, {o6('tn / nullif(tn + fp, 0)')} AS specificity, {o6('2 * tp / nullif(2 * tp + fp + fn, 0)')} AS f1 FROM sm")

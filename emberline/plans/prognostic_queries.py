@@ -213,12 +213,13 @@ def zero_anchored(spark, d):
     return out(anchored(spark, d), "u_hat", regime="regime")
 
 
+TIE = 1e-7  # readings with five decimals would otherwise sit on the edge of rounding, where the two engines part
 CI_COLS = {"low_90": "l90", "high_90": "h90", "low_95": "l95", "high_95": "h95"}
 
 
-@query("conformal_intervals", W + ZA + " SELECT component_id, parameter_name, " + ", ".join(f"{o6(v, 4)} AS {k}" for k, v in CI_COLS.items()) + " FROM ci")
+@query("conformal_intervals", W + ZA + f" SELECT component_id, parameter_name, {o6('y + 1e-7::DOUBLE', 4)} AS predicted, " + ", ".join(f"{o6(v, 4)} AS {k}" for k, v in CI_COLS.items()) + " FROM ci")
 def conformal_intervals(spark, d):
-    return anchored(spark, d).select(*ID, *[r6(c, 4).alias(c) for c in CI_COLS])
+    return anchored(spark, d).select(*ID, r6(F.col("predicted") + TIE, 4).alias("predicted"), *[r6(c, 4).alias(c) for c in CI_COLS])
 
 
 @query("threshold_crossing", W + ZA + " SELECT component_id, CASE WHEN h90 < 60 THEN 'BELOW' WHEN l90 > 60 THEN 'ABOVE' ELSE 'CROSSES' END AS at_60, CASE WHEN h90 < 65 THEN 'BELOW' WHEN l90 > 65 THEN 'ABOVE' ELSE 'CROSSES' END AS at_65 FROM ci WHERE parameter_name = 'RDS(on)'")
@@ -328,7 +329,7 @@ def fc_drift_gated(spark, d):
     return out(P.drift_gated(rows, 24), "u_hat", digits=5, flag="flag").where("flag <> 'EXCLUDED'")
 
 
-ADV = ZA + safety("ci", "y", "l90", "h90") + ",\nadv AS (SELECT *, CASE WHEN (parameter_name = 'RDS(on)' AND (NOT h90 < 60 OR NOT h90 < 65)) OR decision = 'EARLY_REJECT' THEN 'EARLY_WARNING' ELSE 'CONTINUE' END AS advisory FROM sf)"
+ADV = ZA + safety("ci", "CASE regime WHEN 'ZERO_ANCHORED' THEN v24 ELSE y END", "l90", "h90") + ",\nadv AS (SELECT *, CASE WHEN (parameter_name = 'RDS(on)' AND (NOT h90 < 60 OR NOT h90 < 65)) OR decision = 'EARLY_REJECT' OR istat = 'BOUNDARY_CROSSED' THEN 'EARLY_WARNING' ELSE 'CONTINUE' END AS advisory FROM sf)"
 
 
 def production(spark, d):
@@ -344,11 +345,14 @@ def production(spark, d):
 @query(
     "production_forecast",
     W + ADV + f""", w AS (SELECT component_id, parameter_name, max(value) FILTER (elapsed_hours = 0) AS a, max(value) FILTER (elapsed_hours = 24) AS b FROM tel WHERE elapsed_hours IN (0, 24) GROUP BY 1, 2)
-SELECT w.component_id, w.parameter_name, CASE WHEN w.a IS NULL THEN 'MISSING_0H' WHEN w.b IS NULL THEN 'MISSING_24H' END AS refusal, regime, {o6('l90', 4)} AS low_90, {o6('h90', 4)} AS high_90, coalesce(advisory, 'INSUFFICIENT_DATA') AS advisory
+SELECT w.component_id, w.parameter_name, CASE WHEN w.a IS NULL THEN 'MISSING_0H' WHEN w.b IS NULL THEN 'MISSING_24H' END AS refusal, regime, {o6('yy + 1e-7::DOUBLE', 4)} AS predicted, {o6('l90', 4)} AS low_90, {o6('h90', 4)} AS high_90, {o6('l95', 4)} AS low_95, {o6('h95', 4)} AS high_95, {o6('slim')} AS slope_limit, decision, istat AS interval_status, coalesce(advisory, 'INSUFFICIENT_DATA') AS advisory
 FROM w LEFT JOIN adv ON adv.component_id = w.component_id AND adv.parameter_name = w.parameter_name""",
 )
 def production_forecast(spark, d):
-    return out(production(spark, d), "low_90", "high_90", digits=4, refusal="refusal", regime="regime", advisory="advisory")
+    made = production(spark, d).withColumn("answered", F.col("refusal").isNull())
+    told = {c: F.when(F.col("answered"), F.col(c)).alias(c) for c in ("decision", "interval_status")}
+    slope = r6(F.when(F.col("answered"), F.col("slope_limit"))).alias("slope_limit")
+    return made.select(*ID, "refusal", "regime", r6(F.col("predicted") + TIE, 4).alias("predicted"), *[r6(c, 4).alias(c) for c in ("low_90", "high_90", "low_95", "high_95")], slope, *told.values(), "advisory")
 
 
 @query(

@@ -194,10 +194,7 @@ def dq_errors(spark, d):
     "log_eligibility",
     W + DEFECT_SQL + f""", s AS (SELECT event_id, {STATUS_SQL} AS status, parameter_name IN ('IDSS', 'RDS(on)') AS lg FROM dirty)
 SELECT event_id, status, CASE WHEN status IN ('MISSING', 'NON_FINITE') THEN false WHEN status = 'POSITIVE' THEN true ELSE NOT lg END AS log_eligible,
- CASE status WHEN 'MISSING' THEN 'Measurement was missing.' WHEN 'NON_FINITE' THEN 'Measurement was non-finite (NaN or Infinity).'
- WHEN 'NEGATIVE' THEN CASE WHEN lg THEN 'Measurement was negative; raw value preserved intact without flooring.' ELSE 'Measurement was negative.' END
- WHEN 'ZERO' THEN CASE WHEN lg THEN 'Measurement was physically zero; raw value preserved intact.' ELSE 'Measurement was physically zero.' END
- ELSE CASE WHEN lg THEN 'Measurement was positive; eligible for direct log transform.' ELSE 'Measurement was positive.' END END AS note FROM s""",
+ CASE WHEN status IN ('NEGATIVE', 'ZERO') AND lg THEN status || '_KEPT_RAW' WHEN status = 'POSITIVE' AND lg THEN 'POSITIVE_LOG_READY' ELSE status END AS note FROM s""",
 )
 def log_eligibility(spark, d):
     return Q.log_eligibility(defects(spark, d)).select("event_id", "status", "log_eligible", "note")

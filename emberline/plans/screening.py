@@ -12,14 +12,27 @@ from emberline.operators.fusion import fuse_component, fusion_layers
 from emberline.operators.joint import joint_distance, joint_input_layers, lot_moments
 from emberline.operators.layers import layered, merge
 from emberline.operators.quality import assert_no_labels
-from emberline.operators.series import components, is_skewed, lot_context, series, with_context
+from emberline.operators.series import components, is_skewed_components, lot_context, series, with_context
 from emberline.registry import REGISTRY, Registry
+from emberline.session import cut
 
 
 def _horizons(as_of) -> list[int]:
     return [int(as_of)] if isinstance(as_of, (int, float)) else [int(t) for t in as_of]
 
 
+def _components(telemetry: DataFrame, as_of, reg: Registry) -> DataFrame:
+    """Component histories, read from the source once and kept: everything below starts from them."""
+    assert_no_labels(telemetry)
+    return cut(components(telemetry, _horizons(as_of), reg))
+
+
+def _contextual(comps: DataFrame, reg: Registry, kinds=("level", "step", "end", "chamber", "joint"), channels: bool = True, skewed: bool | None = None) -> DataFrame:
+    skewed = is_skewed_components(comps) if skewed is None else skewed
+    ser = series(comps, reg)
+    return with_context(ser, lot_context(ser, kinds, channels, skewed), kinds)
+
+
 def contextual_series(
     telemetry: DataFrame,
     as_of: int | Iterable[int],
@@ -29,17 +42,11 @@ def contextual_series(
     skewed: bool | None = None,
 ) -> DataFrame:
     """Series rows with lot context: what every detector starts from."""
-    assert_no_labels(telemetry)
-    skewed = is_skewed(telemetry) if skewed is None else skewed
-    ser = series(components(telemetry, _horizons(as_of), reg), reg)
-    return with_context(ser, lot_context(ser, kinds, channels, skewed), kinds)
+    return _contextual(_components(telemetry, as_of, reg), reg, kinds, channels, skewed)
 
 
-def screen_parameters(
-    telemetry: DataFrame, as_of: int | Iterable[int], reg: Registry = REGISTRY, skewed: bool | None = None
-) -> DataFrame:
-    """One row per (horizon, component, parameter) with all evidence structs and ``fused``."""
-    s = contextual_series(telemetry, as_of, reg, skewed=skewed)
+def _parameters(comps: DataFrame, reg: Registry, skewed: bool | None) -> DataFrame:
+    s = _contextual(comps, reg, skewed=skewed)
     evidence = merge(
         D.sufficiency_layers(), D.spec_layers(reg), D.equipment_layers(), D.peer_layers(reg), D.drift_layers(),
         D.step_layers(), joint_input_layers(),
@@ -51,6 +58,13 @@ def screen_parameters(
     )
 
 
+def screen_parameters(
+    telemetry: DataFrame, as_of: int | Iterable[int], reg: Registry = REGISTRY, skewed: bool | None = None
+) -> DataFrame:
+    """One row per (horizon, component, parameter) with all evidence structs and ``fused``."""
+    return _parameters(_components(telemetry, as_of, reg), reg, skewed)
+
+
 def screen_components(
     telemetry: DataFrame, as_of: int | Iterable[int], reg: Registry = REGISTRY, skewed: bool | None = None
 ) -> DataFrame:
@@ -59,8 +73,8 @@ def screen_components(
     Lot or component selections are filters on the *result*: they cannot move below the lot
     aggregation, so peers never change with the selection.
     """
-    skewed = is_skewed(telemetry) if skewed is None else skewed
-    evidence = screen_parameters(telemetry, as_of, reg, skewed)
+    comps = _components(telemetry, as_of, reg)
+    evidence = _parameters(comps, reg, skewed)
     item = F.struct(
         reg.lookup("ordinal").alias("ordinal"), "parameter_name", "fused", "now", "spec", "peer", "drift", "step",
         "eq", "suff", "joint_x", "joint_m", "joint_s",
@@ -68,7 +82,7 @@ def screen_components(
     comp = evidence.groupBy("as_of_hours", "component_id", "lot_id").agg(
         F.array_sort(F.collect_list(item), lambda a, b: a["ordinal"] - b["ordinal"]).alias("params")
     )
-    comp = _with_joint(comp, telemetry, as_of, reg, "p.now IS NOT NULL")
+    comp = _with_joint(comp, comps, reg, "p.now IS NOT NULL")
     comp = fuse_component(comp)
     return comp.select("as_of_hours", "component_id", "lot_id", "final", "joint", "params")
 
@@ -77,24 +91,22 @@ def joint_only(
     telemetry: DataFrame, as_of: int | Iterable[int], reg: Registry = REGISTRY, skewed: bool | None = None
 ) -> DataFrame:
     """Joint evidence alone: component rows with ``joint``."""
-    s = contextual_series(telemetry, as_of, reg, ("joint",), False, skewed)
-    s = layered(s, joint_input_layers())
+    comps = _components(telemetry, as_of, reg)
+    s = layered(_contextual(comps, reg, ("joint",), False, skewed), joint_input_layers())
     comp = s.groupBy("as_of_hours", "component_id", "lot_id").agg(
         F.array_sort(
             F.collect_list(F.struct(reg.lookup("ordinal").alias("ordinal"), "has_now", "joint_x", "joint_m", "joint_s"))
         ).alias("params")
     )
-    return _with_joint(comp, telemetry, as_of, reg, "p.has_now")
+    return _with_joint(comp, comps, reg, "p.has_now")
 
 
-def _with_joint(comp: DataFrame, telemetry: DataFrame, as_of, reg: Registry, has_now: str) -> DataFrame:
+def _with_joint(comp: DataFrame, comps: DataFrame, reg: Registry, has_now: str) -> DataFrame:
     comp = comp.withColumns(
         {c: F.expr(f"transform(params, p -> p.{src})") for c, src in (("x", "joint_x"), ("joint_m", "joint_m"), ("joint_s", "joint_s"))}
         | {"now_any": F.expr(f"exists(params, p -> {has_now})")}
     )
-    comps = components(telemetry, _horizons(as_of), reg).withColumn(
-        "now_any", F.expr("exists(readings, r -> r.elapsed_hours = as_of_hours)")
-    )
+    comps = comps.withColumn("now_any", F.expr("exists(readings, r -> r.elapsed_hours = as_of_hours)"))
     moments = lot_moments(series_vectors(comps, reg), len(reg.parameters))
     return joint_distance(comp, moments, reg.names)
 

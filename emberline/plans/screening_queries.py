@@ -245,6 +245,28 @@ def fuse_component(spark, d):
     return S.screen_components(tel(spark, d), T).select("component_id", "final.state", "final.qualifier", "final.compound")
 
 
+REPEATED = COMPONENTS.replace("\ntel AS (", "\ntel0 AS (").replace(
+    ",\ntu AS",
+    ",\ntel AS (SELECT * REPLACE (CASE WHEN parameter_name = 'RDS(on)' AND elapsed_hours = 168 AND CAST(substr(component_id, 2) AS BIGINT) % 10 = 0 THEN 70.0 ELSE value END AS value) FROM tel0),\ntu AS",
+    1,
+)
+
+
+def repeated_telemetry(spark, d):
+    """Every 96 h reading was taken twice, the first time wrongly; every tenth part was read again at 168 h, in breach."""
+    t = tel(spark, d)
+    early = t.where("elapsed_hours = 96").withColumn("value", F.col("value") * 1.5).withColumn("arrival_seq", F.lit(0))
+    late = t.where("parameter_name = 'RDS(on)' AND elapsed_hours = 168 AND cast(substr(component_id, 2) AS bigint) % 10 = 0")
+    late = late.withColumn("value", F.lit(70.0)).withColumn("arrival_seq", F.lit(2))
+    return early.unionByName(late).unionByName(t.withColumn("arrival_seq", F.lit(1)))
+
+
+@query("screen_repeated_readings", REPEATED + " SELECT component_id, state, qualifier, reason FROM cf")
+def screen_repeated_readings(spark, d):
+    c = S.screen_components(repeated_telemetry(spark, d), T)
+    return c.select("component_id", "final.state", "final.qualifier", "final.reason")
+
+
 @query("screen_components", COMPONENTS + " SELECT as_of_hours, component_id, lot_id, state, qualifier, reason, compound FROM cf")
 def screen_components(spark, d):
     c = S.screen_components(tel(spark, d), T)
@@ -262,7 +284,7 @@ def state_evolution(spark, d):
 
 @query(
     "lot_statuses",
-    COMPONENTS + " SELECT lot_id, component_id, state, CASE state WHEN 'FAIL' THEN 'REJECT_COMPONENT' WHEN 'EQUIPMENT_SUSPECTED' THEN 'INSPECT_EQUIPMENT_AND_RETEST' WHEN 'HOLD' THEN 'QUARANTINE_FOR_RETEST' WHEN 'INSUFFICIENT_DATA' THEN 'COMPLETE_MEASUREMENTS' ELSE 'CONTINUE_SCREENING' END AS action FROM cf",
+    COMPONENTS + " SELECT lot_id, component_id, state, CASE state WHEN 'FAIL' THEN 'CONDEMN_TO_SCRAP' WHEN 'EQUIPMENT_SUSPECTED' THEN 'QUARANTINE_SOCKET_RETEST' WHEN 'HOLD' THEN 'HOLD_MATERIAL_REVIEW_BOARD' WHEN 'INSUFFICIENT_DATA' THEN 'DEFER_INSUFFICIENT_DATA' ELSE 'CLEARED_FOR_FLIGHT' END AS action FROM cf",
 )
 def lot_statuses(spark, d):
     return E.lot_statuses(S.screen_components(tel(spark, d), T))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +30,14 @@ def local_session(cpus: int | str = 8, app: str = "emberline", memory: str = "16
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins; a folder is chosen here only where neither the
-    setting nor an earlier ``setCheckpointDir`` exists (local runs and tests).
+    ``spark.checkpoint.dir`` wins; a folder is chosen here only on a local master where
+    neither the setting nor an earlier ``setCheckpointDir`` exists (local runs and tests).
+    On a cluster a machine-local folder would lose data, so a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get(CHECKPOINT_CONF)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join("/tmp", f"spark-checkpoint-{sc.applicationId}"))
     return df.checkpoint(eager=True)

@@ -94,3 +94,30 @@ def test_labels_are_quarantined(spark):
     df = frame(spark, lot()).withColumnRenamed("measurement_quality", "is_degradation")
     with pytest.raises(LabelLeak):
         screen_components(df, 24)
+
+
+def test_last_of_repeated_readings_counts(spark):
+    """A later reading in breach is not hidden by an earlier good one, whatever the row order."""
+    rows = [(f"C{i}", "L1", "RDS(on)", t, 45.0 + 0.1 * i, 0) for i in range(10) for t in (0, 24)]
+    late = [("C1", "L1", "RDS(on)", 24, 70.0, 2), ("C2", "L1", "RDS(on)", 24, 70.0, -1), ("C3", "L1", "RDS(on)", 0, 45.3, 1)]
+    columns = "component_id string, lot_id string, parameter_name string, elapsed_hours int, value double, arrival_seq int"
+    tel = spark.createDataFrame([*late, *rows], columns).selectExpr("*", "'mOhm' AS unit", "'A1' AS instrument_id", "'CH1' AS channel_id")
+    from emberline.plans.screening import screen_parameters
+
+    found = {r.component_id: r for r in screen_parameters(tel, 24).where("parameter_name = 'RDS(on)'").collect()}
+    assert found["C1"].now.value == 70.0 and found["C1"].spec.status == "SPEC_BREACH"
+    assert found["C2"].now.value == 45.2 and found["C2"].spec.status == "COMPLIANT"
+    assert all(len(r.obs) == 2 for r in found.values())
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from emberline.session import cut
+
+    undefined = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(master="yarn", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: undefined))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
