@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.scalars import MAD_SCALE
+from emberline.functions.scalars import MAD_SCALE, inverse_transform
 from emberline.operators.ranks import group_median, group_median_mad, group_quantiles
-from emberline.operators.regression import SUMS, ridge_sql, sums
+from emberline.operators.regression import SUMS, ridge_fit, ridge_sql, score, sums
+from emberline.registry import REGISTRY, Registry
 
 WINKLER_ALPHA = 0.1
 
@@ -112,37 +113,76 @@ def top_errors(df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float = -3.0, high: float = 3.0) -> DataFrame:
-    """Held-out squared error per parameter and lambda, lot-grouped folds.
+def lot_part(parts: int, lot: str = "lot_id") -> Column:
+    """Part 0 .. parts - 1 of a lot by its name's hash: no ranking of lots, and a new lot moves no other."""
+    return (F.conv(F.substring(F.md5(F.col(lot).cast("binary")), 1, 8), 16, 10).cast("bigint") % parts).cast("int")
 
-    The held-out error of a linear fit is itself a function of the held-out sums, so the sweep
-    works on (parameter, fold) rows and never touches the data again.
+
+def held_out_target(tri: DataFrame, reg: Registry = REGISTRY) -> DataFrame:
+    """Level and drift as ridge targets, fitted on the calibration lots and scored in units on the others.
+
+    Both fits penalise the intercept. Columns: MAE, RMSE and median error of either target, the relative difference
+    of the MAE in percent and the better target.
+    """
+    t = tri.withColumns({"dy": F.col("u168") - F.col("u24"), "part": lot_part(2)})
+    fit, rest = t.where("part = 0"), t.where("part = 1")
+    drift = ridge_fit(fit, penalise_intercept=True, y="dy").select("parameter_name", *[F.col(c).alias(f"r{c}") for c in ("b0", "b1", "b2")])
+    j = score(rest, ridge_fit(fit, penalise_intercept=True)).join(drift, "parameter_name")
+    j = j.withColumn("u_drift", F.expr("u24 + rb0 + rb1 * u0 + rb2 * u24"))
+    j = j.withColumns({n: F.abs(inverse_transform("parameter_name", u, reg) - F.col("v168")) for n, u in (("e_direct", "u_hat"), ("e_relative", "u_drift"))})
+    out = j.groupBy("parameter_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(F.col(f"e_{k}")).alias(f"{m}_{k}") for k in ("direct", "relative") for m, f in (("mae", F.avg), ("rmse", lambda c: F.sqrt(F.avg(c * c))))],
+    )
+    for k in ("direct", "relative"):
+        out = out.join(group_median(j, ["parameter_name"], f"e_{k}", f"medae_{k}").drop("n"), "parameter_name")
+    gap = 100.0 * F.try_divide(F.col("mae_relative") - F.col("mae_direct"), F.greatest(F.col("mae_direct"), F.lit(1e-9)))
+    return out.withColumn("mae_gap_pct", gap).withColumn("better", F.when(F.col("mae_gap_pct") <= 0, "relative_delta").otherwise("direct_level"))
+
+
+def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float = -3.0, high: float = 3.0, reg: Registry = REGISTRY) -> DataFrame:
+    """Held-out MAE in units per parameter and lambda, averaged over lot-grouped folds; the intercept is penalised.
+
+    Coefficients come from the sums of the other folds: parameters x folds x points rows, a bounded table that is
+    broadcast; each task reduces its rows to one error sum per coefficient row before the shuffle.
     """
-    lots = tri.select("lot_id").distinct()
-    idx = lots.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy("lot_id")) - 1, F.lit(folds)))
-    per = tri.join(F.broadcast(idx), "lot_id").groupBy("parameter_name", "fold").agg(*sums(), F.sum(F.col("u168") * F.col("u168")).alias("syy"))
+    t = tri.withColumn("fold", lot_part(folds))
+    per = t.groupBy("parameter_name", "fold").agg(*sums())
     tot = per.groupBy("parameter_name").agg(*[F.sum(c).alias(f"t_{c}") for c in SUMS])
     step = (high - low) / (points - 1)
-    grid = per.join(tot, "parameter_name").withColumn("lam", F.explode(F.array(*[F.lit(10.0 ** (low + i * step)) for i in range(points)])))
-    held = {c: F.col(c).alias(f"h_{c}") for c in [*SUMS, "syy"]}
-    rest = grid.select("parameter_name", "lam", *held.values(), *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUMS])
-    rest = rest.withColumns({k: F.expr(v) for k, v in ridge_sql("lam").items()})
-    sse = (
-        "h_syy - 2 * (b0 * h_sy + b1 * h_s1y + b2 * h_s2y) + b0 * b0 * h_n + b1 * b1 * h_s11 + b2 * b2 * h_s22 "
-        "+ 2 * b0 * b1 * h_s1 + 2 * b0 * b2 * h_s2 + 2 * b1 * b2 * h_s12"
+    rest = per.join(tot, "parameter_name").select("parameter_name", "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUMS]).where("n > 0")
+    grid = rest.withColumn("lam", F.explode(F.array(*[F.lit(10.0 ** (low + i * step)) for i in range(points)])))
+    coef = grid.withColumns({k: F.expr(v) for k, v in ridge_sql("lam", True).items()}).select("parameter_name", "fold", "lam", "b0", "b1", "b2")
+    j = t.select("parameter_name", "fold", "u0", "u24", "v168").join(F.broadcast(coef), ["parameter_name", "fold"])
+    e = F.abs(inverse_transform("parameter_name", F.expr("b0 + b1 * u0 + b2 * u24"), reg) - F.col("v168"))
+    per_fold = j.groupBy("parameter_name", "lam", "fold").agg(F.avg(e).alias("mae"))
+    return per_fold.groupBy("parameter_name", "lam").agg(F.avg("mae").alias("cv_mae"), F.count(F.lit(1)).alias("folds"))
+
+
+def regime_coverage(tri: DataFrame, target: float = 0.9, skewed: bool | None = None) -> DataFrame:
+    """One quantile for all against one per regime, calibrated on one half of the lots, covered on the other.
+
+    Regimes split at the calibration median of \|u24 - u0\|. Coverage is over all held-out rows and over the moving
+    ones; without moving rows the latter is null.
+    """
+    t = tri.withColumns({"part": lot_part(2), "move": F.abs(F.col("u24") - F.col("u0"))})
+    cal = t.where("part = 0")
+    t = score(t, ridge_fit(cal, penalise_intercept=True)).withColumn("e", F.abs(F.col("u168") - F.col("u_hat")))
+    tau = group_median(cal, ["parameter_name"], "move", "tau", skewed).drop("n")
+    t = t.join(tau, "parameter_name").withColumn("regime", F.when(F.col("move") <= F.col("tau"), "QUIET").otherwise("MOVING"))
+    fit = t.where("part = 0")
+    every = group_quantiles(fit, ["parameter_name"], "e", [target], skewed).select("parameter_name", F.col("q")[0].alias("q_global"))
+    own = group_quantiles(fit, ["parameter_name", "regime"], "e", [target], skewed).groupBy("parameter_name").agg(
+        *[F.max(F.when(F.col("regime") == r, F.col("q")[0])).alias(f"q_{r.lower()}") for r in ("QUIET", "MOVING")]
     )
-    return rest.withColumn("sse", F.expr(sse)).groupBy("parameter_name", "lam").agg((F.sum("sse") / F.sum("h_n")).alias("mse"))
-
-
-def regime_coverage(df: DataFrame, probs: float = 0.9, skewed: bool | None = None) -> DataFrame:
-    """Quiet / moving regimes split at the median |u24 - u0|; per-regime quantile and coverage."""
-    df = df.withColumns({"move": F.abs(F.col("u24") - F.col("u0")), "abs_error": F.abs(F.col("u168") - F.col("u_hat"))})
-    tau = group_median(df, ["parameter_name"], "move", "tau", skewed).drop("n")
-    df = df.join(tau, "parameter_name").withColumn("regime", F.when(F.col("move") <= F.col("tau"), "QUIET").otherwise("MOVING"))
-    q = group_quantiles(df, ["parameter_name", "regime"], "abs_error", [probs], skewed)
-    q = q.select("parameter_name", "regime", F.col("q")[0].alias("q"))
-    return df.join(q, ["parameter_name", "regime"]).groupBy("parameter_name", "regime").agg(
-        F.count(F.lit(1)).alias("n"), F.max("q").alias("quantile"), F.avg((F.col("abs_error") <= F.col("q")).cast("int")).alias("coverage")
+    j = t.where("part = 1").join(every, "parameter_name").join(own, "parameter_name")
+    moving = F.col("regime") == "MOVING"
+    hit = lambda q: (F.col("e") <= q).cast("int")
+    mine = F.when(moving, F.col("q_moving")).otherwise(F.col("q_quiet"))
+    return j.groupBy("parameter_name").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tau").alias("tau"), *[F.max(c).alias(c) for c in ("q_global", "q_quiet", "q_moving")],
+        F.avg(hit(F.col("q_global"))).alias("uniform_all"), F.avg(F.when(moving, hit(F.col("q_global")))).alias("uniform_moving"),
+        F.avg(hit(mine)).alias("regime_all"), F.avg(F.when(moving, hit(F.col("q_moving")))).alias("regime_moving"),
     )
 
 

@@ -11,7 +11,7 @@ from emberline.operators import prognostics as P
 from emberline.operators import regression as G
 from emberline.plans import screening as S
 from emberline.plans.catalog import query
-from emberline.plans.oracle_parts import FLOOR, HIGH, LOW, inv
+from emberline.plans.oracle_parts import FLOOR, HIGH, LOW, inv, part, ridge
 from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.prognostic_queries import FIT, ID, SOLVE, SUMSQL, TRI, W, ZA, anchored, locked, tri
 from emberline.plans.quality_queries import PARTS_SQL, lot_partitions
@@ -199,43 +199,57 @@ def error_table(spark, d):
     return m.join(group_median(f, ["parameter_name"], "e", "median_ae"), "parameter_name").withColumn("median_ae", r6("median_ae", 5))
 
 
-PEN = {k: v.replace("1D", "1.0::DOUBLE") for k, v in G.ridge_sql("1D", True).items()}
+HELD = TRI + f""",
+hc AS (SELECT *, u168 - u24 AS dy FROM tri WHERE {part(2)} = 0), he AS (SELECT * FROM tri WHERE {part(2)} = 1),
+{ridge('cd', 'hc', 'parameter_name')}, {ridge('cr', 'hc', 'parameter_name', 'dy')}"""
 
 
-@query("relative_vs_direct", W + TRI + f""", a AS (SELECT parameter_name, {SUMSQL} FROM tri GROUP BY 1), b AS (SELECT parameter_name, {SUMSQL.replace('u168', '(u168 - u24)')} FROM tri GROUP BY 1),
-ca AS (SELECT parameter_name, {', '.join(f'{v} AS {k}' for k, v in PEN.items())} FROM a), cb AS (SELECT parameter_name, {', '.join(f'{v} AS {k}' for k, v in PEN.items())} FROM b)
-SELECT t.parameter_name, {o6('avg(abs(ca.b0 + ca.b1 * u0 + ca.b2 * u24 - u168))')} AS mae_direct, {o6('avg(abs(u24 + cb.b0 + cb.b1 * u0 + cb.b2 * u24 - u168))')} AS mae_relative FROM tri t JOIN ca ON ca.parameter_name = t.parameter_name JOIN cb ON cb.parameter_name = t.parameter_name GROUP BY 1""")
+@query("relative_vs_direct", W + HELD + f""", p AS (SELECT e.*, d.b0 + d.b1 * u0 + d.b2 * u24 AS ua, u24 + r.b0 + r.b1 * u0 + r.b2 * u24 AS ub FROM he e JOIN cd d USING (parameter_name) JOIN cr r USING (parameter_name)),
+q AS (SELECT parameter_name, abs({inv('ua')} - v168) AS ea, abs({inv('ub')} - v168) AS eb FROM p),
+m AS (SELECT parameter_name, count(*) AS n, avg(ea) AS a, avg(eb) AS b, sqrt(avg(ea * ea)) AS ra, sqrt(avg(eb * eb)) AS rb, median(ea) AS ma, median(eb) AS mb FROM q GROUP BY 1)
+SELECT parameter_name, n, {o6('a', 5)} AS mae_direct, {o6('b', 5)} AS mae_relative, {o6('ra', 5)} AS rmse_direct, {o6('rb', 5)} AS rmse_relative, {o6('ma', 5)} AS medae_direct, {o6('mb', 5)} AS medae_relative, {o6('100 * (b - a) / greatest(a, 1e-9)', 4)} AS mae_gap_pct, CASE WHEN b <= a THEN 'relative_delta' ELSE 'direct_level' END AS better FROM m""")
 def relative_vs_direct(spark, d):
-    t = tri(spark, d).withColumn("dy", F.col("u168") - F.col("u24"))
-    a = G.ridge_fit(t, penalise_intercept=True)
-    b = G.ridge_fit(t, penalise_intercept=True, y="dy").select("parameter_name", *[F.col(c).alias(f"r{c}") for c in ("b0", "b1", "b2")])
-    j = G.score(t, a).join(b, "parameter_name").withColumn("rel", F.expr("u24 + rb0 + rb1 * u0 + rb2 * u24"))
-    return j.groupBy("parameter_name").agg(r6(F.avg(F.abs(F.col("u_hat") - F.col("u168")))).alias("mae_direct"), r6(F.avg(F.abs(F.col("rel") - F.col("u168")))).alias("mae_relative"))
+    h = V.held_out_target(tri(spark, d))
+    return h.select("parameter_name", "n", *[r6(f"{m}_{k}", 5).alias(f"{m}_{k}") for k in ("direct", "relative") for m in ("mae", "rmse", "medae")], r6("mae_gap_pct", 4).alias("mae_gap_pct"), "better")
 
 
-@query("lambda_sweep")
+GRID = ", ".join(f"({10.0 ** (-3.0 + i * 6.0 / 49)!r}::DOUBLE)" for i in range(50))
+
+
+@query("lambda_sweep", W + TRI + f""", fd AS (SELECT *, {part(5)} AS fold FROM tri), tr AS (SELECT l.lam, h.fold AS held, f.* FROM fd f JOIN (SELECT DISTINCT parameter_name, fold FROM fd) h ON h.parameter_name = f.parameter_name AND h.fold <> f.fold, (VALUES {GRID}) l(lam)),
+{ridge('lw', 'tr', 'parameter_name, held, lam', lam='lam')},
+pe AS (SELECT f.parameter_name, w.lam, f.fold, v168, w.b0 + w.b1 * u0 + w.b2 * u24 AS uh FROM fd f JOIN lw w ON w.parameter_name = f.parameter_name AND w.held = f.fold),
+pf AS (SELECT parameter_name, lam, fold, avg(abs({inv('uh')} - v168)) AS mae FROM pe GROUP BY 1, 2, 3)
+SELECT parameter_name, {o6('lam')} AS lam, {o6('avg(mae)', 5)} AS cv_mae, count(*) AS folds FROM pf GROUP BY parameter_name, lam""")
 def lambda_sweep(spark, d):
-    return V.lambda_sweep(tri(spark, d)).select("parameter_name", r6("lam").alias("lam"), r6("mse").alias("mse"))
+    return V.lambda_sweep(tri(spark, d)).select("parameter_name", r6("lam").alias("lam"), r6("cv_mae", 5).alias("cv_mae"), "folds")
+
+
+SPLIT = "(CAST('0x' || substr(md5(split || lot_id), 1, 8) AS BIGINT) % 4)"
 
 
-@query("multi_split")
+@query("multi_split", W + TRI + f""", sp AS (SELECT split, {SPLIT} = 0 AS held, t.* FROM tri t, (VALUES ('A'), ('B'), ('C'), ('D')) s(split)), st AS (SELECT * FROM sp WHERE NOT held),
+{ridge('ms', 'st', 'parameter_name, split', penal=False)},
+pr AS (SELECT p.split, p.parameter_name, v24, v168, m.b0 + m.b1 * u0 + m.b2 * u24 AS uh FROM sp p JOIN ms m ON m.parameter_name = p.parameter_name AND m.split = p.split WHERE held), py AS (SELECT *, CASE WHEN abs(uh) > 10 THEN v24 ELSE {inv('uh')} END AS y FROM pr)
+SELECT split, parameter_name, count(*) AS n, {o6('avg(abs(y - v168))', 5)} AS mae, {o6('sqrt(avg((y - v168) * (y - v168)))', 5)} AS rmse FROM py GROUP BY 1, 2""")
 def multi_split(spark, d):
     """Named train / validation lot splits, fitted together by one grouped aggregate."""
     t = tri(spark, d).withColumn("split", F.explode(F.array(*[F.lit(x) for x in "ABCD"])))
-    part = F.pmod(F.crc32(F.concat("split", "lot_id")), F.lit(4)) == 0
-    t = t.withColumn("held", part)
+    t = t.withColumn("name", F.concat("split", "lot_id")).withColumn("held", V.lot_part(4, "name") == 0)
     coef = G.ridge_fit(t.where(~F.col("held")), ["parameter_name", "split"])
     s = G.guarded(G.score(t.where("held"), coef, ["parameter_name", "split"]))
     m = V.forecast_metrics(s, ["split", "parameter_name"], lo=None, hi=None)
     return m.select("split", "parameter_name", "n", r6("mae", 5).alias("mae"), r6("rmse", 5).alias("rmse"))
 
 
-@query("regime_conformal", W + TRI + f""", m AS (SELECT *, abs(u24 - u0) AS mv, abs(u168 - uh) AS e FROM lk), t AS (SELECT parameter_name, median(mv) AS tau FROM m GROUP BY 1),
-r AS (SELECT m.parameter_name, e, CASE WHEN mv <= tau THEN 'QUIET' ELSE 'MOVING' END AS regime FROM m JOIN t USING (parameter_name)), q AS (SELECT parameter_name, regime, quantile_cont(e, 0.9) AS q FROM r GROUP BY 1, 2)
-SELECT parameter_name, regime, count(*) AS n, {o6('any_value(q)')} AS quantile, {o6('avg((e <= q)::INT)')} AS coverage FROM r JOIN q USING (parameter_name, regime) GROUP BY 1, 2""")
+@query("regime_conformal", W + HELD + f""", r AS (SELECT t.parameter_name, {part(2)} AS half, abs(u24 - u0) AS mv, abs(u168 - (d.b0 + d.b1 * u0 + d.b2 * u24)) AS e FROM tri t JOIN cd d USING (parameter_name)),
+k AS (SELECT parameter_name, median(mv) AS tau, quantile_cont(e, 0.9) AS qg FROM r WHERE half = 0 GROUP BY 1),
+kq AS (SELECT parameter_name, quantile_cont(e, 0.9) FILTER (mv <= tau) AS qn, quantile_cont(e, 0.9) FILTER (mv > tau) AS qd FROM r JOIN k USING (parameter_name) WHERE half = 0 GROUP BY 1)
+SELECT parameter_name, count(*) AS n, {o6('any_value(tau)')} AS tau, {o6('any_value(qg)')} AS q_global, {o6('any_value(qn)')} AS q_quiet, {o6('any_value(qd)')} AS q_moving, {o6('avg((e <= qg)::INT)')} AS uniform_all, {o6('avg((e <= qg)::INT) FILTER (mv > tau)')} AS uniform_moving,
+ {o6('avg((e <= CASE WHEN mv <= tau THEN qn ELSE qd END)::INT)')} AS regime_all, {o6('avg((e <= qd)::INT) FILTER (mv > tau)')} AS regime_moving FROM r JOIN k USING (parameter_name) JOIN kq USING (parameter_name) WHERE half = 1 GROUP BY 1""")
 def regime_conformal(spark, d):
-    c = V.regime_coverage(P.locked_score(tri(spark, d)))
-    return c.select("parameter_name", "regime", "n", r6("quantile").alias("quantile"), r6("coverage").alias("coverage"))
+    c = V.regime_coverage(tri(spark, d))
+    return c.select("parameter_name", "n", *[r6(x).alias(x) for x in ("tau", "q_global", "q_quiet", "q_moving", "uniform_all", "uniform_moving", "regime_all", "regime_moving")])
 
 
 @query("sensor_enrichment", """WITH c AS (SELECT vec_id AS row_id, i AS s, CASE WHEN (vec_id * 31 + i - 1) % 17 = 0 THEN NULL ELSE CAST(embedding[i] AS DOUBLE) END AS v FROM embeddings, range(1, 65) t(i)),
@@ -262,7 +276,7 @@ def coverage_table(spark, d):
     return m.select("parameter_name", "regime", "n", r6("coverage").alias("coverage"))
 
 
-@query("joint_eval")
+@query("joint_eval", CONFUSION + f" SELECT defective, count(*) AS n, {o6('avg(d)', 4)} AS mean, count(*) FILTER (d >= 4.25) AS flagged, {o6('quantile_cont(d, 0.05)', 4)} AS p05, {o6('quantile_cont(d, 0.95)', 4)} AS p95 FROM lab JOIN jd USING (component_id) GROUP BY 1")
 def joint_eval(spark, d):
     """Joint distance by label: mean, upper / lower quantile, precision, recall."""
     from emberline.operators.ranks import group_quantiles

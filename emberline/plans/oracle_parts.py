@@ -78,3 +78,17 @@ def erf(x: str) -> str:
         f"list_reduce([{{'t': {a}, 's': {a}, 'n': 0.0::DOUBLE}}] || [{{'t': {a}, 's': {a}, 'n': k::DOUBLE}} FOR k IN range(1, 61)], "
         f"lambda p, q: {{'t': p.t * 2 * ({a}) * ({a}) / (2 * q.n + 1), 's': p.s + p.t * 2 * ({a}) * ({a}) / (2 * q.n + 1), 'n': q.n}}).s) END"
     )
+
+
+def part(k: int, lot: str = "lot_id") -> str:
+    return f"(CAST('0x' || substr(md5({lot}), 1, 8) AS BIGINT) % {k})"
+
+
+def ridge(name: str, src: str, keys: str, y: str = "u168", lam: str = "1.0::DOUBLE", penal: bool = True) -> str:
+    """CTEs <name>e.. and <name>(keys, b0, b1, b2): normal equations of 1, u0, u24 by elimination from the last unknown up."""
+    top = f" + {lam}" if penal else ""
+    return f"""{name}a AS (SELECT {keys}, count(*){top} AS m00, sum(u0) AS m01, sum(u24) AS m02, sum(u0 * u0) + {lam} AS m11, sum(u0 * u24) AS m12, sum(u24 * u24) + {lam} AS m22, sum({y}) AS g0, sum(u0 * {y}) AS g1, sum(u24 * {y}) AS g2 FROM {src} GROUP BY {keys}),
+{name}b AS (SELECT *, m00 - m02 * m02 / m22 AS k00, m01 - m12 * m02 / m22 AS k01, m11 - m12 * m12 / m22 AS k11, g0 - m02 * g2 / m22 AS h0, g1 - m12 * g2 / m22 AS h1 FROM {name}a),
+{name}c AS (SELECT *, (h0 - k01 * h1 / k11) / (k00 - k01 * k01 / k11) AS b0 FROM {name}b),
+{name}d AS (SELECT *, (h1 - k01 * b0) / k11 AS b1 FROM {name}c),
+{name} AS (SELECT *, (g2 - m02 * b0 - m12 * b1) / m22 AS b2 FROM {name}d)"""

@@ -34,8 +34,12 @@ lky AS (SELECT *, {inv('uh')} AS y FROM lk),
 du AS (SELECT component_id, lot_id, parameter_name, any_value(flr) AS flr, max(value) FILTER (elapsed_hours = 0) AS v0, max(value) FILTER (elapsed_hours = 24) AS v24, max(u) FILTER (elapsed_hours = 0) AS u0, max(u) FILTER (elapsed_hours = 24) AS u24 FROM tu GROUP BY 1, 2, 3),
 d2 AS (SELECT * FROM du WHERE u0 IS NOT NULL AND u24 IS NOT NULL)"""
 SUMSQL = "count(*)::DOUBLE AS n, sum(u0) AS s1, sum(u24) AS s2, sum(u168) AS sy, sum(u0 * u0) AS s11, sum(u0 * u24) AS s12, sum(u24 * u24) AS s22, sum(u0 * u168) AS s1y, sum(u24 * u168) AS s2y"
-RS = {k: v.replace("1D", "1.0::DOUBLE") for k, v in G.ridge_sql().items()}
-SOLVE = f"{RS['b0']} AS b0, {RS['b1']} AS b1, {RS['b2']} AS b2"
+# ridge with a free intercept: centred sums, the second slope eliminated first
+_P, _Q, _R = "(s11 - s1 * s1 / n + 1.0::DOUBLE)", "(s12 - s1 * s2 / n)", "(s22 - s2 * s2 / n + 1.0::DOUBLE)"
+_V, _W = "(s1y - s1 * sy / n)", "(s2y - s2 * sy / n)"
+_B1 = f"(({_V} - {_Q} * {_W} / {_R}) / ({_P} - {_Q} * {_Q} / {_R}))"
+_B2 = f"(({_W} - {_Q} * {_B1}) / {_R})"
+SOLVE = f"sy / n - {_B1} * s1 / n - {_B2} * s2 / n AS b0, {_B1} AS b1, {_B2} AS b2"
 FIT = TRI + f""",
 fs AS (SELECT parameter_name, {SUMSQL} FROM tri GROUP BY 1), fit AS (SELECT parameter_name, n, {SOLVE} FROM fs),
 ls AS (SELECT parameter_name, lot_id, {SUMSQL} FROM tri GROUP BY 1, 2),
