@@ -92,3 +92,21 @@ def ridge(name: str, src: str, keys: str, y: str = "u168", lam: str = "1.0::DOUB
 {name}c AS (SELECT *, (h0 - k01 * h1 / k11) / (k00 - k01 * k01 / k11) AS b0 FROM {name}b),
 {name}d AS (SELECT *, (h1 - k01 * b0) / k11 AS b1 FROM {name}c),
 {name} AS (SELECT *, (g2 - m02 * b0 - m12 * b1) / m22 AS b2 FROM {name}d)"""
+
+
+def gram(name: str, src: str, key: str, xs: list[str], y: str) -> str:
+    """CTEs ending in <name>(key, b0 .. bk): ridge on an intercept (free) and ``xs`` by elimination from the last unknown up."""
+    cols, n = ["1", *xs], len(xs) + 1
+    first = ", ".join(f"sum({cols[i]} * {cols[j]}){' + 1.0::DOUBLE' if i == j and i else ''} AS a{n}_{i}_{j}" for i in range(n) for j in range(i + 1))
+    out = [f"{name}{n} AS (SELECT {key}, {first}, " + ", ".join(f"sum({cols[i]} * {y}) AS g{n}_{i}" for i in range(n)) + f" FROM {src} GROUP BY 1)"]
+    for k in range(n - 1, 0, -1):
+        f = {i: f"a{k + 1}_{k}_{i} / a{k + 1}_{k}_{k}" for i in range(k)}
+        rows = [f"a{k + 1}_{i}_{j} - {f[i]} * a{k + 1}_{k}_{j} AS a{k}_{i}_{j}" for i in range(k) for j in range(i + 1)]
+        rows += [f"g{k + 1}_{i} - {f[i]} * g{k + 1}_{k} AS g{k}_{i}" for i in range(k)]
+        out.append(f"{name}{k} AS (SELECT *, {', '.join(rows)} FROM {name}{k + 1})")
+    before = f"{name}1"
+    for k in range(n):
+        known = "".join(f" - a{k + 1}_{k}_{j} * b{j}" for j in range(k))
+        out.append(f"{name}{'' if k == n - 1 else f'b{k}'} AS (SELECT *, (g{k + 1}_{k}{known}) / a{k + 1}_{k}_{k} AS b{k} FROM {before})")
+        before = f"{name}b{k}"
+    return ",\n".join(out)

@@ -10,7 +10,7 @@ from emberline.operators import regression as G
 from emberline.operators import represent as R
 from emberline.plans import screening as S
 from emberline.plans.catalog import query
-from emberline.plans.oracle_parts import FLOOR, HIGH, LOW, TEL, TU, inv, loo, med_mad
+from emberline.plans.oracle_parts import gram, FLOOR, HIGH, LOW, TEL, TU, inv, loo, med_mad
 from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.screening_oracle import component_ctes, screen_ctes
 from emberline.registry import CONFORMAL_QUANTILES, PRIMARY, REGIME_GATE
@@ -195,7 +195,12 @@ def residual_rows(spark, d):
     return context(spark, d).join(t, ID).withColumn("delta_u", F.col("u168") - F.col("u24"))
 
 
-@query("residual_ridge")
+RESIDUAL = CTX + """,
+rr AS (SELECT c.parameter_name, c.u24, c.cd, c.ld, c.xd, t.u168 - c.u24 AS dy FROM cx c JOIN tri t ON t.component_id = c.component_id AND t.parameter_name = c.parameter_name),
+""" + gram("rg", "rr", "parameter_name", ["u24", "cd", "ld", "xd"], "dy")
+
+
+@query("residual_ridge", W + RESIDUAL + " SELECT parameter_name, " + ", ".join(f"{o6(f'b{i}', 5)} AS beta_{n}" for i, n in enumerate(["0", *FEATS])) + " FROM rg")
 def residual_ridge(spark, d):
     b = G.gram_fit(residual_rows(spark, d), FEATS, "delta_u")
     return b.select("parameter_name", *[r6(F.col("beta")[i], 5).alias(f"beta_{n}") for i, n in enumerate(["0", *FEATS])])
