@@ -25,8 +25,8 @@ def labels_v1(spark, d):
 
 
 LABELS_SQL = TEL + """,
-dev AS (SELECT t.*, CASE WHEN z.value = 0 THEN 0.0::DOUBLE ELSE (t.value - z.value) / z.value END AS r FROM tel t
-        JOIN tel z ON t.component_id = z.component_id AND t.parameter_name = z.parameter_name AND z.elapsed_hours = 0),
+zer AS (SELECT *, max(CASE WHEN elapsed_hours = 0 THEN value END) OVER (PARTITION BY component_id, parameter_name) AS z FROM tel),
+dev AS (SELECT * EXCLUDE (z), CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE (value - z) / z END AS r FROM zer WHERE z IS NOT NULL),
 fab AS (SELECT component_id, lot_id, parameter_name, min(CASE WHEN abs(r) >= 0.2 THEN elapsed_hours END) AS first_abnormal_hour FROM dev GROUP BY 1, 2, 3)"""
 
 

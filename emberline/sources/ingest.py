@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.scalars import finite
@@ -83,16 +83,34 @@ def upload_profile(df: DataFrame, key=KEY) -> DataFrame:
     return out.withColumn("readiness", ready)
 
 
-def sensor_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A4: space-delimited wide matrix -> (row_id, sensor_id, value); NaN becomes NULL.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, line) of text files: row_id is the line number, files one after the other by path.
 
-    ``row_id`` is the byte-ordered line number per file position, from the text reader.
+    A split reads its lines in order, so a line's number is its place in the split plus the lines of the splits
+    before; only one row per split is counted and summed.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), F.split(F.trim("value"), r"\s+").alias("c"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line")
+    )
+    splits = lines.groupBy("__path", "__start").agg(F.min("__id").alias("__base"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = splits.select("__path", "__start", "__base", F.coalesce(before, F.lit(0)).alias("__before"))
+    return lines.join(placed, ["__path", "__start"]).select((F.col("__id") - F.col("__base") + F.col("__before")).alias("row_id"), "line")
+
+
+def sensor_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A4: space-delimited wide matrix -> (row_id, sensor_id, value); NaN becomes NULL. row_id is the line number."""
+    lines = numbered_lines(spark, path).select("row_id", F.split(F.trim("line"), r"\s+").alias("c"))
     long = lines.select("row_id", F.posexplode("c").alias("sensor_id", "text"))
     return long.select("row_id", "sensor_id", finite(F.expr("try_cast(text AS DOUBLE)")).alias("value"))
 
 
+def label_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A4: one label per line, -1 good and 1 failed, then an optional time -> (row_id, is_failure); joins to sensor_rows."""
+    first = F.expr("try_cast(element_at(split(trim(line), '[ ,]+'), 1) AS INT)")
+    return numbered_lines(spark, path).select("row_id", (first == 1).cast("int").alias("is_failure"))
+
+
 def component_metadata(df: DataFrame) -> DataFrame:
     """A5: per component: lot, sorted checkpoints and parameters."""
     return df.groupBy("component_id", "lot_id").agg(
@@ -101,14 +119,16 @@ def component_metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def union_dedup(first: DataFrame, second: DataFrame, key=KEY, keep: str = "first") -> DataFrame:
+def union_dedup(first: DataFrame, second: DataFrame, key=KEY, keep: str = "first", order: str = "value") -> DataFrame:
     """Union of two sources; on a repeated key the first (or last) source wins.
 
+    Inside one source the row with the smallest (or largest) ``order`` wins - a column both sources have, such as
+    an arrival number - and among equals the one whose other columns come first (or last).
     A mergeable ``min_by`` / ``max_by`` instead of a window: repeats collapse before the shuffle.
     """
     both = first.withColumn("__src", F.lit(0)).unionByName(second.withColumn("__src", F.lit(1)))
     rest = [c for c in first.columns if c not in key]
-    pick = (F.min_by if keep == "first" else F.max_by)(F.struct(*rest), F.struct("__src", "value"))
+    pick = (F.min_by if keep == "first" else F.max_by)(F.struct(*rest), F.struct("__src", order, *[c for c in rest if c != order]))
     return both.groupBy(*key).agg(pick.alias("__r")).select(*key, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*first.columns)
 
 

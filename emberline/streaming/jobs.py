@@ -108,11 +108,31 @@ def running_cusum(stream: DataFrame, reg: Registry = REGISTRY, slack: float = 0.
     return rows.groupBy("component_id", "parameter_name").applyInPandasWithState(step, OUT_DDL, STATE_DDL, "append", "NoTimeout")
 
 
+LOT_BUCKETS = 256
+
+
+def lot_bucket(lot: str = "lot_id"):
+    return F.pmod(F.xxhash64(lot), F.lit(LOT_BUCKETS)).cast("int")
+
+
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """Rewrite a re-screen store into ``target`` with one reading per key and few files per bucket."""
+    rows = spark.read.option("basePath", store).parquet(f"{store}/part=*")
+    _latest(rows).withColumn("part", F.lit(0)).withColumn("lot_bucket", lot_bucket()).repartition("lot_bucket").write.mode("overwrite").partitionBy("part", "lot_bucket").parquet(target)
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """A key read again keeps its latest batch."""
+    keep = [c for c in rows.columns if c not in (*KEY, "part", "lot_bucket")]
+    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*keep), F.struct("batch", "ts")).alias("r")).select(*KEY, "r.*")
+
+
 def rescreen_on_batch(store: str, out: str, as_of: int) -> Callable[[DataFrame, int], None]:
     """Append the batch, find the lots it touched, screen those lots whole, overwrite them.
 
     A late reading of one member changes every peer's reference, so a lot is always redone as a
-    whole; lots not touched are neither read (partition pruning) nor rewritten.
+    whole. The store is partitioned by a hash bucket of the lot and the batch's buckets (at most
+    LOT_BUCKETS numbers) are literals of the read, so other buckets are pruned, not scanned.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -120,13 +140,11 @@ def rescreen_on_batch(store: str, out: str, as_of: int) -> Callable[[DataFrame,
         from emberline.session import cut
 
         fixed = cut(batch)
-        fixed.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("lot_id").parquet(f"{store}/part={batch_id}")
+        fixed.withColumn("batch", F.lit(batch_id)).withColumn("lot_bucket", lot_bucket()).write.mode("overwrite").partitionBy("lot_bucket").parquet(f"{store}/part={batch_id}")
         touched = fixed.select("lot_id").distinct()
-        rows = spark.read.option("basePath", store).parquet(f"{store}/part=*").join(touched, "lot_id", "left_semi")
-        # a key read again keeps its latest batch
-        keep = [c for c in rows.columns if c not in (*KEY, "part", "batch")]
-        rows = rows.groupBy(*KEY).agg(F.max_by(F.struct(*keep), F.struct("batch", "ts")).alias("r")).select(*KEY, "r.*")
-        result = screen_components(rows, as_of).select("component_id", "lot_id", "final.state", "final.reason")
+        buckets = [r[0] for r in touched.select(lot_bucket()).distinct().collect()]
+        rows = spark.read.option("basePath", store).parquet(f"{store}/part=*").where(F.col("lot_bucket").isin(buckets)).join(touched, "lot_id", "left_semi")
+        result = screen_components(_latest(rows).drop("batch"), as_of).select("component_id", "lot_id", "final.state", "final.reason")
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lot_id").parquet(out)
 
     return run

@@ -75,3 +75,31 @@ def test_rescreen_touched_lots(spark):
     want = {r["component_id"]: r["state"] for r in screen_components(tel, 24).select("component_id", "final.state").collect()}
     got = {r["component_id"]: r["state"] for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == want
+
+
+def test_line_numbers_join_matrix_and_labels(spark, tmp_path):
+    from emberline.sources.ingest import label_rows, sensor_rows
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.data").write_text("".join(f"{i} {'NaN' if i % 3 == 0 else i * 2}\n" for i in range(5000)))
+    (tmp_path / "m/b.data").write_text("9000 1\n")
+    (tmp_path / "labels").write_text("".join(f'{1 if i % 7 == 0 else -1} "19/07/2008 11:55:00"\n' for i in range(5001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        cells = sensor_rows(spark, str(tmp_path / "m")).where("sensor_id = 0").collect()
+        labels = {r.row_id: r.is_failure for r in label_rows(spark, str(tmp_path / "labels")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.row_id: r.value for r in cells} == {**{i: float(i) for i in range(5000)}, 5000: 9000.0}
+    assert labels == {i: int(i % 7 == 0) for i in range(5001)}
+
+
+def test_union_dedup_follows_the_order_column(spark):
+    from emberline.sources.ingest import union_dedup
+
+    ddl = "component_id string, lot_id string, parameter_name string, elapsed_hours int, value double, seq int"
+    a = spark.createDataFrame([("C1", "L", "IDSS", 0, 5.0, 1), ("C1", "L", "IDSS", 0, 3.0, 2)], ddl)
+    b = spark.createDataFrame([("C1", "L", "IDSS", 0, 9.0, 0), ("C2", "L", "IDSS", 0, 4.0, 0)], ddl)
+    got = {r.component_id: r.value for r in union_dedup(a, b, order="seq").collect()}
+    assert got == {"C1": 5.0, "C2": 4.0}
+    assert {r.component_id: r.value for r in union_dedup(b, a, keep="last", order="seq").collect()} == {"C1": 3.0, "C2": 4.0}
