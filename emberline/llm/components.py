@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import cut
+from emberline.llm.tables import kept
 
 
 def _low(edges: DataFrame, whole: bool) -> DataFrame:
@@ -30,12 +30,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Null ends and self loops are ignored, repeated edges count once, an empty table gives an empty one.
     """
     e = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"), (F.col(left) != F.col(right)).alias("proper"))
-    e = cut(e.where("proper").select("a", "b").distinct())
+    e = kept(e.where("proper").select("a", "b").distinct())
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        e = cut(_low(_low(e, True), False))
+        e = kept(_low(_low(e, True), False))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from emberline.llm.components import connected_components
 from emberline.llm.shingles import WordHashes, band_keys, circulant_signatures, set_digest, shingle_set, similar
-from emberline.llm.tables import cut, is_empty, slices, text_bytes, without
+from emberline.llm.tables import cut, is_empty, joinable, kept, slices, text_bytes, without
 
 ROWS = 4
 MISS = 1e-5
-FIRST_BANDS = 4
 LEADER_ROUNDS = 3
 _SKETCH = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("cls", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("cls", pa.string()), ("members", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("members", pa.binary())])
+_SHINGLES = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("shingle", pa.int64())])
 
 
 def _sketcher(width: int, bands: int, rows: int):
@@ -52,9 +52,9 @@ def _set_reader(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in slices(batches):
-            wanted = batch.column("cls").to_pylist()
-            found = [(c, s) for c, t in zip(wanted, text_bytes(batch.column("text"))) if set_digest(s := shingle_set(t, width, memo)) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([s.tobytes() for _, s in found], pa.binary())], schema=_SETS)
+            rows = zip(batch.column("id").to_pylist(), batch.column("cls").to_pylist(), text_bytes(batch.column("text")))
+            found = [(i, s) for i, c, t in rows if set_digest(s := shingle_set(t, width, memo)) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], schema=_SETS)
 
     return run
 
@@ -70,12 +70,18 @@ def _verifier(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that pass the exact test, checkpointed."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b")
+    """Those of the pairs (a, b) of class ids that pass the exact test, checkpointed.
+
+    Pairs are narrow: while they are small they travel to the sets, and only the sets that some pair names are moved.
+    """
+    pairs = joinable(pairs)
+    needed = joinable(pairs.select(F.col("b").alias("id")).distinct())
+    first = sets.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("members").alias("set_a"))
+    second = sets.join(needed, "id", "left_semi").select(F.col("id").alias("b"), F.col("members").alias("set_b"))
     # the lengths alone rule out many pairs before Python sees them
     shortest, longest = F.least(F.length("set_a"), F.length("set_b")), F.greatest(F.length("set_a"), F.length("set_b"))
-    both = both.where(100 * shortest >= percent * longest)
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a string, b string"))
+    both = first.join(second, "b").where(100 * shortest >= percent * longest)
+    return kept(both.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long"))
 
 
 def _proper(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -83,36 +89,37 @@ def _proper(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open members in different components that share one of their rarest shingles.
+    """Pairs of open members (id, root) in different components that share one of their rarest shingles.
 
     Two sets of similarity p/100 share a shingle among the first n - ceil(n * p/100) + 1 of each in any common
     order; with the order rarest first, near misses of a large family share none and no pair arises. Within a
     shingle's members only those outside its most frequent component are paired.
     """
-    shingles = members.join(sets, "cls").mapInArrow(_exploded, "cls string, root string, n long, shingle long")
-    ranked = shingles.join(shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shingle", "left")
+    shingles = cut(sets.join(joinable(members), "id").mapInArrow(_exploded, "id long, root long, n int, shingle long"))
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = shingles.join(shared, "shingle", "left")
     # shingles of one member only sort first and can be shared with nobody, so only their number matters
-    order = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = cut(ranked.select("cls", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).drop("df"))
+    prefix = kept(ranked.select("id", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).drop("df"))
     sizes = prefix.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
-    held = prefix.join(main, "shingle")
-    minor = held.where("root <> main").select("shingle", F.col("cls").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    other = held.select("shingle", F.col("cls").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    held = kept(prefix.join(main, "shingle"))
+    minor = held.where("root <> main").select("shingle", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    other = held.select("shingle", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
     # the first shared shingle is followed by all the others, of which such a pair has so many
-    shared = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
-    fits = (F.col("rx") != F.col("ry")) & (F.col("ix") <= F.col("nx") - shared + 1) & (F.col("iy") <= F.col("ny") - shared + 1)
+    common = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    fits = (F.col("rx") != F.col("ry")) & (F.col("ix") <= F.col("nx") - common + 1) & (F.col("iy") <= F.col("ny") - common + 1)
     return _proper(minor.join(other, "shingle").where(fits), "x", "y")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("cls", pa.string()), ("root", pa.string()), ("n", pa.int64()), ("shingle", pa.int64())])
     for batch in slices(batches, 64):
         sets = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
-        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        cols = [batch.column("cls").take(pa.array(at)), batch.column("root").take(pa.array(at)), pa.array(np.array([len(s) for s in sets], np.int64)[at]), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        size = np.array([len(s) for s in sets], np.int32)
+        at = np.repeat(np.arange(len(sets)), size)
+        cols = [batch.column("id").take(pa.array(at)), batch.column("root").take(pa.array(at)), pa.array(size[at]), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, schema=_SHINGLES)
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -134,11 +141,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = without(docs, ["n_shingles", "class_id", "component_id", "kept"])
     rows_of = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     sketch = cut(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
-    roots = _class_roots(sketch, rows_of, words, percent)
-    per_doc = sketch.select("d", "h", "cls", "n_shingles").distinct()
-    rooted = per_doc.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("d").alias("least"))
-    labels = rooted.join(least, "root", "left").select("d", "h", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("d")).otherwise(F.col("least")).alias("component_id"))
+    # from here on classes go by a number, fixed by the checkpoint
+    classes = cut(sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    roots = _class_roots(classes, rows_of, words, percent)
+    named = classes.select("cls", "id", "d").join(joinable(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = named.groupBy("root").agg(F.min("d").alias("least"))
+    named = named.join(least, "root").select("cls", "least")
+    per_doc = sketch.select("d", "h", "cls", "n_shingles").distinct().join(named, "cls", "left")
+    labels = per_doc.select("d", "h", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("d")).otherwise(F.col("least")).alias("component_id"))
     # ids and text hashes are joined before texts are needed: a caller that asks for ids alone moves no text
     joined = docs.withColumn("__h", F.xxhash64("text")).join(labels, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("__h", "d", "h")
@@ -157,56 +167,55 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     return single.select("row.*").unionByName(found.where("class_id is null").select(*[f"`{c}`" for c in columns]))
 
 
-def _class_roots(sketch: DataFrame, rows_of: DataFrame, words: int, percent: int) -> DataFrame:
-    """(cls, root) of the classes that are linked with another class."""
-    spark = sketch.sparkSession
-    none = spark.createDataFrame([], "cls string, root string")
-    keyed = sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).select("cls", "d", F.posexplode("bands").alias("band", "bucket"))
-    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
-    held = cut(keyed.join(crowded, "bucket"))
+def _class_roots(classes: DataFrame, rows_of: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, root) of the classes that are linked with another class."""
+    keyed = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+    held = kept(keyed.join(crowded, "bucket"))
     if is_empty(held):
-        return none
-    located = held.select("cls", "d").distinct()
-    sets = cut(rows_of.join(located.select("cls", F.col("d").alias("at")), F.col("d").eqNullSafe(F.col("at"))).select("cls", "text").mapInArrow(_set_reader(words), "cls string, members binary").dropDuplicates(["cls"]))
-    # a few bands settle most families; the others then have few pairs left to test
-    links = _links(_proper(held.where(F.col("band") < FIRST_BANDS), "cls", "leader"), sets, percent)
-    roots = cut(_named(connected_components(links, "a", "b")))
-    open_ = held.select("bucket", "cls", "size")
+        return classes.sparkSession.createDataFrame([], "id long, root long")
+    located = joinable(classes.select("id", "cls", F.col("d").alias("at")).join(joinable(held.select("id").distinct()), "id", "left_semi"))
+    sets = cut(rows_of.join(located, F.col("d").eqNullSafe(F.col("at"))).select("id", "cls", "text").mapInArrow(_set_reader(words), "id long, members binary").dropDuplicates(["id"]))
+    # one band settles most families; the others then have few pairs left to test
+    links = _links(_proper(held.where("band = 0"), "id", "leader"), sets, percent)
+    roots = kept(_named(connected_components(links, "a", "b")))
+    open_ = held.select("bucket", "id", "size")
     for turn in range(LEADER_ROUNDS):
         open_ = _unsettled(open_, roots)
         if is_empty(open_):
             return roots
-        leader = open_.groupBy("bucket").agg(F.min_by(F.struct("cls", "root"), F.xxhash64("cls", F.lit(turn))).alias("leader"))
-        tried = open_.join(leader, "bucket").where("root <> leader.root").select("cls", F.col("leader.cls").alias("leader"))
-        roots = _merged(roots, _links(_proper(tried, "cls", "leader"), sets, percent))
+        leader = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("leader"))
+        tried = open_.join(leader, "bucket").where("root <> leader.root").select("id", F.col("leader.id").alias("leader"))
+        roots = _merged(roots, _links(_proper(tried, "id", "leader"), sets, percent))
         open_ = open_.where("size > 2")  # a bucket of two is settled by its one pair
     open_ = _unsettled(open_, roots)
     if is_empty(open_):
         return roots
-    rest = _residual_pairs(open_.select("cls", "root").distinct(), sets, percent)
+    rest = _residual_pairs(open_.select("id", "root").distinct(), sets, percent)
     return _merged(roots, _links(rest, sets, percent))
 
 
 def _named(components: DataFrame) -> DataFrame:
-    return components.select(F.col("node").alias("cls"), "root")
+    return components.select(F.col("node").alias("id"), "root")
 
 
 def _unsettled(open_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, cls, size, root) of the buckets that still hold several components."""
-    now = open_.select("bucket", "cls", "size").join(roots, "cls", "left").select("bucket", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    """Members (bucket, id, size, root) of the buckets that still hold several components."""
+    now = open_.select("bucket", "id", "size").join(roots, "id", "left").select("bucket", "id", "size", F.coalesce("root", "id").alias("root"))
     several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return cut(now.join(several, "bucket"))
+    return kept(now.join(several, "bucket"))
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only the links between different roots are walked."""
+
     def root_of(side: str) -> DataFrame:
-        return roots.select(F.col("cls").alias(side), F.col("root").alias(f"root_{side}"))
+        return roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
 
     between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    between = cut(between.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y").distinct())
+    between = kept(between.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y").distinct())
     if is_empty(between):
         return roots
-    moved = cut(connected_components(between, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("new")))
-    old = roots.join(moved, "root", "left").select("cls", F.coalesce("new", "root").alias("root"))
-    return cut(old.unionAll(moved.select(F.col("root").alias("cls"), F.col("new").alias("root"))).groupBy("cls").agg(F.min("root").alias("root")))
+    moved = kept(connected_components(between, "x", "y").select(F.col("node").alias("root"), F.col("root").alias("new")))
+    old = roots.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return kept(old.unionAll(moved.select(F.col("root").alias("id"), F.col("new").alias("root"))).groupBy("id").agg(F.min("root").alias("root")))

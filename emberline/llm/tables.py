@@ -37,6 +37,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+PARTITION_ROWS = 200_000
+
+
+def kept(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
+    """A checkpointed copy of a narrow table in as few partitions as its counted rows ask for."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet beside the checkpoints and read back: later passes read the columns they need."""
     spark = df.sparkSession
@@ -63,4 +72,4 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-__all__ = ["WORD", "cut", "is_empty", "joinable", "read", "slices", "stored", "text_bytes", "without"]
+__all__ = ["WORD", "cut", "is_empty", "joinable", "kept", "read", "slices", "stored", "text_bytes", "without"]
