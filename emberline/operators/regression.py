@@ -94,8 +94,9 @@ def guarded(df: DataFrame, reg: Registry = REGISTRY) -> DataFrame:
 
 
 def huber_fit(tri: DataFrame, lam: float = 1.0, scale: float = 1.345, max_iter: int = 50, tol: float = 1e-6, reg: Registry = REGISTRY) -> DataFrame:
-    """IRLS for all parameters at once.
+    """IRLS for all parameters at once; keys, b0, b1, b2, iterations, converged.
 
+    A parameter that still moves by ``tol`` after ``max_iter`` rounds is returned as not converged.
     A bounded driver loop: an iteration is one robust scale and one combined aggregate; only a
     coefficient row per parameter returns to the driver to test convergence.
     """
@@ -105,6 +106,7 @@ def huber_fit(tri: DataFrame, lam: float = 1.0, scale: float = 1.345, max_iter:
     rows = [tuple(r) for r in ridge_fit(base, lam=f"{lam}D").select("parameter_name", "b0", "b1", "b2").collect()]
     open_params = {r[0] for r in rows}
     coef = {r[0]: r[1:] for r in rows}
+    rounds = dict.fromkeys(coef, 0)
     for _ in range(max_iter):
         if not open_params:
             break
@@ -120,7 +122,8 @@ def huber_fit(tri: DataFrame, lam: float = 1.0, scale: float = 1.345, max_iter:
             if max(abs(a - b) for a, b in zip(new, coef[p])) < tol:
                 open_params.discard(p)
             coef[p] = new
-    return spark.createDataFrame([(p, *coef[p]) for p in sorted(coef)], ddl)
+            rounds[p] += 1
+    return spark.createDataFrame([(p, *coef[p], rounds[p], p not in open_params) for p in sorted(coef)], ddl + ", iterations INT, converged BOOLEAN")
 
 
 def gram_fit(df: DataFrame, features: Sequence[str], target: str, lam: float = 1.0) -> DataFrame:

@@ -173,7 +173,7 @@ def ridge_oof_sigma(spark, d):
 
 @query("huber_fit")
 def huber_fit(spark, d):
-    return G.huber_fit(tri(spark, d)).select("parameter_name", *[r6(c, 5).alias(c) for c in ("b0", "b1", "b2")])
+    return G.huber_fit(tri(spark, d)).select("parameter_name", *[r6(c, 5).alias(c) for c in ("b0", "b1", "b2")], "converged")
 
 
 @query("ridge_predict", W + FIT + f", p AS (SELECT t.*, f.b0 + f.b1 * u0 + f.b2 * u24 AS uh FROM tri t JOIN fit f USING (parameter_name)) SELECT component_id, parameter_name, {o6('CASE WHEN abs(uh) > 10 THEN v24 ELSE ' + inv('uh') + ' END', 5)} AS predicted, abs(uh) > 10 AS divergent FROM p")

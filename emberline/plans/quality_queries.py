@@ -396,13 +396,13 @@ def coupling_audit(spark, d):
 @query(
     "card_violations",
     W + TEL + f""", f AS (SELECT component_id, parameter_name, value AS measured, value * 1.02::DOUBLE AS predicted, CASE WHEN component_id LIKE '%7' THEN 'kV' ELSE unit END AS funit, unit,
- CASE WHEN component_id LIKE '%9' THEN value * 1.05::DOUBLE ELSE value * 0.9::DOUBLE END AS lower, value * 1.1::DOUBLE AS upper, {LOW} AS lo, {HIGH} AS hi FROM tel WHERE elapsed_hours = 168 AND parameter_name <> 'IGSS')
+ CASE WHEN component_id LIKE '%9' THEN value * 1.05::DOUBLE ELSE value * 0.9::DOUBLE END AS lower, value * 1.1::DOUBLE AS upper, {LOW} AS lo, {HIGH} AS hi FROM tel WHERE elapsed_hours = 168)
 SELECT component_id, parameter_name, 'PASS_WITH_BREACH' AS violation FROM f WHERE measured < lo OR measured > hi
 UNION ALL SELECT component_id, parameter_name, 'UNIT_MISMATCH' FROM f WHERE funit <> unit
 UNION ALL SELECT component_id, parameter_name, 'INTERVAL_ORDER' FROM f WHERE lower > predicted OR predicted > upper""",
 )
 def card_violations(spark, d):
-    t = A.telemetry_parts(spark, d).where("elapsed_hours = 168 AND parameter_name <> 'IGSS'")
+    t = A.telemetry_parts(spark, d).where("elapsed_hours = 168")
     fc = t.select(
         "component_id", "parameter_name", F.lit("PASS").alias("state"),
         F.when(F.col("component_id").endswith("7"), "kV").otherwise(F.col("unit")).alias("unit"),

@@ -83,12 +83,13 @@ def empirical_p(spark, d):
 
 @query(
     "critical_threshold",
-    W + EP + f", o AS (SELECT parameter_name, abs(slope) AS s, row_number() OVER (PARTITION BY parameter_name ORDER BY abs(slope) DESC) AS rn, count(*) OVER (PARTITION BY parameter_name) AS n FROM rf WHERE k = 4) SELECT parameter_name, n, {o6('s', 8)} AS threshold FROM o WHERE rn = CAST(floor(0.01::DOUBLE * (n + 1) - 1 + 1e-9) AS BIGINT) + 1",
+    W + EP + f", o AS (SELECT parameter_name, abs(slope) AS s, k, row_number() OVER (PARTITION BY parameter_name, k ORDER BY abs(slope) DESC) AS rn, count(*) OVER (PARTITION BY parameter_name, k) AS n FROM rf WHERE slope IS NOT NULL) SELECT parameter_name, k, n, {o6('s', 8)} AS threshold FROM o WHERE n >= 99 AND rn = CAST(floor(0.01::DOUBLE * (n + 1) - 1 + 1e-9) AS BIGINT) + 1",
 )
 def critical_threshold(spark, d):
     ref, _ = split(spark, d)
-    out = K.critical_threshold(ref.where("k = 4"), ["parameter_name"], "slope", 0.01)
-    return out.select("parameter_name", "n", r6("threshold", 8).alias("threshold"))
+    # one threshold per number of checkpoints; below 99 references a level of 1 % has none
+    out = K.critical_threshold(ref.where("slope IS NOT NULL"), ["parameter_name", "k"], "slope", 0.01).where("n >= 99")
+    return out.select("parameter_name", "k", "n", r6("threshold", 8).alias("threshold"))
 
 
 HOLM = EP + """,
