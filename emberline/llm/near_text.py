@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.components import connected_components
 from emberline.llm.shingles import WordHashes, band_keys, circulant_signatures, set_digest, shingle_set, similar
-from emberline.llm.tables import cut, is_empty, joinable, kept, slices, text_bytes, without
+from emberline.llm.tables import is_empty, joinable, kept, slices, text_bytes, without
 
 ROWS = 4
 MISS = 1e-5
@@ -95,7 +95,7 @@ def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     order; with the order rarest first, near misses of a large family share none and no pair arises. Within a
     shingle's members only those outside its most frequent component are paired.
     """
-    shingles = cut(sets.join(joinable(members), "id").mapInArrow(_exploded, "id long, root long, n int, shingle long"))
+    shingles = kept(sets.join(joinable(members), "id").mapInArrow(_exploded, "id long, root long, n int, shingle long"), 1_000_000)
     shared = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = shingles.join(shared, "shingle", "left")
     # shingles of one member only sort first and can be shared with nobody, so only their number matters
@@ -140,9 +140,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = without(docs, ["n_shingles", "class_id", "component_id", "kept"])
     rows_of = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    sketch = cut(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
+    sketch = kept(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
     # from here on classes go by a number, fixed by the checkpoint
-    classes = cut(sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    classes = kept(sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     roots = _class_roots(classes, rows_of, words, percent)
     named = classes.select("cls", "id", "d").join(joinable(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
@@ -175,7 +175,7 @@ def _class_roots(classes: DataFrame, rows_of: DataFrame, words: int, percent: in
     if is_empty(held):
         return classes.sparkSession.createDataFrame([], "id long, root long")
     located = joinable(classes.select("id", "cls", F.col("d").alias("at")).join(joinable(held.select("id").distinct()), "id", "left_semi"))
-    sets = cut(rows_of.join(located, F.col("d").eqNullSafe(F.col("at"))).select("id", "cls", "text").mapInArrow(_set_reader(words), "id long, members binary").dropDuplicates(["id"]))
+    sets = kept(rows_of.join(located, F.col("d").eqNullSafe(F.col("at"))).select("id", "cls", "text").mapInArrow(_set_reader(words), "id long, members binary").dropDuplicates(["id"]), size="length(members)")
     # one band settles most families; the others then have few pairs left to test
     links = _links(_proper(held.where("band = 0"), "id", "leader"), sets, percent)
     roots = kept(_named(connected_components(links, "a", "b")))

@@ -38,12 +38,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 PARTITION_ROWS = 200_000
+PARTITION_BYTES = 48 << 20
 
 
-def kept(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
-    """A checkpointed copy of a narrow table in as few partitions as its counted rows ask for."""
+def kept(df: DataFrame, rows: int = PARTITION_ROWS, size: str | None = None) -> DataFrame:
+    """A checkpointed copy of a table in as few partitions as it asks for: one per ``rows`` rows, or, where ``size``
+    is an expression of a row's bytes, one per PARTITION_BYTES."""
     df = cut(df)
-    return df.coalesce(max(1, -(-df.count() // rows)))
+    if size is None:
+        parts = -(-df.count() // rows)
+    else:
+        parts = -(-(df.agg(F.sum(F.expr(size))).first()[0] or 0) // PARTITION_BYTES)
+    return df.coalesce(max(1, parts))
 
 
 def stored(df: DataFrame) -> DataFrame:
