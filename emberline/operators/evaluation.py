@@ -162,7 +162,7 @@ def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float =
 def regime_coverage(tri: DataFrame, target: float = 0.9, skewed: bool | None = None) -> DataFrame:
     """One quantile for all against one per regime, calibrated on one half of the lots, covered on the other.
 
-    Regimes split at the calibration median of \|u24 - u0\|. Coverage is over all held-out rows and over the moving
+    Regimes split at the calibration median of |u24 - u0|. Coverage is over all held-out rows and over the moving
     ones; without moving rows the latter is null.
     """
     t = tri.withColumns({"part": lot_part(2), "move": F.abs(F.col("u24") - F.col("u0"))})
