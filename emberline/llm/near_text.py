@@ -22,6 +22,7 @@ from emberline.llm.tables import is_empty, joinable, kept, slices, text_bytes, w
 ROWS = 4
 MISS = 1e-5
 LEADER_ROUNDS = 3
+EARLIER = 32
 _SKETCH = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("cls", pa.string()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("id", pa.int64()), ("members", pa.binary())])
 _SHINGLES = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("shingle", pa.int64())])
@@ -101,16 +102,20 @@ def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     # shingles of one member only sort first and can be shared with nobody, so only their number matters
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = kept(ranked.select("id", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).drop("df"))
+    prefix = ranked.select("id", "root", "n", "shingle", "df", order.alias("at")).where((F.col("at") <= keep) & (F.col("df") > 1)).drop("df")
+    # the shingles just before tell whether a pair has met already; beyond EARLIER of them it may come up again
+    before = Window.partitionBy("id").orderBy("at").rowsBetween(-EARLIER, -1)
+    prefix = kept(prefix.withColumn("earlier", F.collect_list("shingle").over(before)))
     sizes = prefix.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "main")
     held = kept(prefix.join(main, "shingle"))
-    minor = held.where("root <> main").select("shingle", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    other = held.select("shingle", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    minor = held.where("root <> main").select("shingle", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("earlier").alias("ex"))
+    other = held.select("shingle", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("earlier").alias("ey"))
     # the first shared shingle is followed by all the others, of which such a pair has so many
     common = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
     fits = (F.col("rx") != F.col("ry")) & (F.col("ix") <= F.col("nx") - common + 1) & (F.col("iy") <= F.col("ny") - common + 1)
-    return _proper(minor.join(other, "shingle").where(fits), "x", "y")
+    first = ~F.arrays_overlap("ex", "ey")
+    return _proper(minor.join(other, "shingle").where(fits & first), "x", "y")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
