@@ -14,7 +14,7 @@ from emberline.llm.tables import cut, is_empty, joinable, without
 
 KINDS = ["email", "ip", "card", "phone"]
 GENERALISE, REMOVE = 0.8, 0.95
-MIN_TEXTS = 3
+PRIOR = 0.5  # pseudo-rows of the value's overall rate behind every term, so a single co-occurrence is not certainty
 _LETTERS = r"[^\p{L}]+"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -117,36 +117,47 @@ def _clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _entities(owners: DataFrame) -> DataFrame:
+    """(h, n, entity) from (h, n, value): values found in the very same texts have the same statistics and are one entity.
+
+    So a text that alone holds thousands of values meets its own terms once, not once per value.
+    """
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("h")), F.bit_xor(F.xxhash64("h", F.lit(1))))
+    named = owners.groupBy("value").agg(F.xxhash64(mark).alias("entity"))
+    return owners.join(named, "value").select("h", "n", "entity").distinct()
+
+
 def revealing_terms(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
-    """(h, terms, removed) per text: its terms that disclose a value it holds.
+    """(h, terms, removed) per text: its terms that disclose a value found anywhere in the corpus.
 
-    docs: (h, text, copies of all rows); marked: (h, value, n) with n the rows of that text. With document frequencies
-    over all rows, disclosure = PMI(value; term) / IC(value): 1 when the term occurs with the value only, 0 when they
-    are independent. A pair needs MIN_TEXTS different texts, so mere copies are no evidence.
+    docs: (h, text) of all rows; marked: (h, n, entity) with n the rows of that text. Disclosure = PMI(value; term) /
+    IC(value), with document frequencies over all rows: 1 when the term occurs with the value only, 0 when they are
+    independent. The share of a term's rows that hold the value is smoothed by PRIOR rows at the value's overall rate,
+    so a value in a single text is analysed like any other and thin evidence counts for less.
     """
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), _LETTERS), lambda x: F.length(x) >= 3))
+    every = docs.select("h", F.explode(terms).alias("term"))
     texts = docs.where(F.col("text").rlike("[0-9@]")).join(joinable(marked.select("h").distinct()), "h", "left_semi")
-    held = cut(texts.select("h", F.explode(terms).alias("term")).distinct())
-    pairs = held.join(marked, "h")
-    counted = pairs.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).where(F.col("texts") >= MIN_TEXTS)
-    counted = cut(counted)
-    frequent = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    by_value = marked.groupBy("value").agg(F.sum("n").alias("value_df"))
-    known = counted.join(frequent, "term").join(by_value, "value")
-    total = F.lit(float(rows))
-    disclosure = F.try_divide(F.ln(F.col("both") * total / (F.col("value_df") * F.col("df"))), F.ln(total / F.col("value_df")))
-    strong = known.select("value", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    hits = pairs.join(strong, ["value", "term"]).groupBy("h", "term").agg(F.max("disclosure").alias("disclosure"))
-    return hits.groupBy("h").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
+    held = texts.select("h", F.explode(terms).alias("term")).distinct()
+    counted = cut(held.join(marked, "h").groupBy("entity", "term").agg(F.sum("n").alias("both")))
+    frequent = every.join(joinable(counted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    by_value = marked.groupBy("entity").agg(F.sum("n").alias("value_df"))
+    known = counted.join(frequent, "term").join(by_value, "entity")
+    rate = F.col("value_df") / F.lit(float(rows))
+    share = (F.col("both") + PRIOR * rate) / (F.col("df") + PRIOR)
+    disclosure = F.try_divide(F.ln(share / rate), -F.ln(rate))
+    strong = known.groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    hits = every.join(joinable(strong), "term")
+    return hits.groupBy("h").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text to every row.
 
-    The base patterns are matched over whole texts. Every distinct value they find in at least MIN_TEXTS different
-    texts is a protected entity; terms (runs of three or more letters, lower-cased) whose corpus co-occurrence discloses
-    it to GENERALISE or more are added as spans of kind generalise, to REMOVE or more of kind remove, in the texts that
-    hold the value. clean_text carries a label per span and drops removed terms; overlapping spans share one label.
+    The base patterns are matched over whole texts. Every distinct value they find, be it in one text only, is a
+    protected entity; terms (runs of three or more letters, lower-cased) whose corpus co-occurrence discloses it to
+    GENERALISE or more are added as spans of kind generalise, to REMOVE or more of kind remove, in every text that
+    contains the term. clean_text carries a label per span and drops removed terms; overlapping spans share one label.
 
     A null text is empty and stays null in clean_text. Texts without personal data are unchanged. Null ids and repeated
     rows are rows like any other; copies share their spans. An empty table gives an empty result. Extra columns pass
@@ -156,14 +167,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     base = cut(keyed.select("doc_id", "h", _base("text").alias("b")).select("doc_id", "h", "b.spans", "b.values"))
     owners = base.where(F.size("values") > 0).groupBy("h", "values").agg(F.count("*").alias("n")).select("h", "n", F.explode("values").alias("value"))
-    shared = owners.groupBy("value").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    marked = cut(owners.join(shared.select("value"), "value"))
+    marked = cut(_entities(owners))
     labels = base.select("doc_id", "h", "spans").distinct()
     if is_empty(marked):
         labels = labels.withColumn("more", F.lit(""))
     else:
         terms = joinable(revealing_terms(keyed, marked, base.count()))
-        found = keyed.where(F.col("text").rlike("[0-9@]")).join(terms, "h").select("h", _term_spans("text", "terms", "removed").alias("more")).dropDuplicates(["h"])
+        found = keyed.join(terms, "h").select("h", _term_spans("text", "terms", "removed").alias("more")).dropDuplicates(["h"])
         labels = labels.join(found, "h", "left")
     whole = labels.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__base"), F.concat_ws(",", F.nullif("spans", F.lit("")), F.nullif("more", F.lit(""))).alias("spans"))
     out = docs.withColumn("__t", F.xxhash64("text")).join(whole, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))

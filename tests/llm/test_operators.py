@@ -219,6 +219,17 @@ def test_sanitising(spark, docs, rows):
             assert "Falconridge" not in r.clean_text and "jo@mail.com" not in r.clean_text and "[EMAIL]" in r.clean_text
 
 
+def test_sanitising_of_a_value_in_one_text(spark):
+    """An address in a single text is protected, and its disclosing term goes from texts without the address too."""
+    common = [(i, f"plain words number {i % 7} here again", "en", "a", 1) for i in range(400)]
+    table = [*common, (1000, "write jo@mail.com plain Falconridge words", "en", "a", 1), (1001, "Falconridge plain words", "en", "a", 1)]
+    alone = {r.doc_id: r for r in privacy.sanitise(spark.createDataFrame(table[:-1], DOCS)).collect()}
+    both = {r.doc_id: r for r in privacy.sanitise(spark.createDataFrame(table, DOCS)).collect()}
+    assert alone[1000].clean_text == "[TERM] [EMAIL] plain [TERM] words"
+    assert both[1001].clean_text == "[TERM] plain words" and both[1000].n_email == 1 and both[1001].n_email == 0
+    assert all(both[i].spans == "" for i in range(400))
+
+
 def test_url_rules_and_trust(spark):
     link = lambda *h: "".join(f'<p><A class=x HREF="https://{x}/p?q">x</a>' for x in h)
     pages = [
