@@ -143,6 +143,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     their own. An empty table gives an empty result. Extra columns pass through; input columns named like an output
     column give way to it. Long texts are read whole.
     """
+    return _grouped(docs, words, percent).drop("__root")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates with __root, the number of the row's component, which ids that repeat cannot confuse."""
     docs = without(docs, ["n_shingles", "class_id", "component_id", "kept"])
     rows_of = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     sketch = kept(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
@@ -151,9 +156,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = _class_roots(classes, rows_of, words, percent)
     named = classes.select("cls", "id", "d").join(joinable(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
-    named = named.join(least, "root").select("cls", "least")
+    named = named.join(least, "root").select("cls", "least", "root")
     per_doc = sketch.select("d", "h", "cls", "n_shingles").distinct().join(named, "cls", "left")
-    labels = per_doc.select("d", "h", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("d")).otherwise(F.col("least")).alias("component_id"))
+    labels = per_doc.select("d", "h", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("d")).otherwise(F.col("least")).alias("component_id"), F.col("root").alias("__root"))
     # ids and text hashes are joined before texts are needed: a caller that asks for ids alone moves no text
     joined = docs.withColumn("__h", F.xxhash64("text")).join(labels, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("__h", "d", "h")
@@ -162,13 +167,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    Rows that repeat that doc_id inside the component are reduced to the one with the smallest text; all empty texts
-    stay. Columns are those of ``docs``.
+    Rows that repeat that doc_id inside the component, and those of a component without ids, are reduced to the one with
+    the smallest text; all empty texts stay. One doc_id on texts that are no near copies costs none of them. Columns are
+    those of ``docs``.
     """
     columns = docs.columns
-    found = near_duplicates(docs, words, percent).where("kept")
+    found = _grouped(docs, words, percent).where("kept")
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    single = found.where("class_id is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("nameless")).agg(F.min_by(row, F.col("text")).alias("row"))
+    single = found.where("class_id is not null").groupBy("__root").agg(F.min_by(row, F.col("text")).alias("row"))
     return single.select("row.*").unionByName(found.where("class_id is null").select(*[f"`{c}`" for c in columns]))
 
 

@@ -92,6 +92,15 @@ def test_one_per_group(docs, rows):
     assert len(kept) - len(worded) == sum(not brute.words(t) for _, t, *_ in rows)
 
 
+def test_one_per_group_by_component(spark):
+    """One doc_id on two unrelated texts costs neither; of two near copies without ids one stays."""
+    rng = random.Random(21)
+    one, two, three = (prose(200, rng) for _ in range(3))
+    table = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (None, three, "en", "a", 1), (None, three + " tail", "en", "a", 1)]
+    kept = near_text.one_per_group(spark.createDataFrame(table, DOCS)).collect()
+    assert sorted(r.text for r in kept) == sorted([one, two, three])
+
+
 def test_quality(docs, rows):
     found = quality.quality_rules(docs).collect()
     assert len(found) == len(rows)
