@@ -13,7 +13,7 @@ from emberline.plans.catalog import query
 from emberline.plans.oracle_parts import gram, FLOOR, HIGH, LOW, TEL, TU, inv, loo, med_mad
 from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.screening_oracle import component_ctes, screen_ctes
-from emberline.registry import CONFORMAL_QUANTILES, PRIMARY, REGIME_GATE
+from emberline.registry import CONFORMAL_QUANTILES, PRIMARY, REGIME_GATE, REGISTRY
 from emberline.sources import adapters as A
 
 ID = ["component_id", "parameter_name"]
@@ -209,7 +209,7 @@ def residual_ridge(spark, d):
 @query("gbt_residual")
 def gbt_residual(spark, d):
     rows = residual_rows(spark, d)
-    return out(G.gbt_residual(rows, FEATS, "delta_u", "RDS(on)", iterations=50), "delta_hat", digits=4)
+    return out(G.gbt_residual(rows, FEATS, "delta_u", REGISTRY.names, iterations=50), "delta_hat", digits=4)
 
 
 @query("regime_threshold", W + CTX + ",\n" + med_mad("xm", "cx", "parameter_name", "xd") + f" SELECT parameter_name, n, {o6(f'greatest(1.4826::DOUBLE * mad, {FLOOR})')} AS scale, {o6(f'0.5 * greatest(1.4826::DOUBLE * mad, {FLOOR})')} AS tau FROM xm")

@@ -103,3 +103,17 @@ def test_union_dedup_follows_the_order_column(spark):
     got = {r.component_id: r.value for r in union_dedup(a, b, order="seq").collect()}
     assert got == {"C1": 5.0, "C2": 4.0}
     assert {r.component_id: r.value for r in union_dedup(b, a, keep="last", order="seq").collect()} == {"C1": 3.0, "C2": 4.0}
+
+
+def test_gbt_residual_of_all_parameters(spark):
+    """Every registered parameter is fitted and predicted for itself; a row without features has no prediction."""
+    from emberline.operators.regression import gbt_residual
+    from emberline.registry import REGISTRY
+
+    rows = [(f"c{i}", p, float(i % 10), (k + 1.0) * (i % 10)) for k, p in enumerate(REGISTRY.names) for i in range(60)]
+    rows.append(("none", "IGSS", None, 1.0))
+    df = spark.createDataFrame(rows, "component_id string, parameter_name string, x double, y double")
+    found = gbt_residual(df, ["x"], "y", REGISTRY.names, iterations=20).collect()
+    assert len(found) == len(rows) and [r.component_id for r in found if r.delta_hat is None] == ["none"]
+    for k, p in enumerate(REGISTRY.names):
+        assert max(r.delta_hat for r in found if r.parameter_name == p and r.delta_hat is not None) > 6 * (k + 1)
