@@ -20,6 +20,8 @@ SHARD_BYTES = 64 << 20
 BEAM = 64
 AUDIT_ROWS = 512
 AUDIT_RECALL = 0.99
+QUERIES = 256  # looked up at once in a shard, fewer where QUERIES times its vectors exceed PAIRS
+PAIRS = 6_000_000
 _SLACK = 1e-4  # single precision finds candidates, double precision decides
 _ROWS = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("cls", pa.string()), ("dim", pa.int32()), ("vec", pa.binary())])
 
@@ -61,7 +63,7 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
         {
             "dim": rows["dim"][:1],
             "shard": rows["shard"][:1],
-            "names": ["".join(rows["cls"])],
+            "names": pd.Series(["".join(rows["cls"])], dtype=object),
             "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
             "raw": [raw.tobytes()],
             "layers": [[layer.tobytes() for layer in graph.links]],
@@ -76,45 +78,70 @@ def _load(row: pd.Series) -> tuple[Graph, np.ndarray, list[str], np.ndarray]:
     return Graph(unit(raw), layers), raw, [row["names"][32 * i : 32 * i + 32] for i in range(len(copies))], copies
 
 
-def _found(graphs: pd.DataFrame, queries: pd.DataFrame, least: float, width: int):
-    """(query row, node, names, copies): matches of the queries in one shard, cosine checked in double precision."""
-    graph, raw, names, copies = _load(graphs.iloc[0])
-    asked = _matrix(queries["vec"])
-    q, node = graph.within(unit(asked), least - _SLACK, width)
-    sure = np.zeros(len(q), bool)
-    a, b = asked / np.linalg.norm(asked, axis=1, keepdims=True), raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    for i in range(0, len(q), 50_000):
-        s = slice(i, i + 50_000)
-        sure[s] = np.einsum("nd,nd->n", a[q[s]], b[node[s]]) >= least
-    return q[sure], node[sure], names, copies
+def _matches(graph: Graph, raw: np.ndarray, asked: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query row, node) of the matches in one shard, cosine checked in double precision, some queries at a time."""
+    b = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    some = max(1, min(QUERIES, PAIRS // max(1, len(raw))))
+    for at in range(0, len(asked), some):
+        part = asked[at : at + some]
+        q, node = graph.within(unit(part), least - _SLACK, width)
+        a = part / np.linalg.norm(part, axis=1, keepdims=True)
+        sure = np.zeros(len(q), bool)
+        for i in range(0, len(q), 50_000):
+            s = slice(i, i + 50_000)
+            sure[s] = np.einsum("nd,nd->n", a[q[s]], b[node[s]]) >= least
+        yield q[sure] + at, node[sure]
+
+
+def _numbers(names: list[str], own: np.ndarray) -> np.ndarray:
+    """Number of each query: its node if the shard holds it, else one behind the nodes."""
+    node = {x: i for i, x in enumerate(names)}
+    return np.array([node.get(x, len(names) + i) for i, x in enumerate(own)], np.int64)
+
+
+def _unite(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``up`` (number -> root) after joining x with y; only pairs of different roots, each once, are walked."""
+    x, y = up[x], up[y]
+    apart = x != y
+    x, y = x[apart], y[apart]
+    if not len(x):
+        return up
+    fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in np.unique(np.stack([x[fresh], y[fresh]], 1), axis=0).tolist():
+        i, j = find(i), find(j)
+        up[max(i, j)] = min(i, j)
+    while (up[up] != up).any():
+        up = up[up]
+    return up
 
 
 def _searcher(least: float, width: int):
     def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """Per query the vectors linked to it in this shard, and edges that join what the links join, no more."""
-        empty = pd.DataFrame({"cls": [], "links": [], "to": []})
         if not len(graphs) or not len(queries):
-            return empty
-        q, node, names, copies = _found(graphs, queries, least, width)
+            return pd.DataFrame({"cls": [], "links": [], "to": []})
+        graph, raw, names, copies = _load(graphs.iloc[0])
         own = queries["cls"].to_numpy()
-        named = np.array(names, dtype=object)[node]
-        other = own[q] != named
-        q, node, named = q[other], node[other], named[other]
-        links = np.bincount(q, copies[node], len(own)).astype(np.int64)
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root.setdefault(up, up)
-            return x
-
-        for x, y in zip(own[q], named):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        counted = pd.DataFrame({"cls": own, "links": links, "to": None})[links > 0]
-        joined = pd.DataFrame([(x, 0, find(x)) for x in list(root)], columns=["cls", "links", "to"])
-        return pd.concat([counted, joined], ignore_index=True)
+        number = _numbers(names, own)
+        links, up = np.zeros(len(own), np.int64), np.arange(len(names) + len(own))
+        for q, node in _matches(graph, raw, _matrix(queries["vec"]), least, width):
+            other = number[q] != node
+            q, node = q[other], node[other]
+            if len(q):
+                low = q.min()
+                found = np.bincount(q - low, copies[node]).astype(np.int64)
+                links[low : low + len(found)] += found
+                up = _unite(up, number[q], node)
+        name = lambda i: names[i] if i < len(names) else own[i - len(names)]
+        rows = [(own[i], int(links[i]), None) for i in np.flatnonzero(links)]
+        rows += [(name(i), 0, name(up[i])) for i in np.flatnonzero(up != np.arange(len(up)))]
+        return pd.DataFrame(rows, columns=["cls", "links", "to"], dtype=object).astype({"links": np.int64})
 
     return run
 
@@ -123,8 +150,9 @@ def _auditor(least: float, width: int):
     def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(graphs) or not len(queries):
             return pd.DataFrame({"hits": [0]})
-        q, node, names, _ = _found(graphs, queries, least, width)
-        return pd.DataFrame({"hits": [int((queries["cls"].to_numpy()[q] != np.array(names, dtype=object)[node]).sum())]})
+        graph, raw, names, _ = _load(graphs.iloc[0])
+        number = _numbers(names, queries["cls"].to_numpy())
+        return pd.DataFrame({"hits": [sum(int((number[q] != node).sum()) for q, node in _matches(graph, raw, _matrix(queries["vec"]), least, width))]})
 
     return run
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import brute
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from emberline.llm import hosts, lines, mixing, near_text, packing, privacy, quality, secrets, sharding
 from emberline.llm.components import connected_components
+from emberline.llm import near_vectors as near_vectors_module
 from emberline.llm.near_vectors import near_vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -319,6 +321,25 @@ def test_near_vectors(spark):
     assert got[len(rows) - 1].component_id == len(rows) - 2 and got[None].component_id == root[2]
 
 
+def vector_group(vectors):
+    raw = [np.asarray(v, np.float64).tobytes() for v in vectors]
+    return pd.DataFrame({"cls": [f"{i:032x}" for i in range(len(raw))], "dim": len(vectors[0]), "shard": 0, "copies": 1, "vec": raw})
+
+
+def test_vector_search_holds_few_pairs(monkeypatch):
+    """A family of unequal near copies is counted and joined slice by slice, never as one list of all its pairs."""
+    rng = np.random.default_rng(3)
+    group = vector_group(rng.normal(size=16) + rng.normal(size=(700, 16)) * 0.01)
+    held, within = [], near_vectors_module.Graph.within
+    monkeypatch.setattr(near_vectors_module, "PAIRS", 7000, raising=False)
+    monkeypatch.setattr(near_vectors_module.Graph, "within", lambda *a: held.append(out := within(*a)) or out)
+    found = near_vectors_module._searcher(0.95, 64)(near_vectors_module._build(group), group)
+    assert max(len(q) for q, _ in held) <= 7000
+    assert dict(found[found["to"].isna()][["cls", "links"]].values.tolist()) == dict.fromkeys(group["cls"], 699)
+    edges = found[found["to"].notna()][["cls", "to"]].values.tolist()
+    assert len(edges) < 1000 and set(brute.components({*group["cls"]}, edges).values()) == {group["cls"][0]}
+
+
 def test_empty_tables(spark, empty):
     assert near_text.near_duplicates(empty).count() == near_text.one_per_group(empty).count() == 0
     assert quality.quality_rules(empty).count() == lines.drop_boilerplate_lines(empty).count() == 0
