@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from emberline.llm.catalog import ORACLES, QUERIES, query
 from emberline.llm import hosts, lines, mixing
+from emberline.llm.conversations import repair_conversations
 from emberline.llm.hosts import judge_urls
+from emberline.llm.languages import identify_languages
 from emberline.llm.lines import drop_boilerplate_lines
 from emberline.llm.mixing import mix_sources
 from emberline.llm.near_text import near_duplicates
@@ -18,6 +20,7 @@ from emberline.llm.quality import COUNTS, quality_rules
 from emberline.llm.secrets import scan_secrets
 from emberline.llm.sharding import shard_by_bytes
 from emberline.llm.tables import read
+from emberline.llm.whitening import whiten
 
 
 @query("op1_site_line_dedup", lines.ORACLE)
@@ -74,4 +77,23 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_naive_bayes_language")
+def op11_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op12_lightest_repair")
+def op12_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_chebyshev_whitening")
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(read(spark, sf_dir, "embeddings"), components=16)
+    each = F.explode(F.sequence(F.lit(1), F.size("whitened"))).alias("component")
+    some = found.where(F.size("whitened") > 0).select("vec_id", "n", "deviation", "whitened", "explained", "residual", "identity_error", each)
+    one = lambda c: F.element_at(c, F.col("component")).alias(c)
+    return some.select("vec_id", "component", "n", "deviation", one("whitened"), one("explained"), "identity_error", one("residual"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
