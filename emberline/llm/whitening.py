@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from emberline.llm.tables import is_empty, slices, stored, without
 
 COMPONENTS = 16
-GUARD = 16  # further columns of the iterated block
-DEGREE = 8
-TOLERANCE = 1e-13  # residual of a component over the largest eigenvalue
+GUARD = 32  # further columns of the iterated block
+DEGREE = 12
+TOLERANCE = 2e-14  # residual of a component over the largest eigenvalue
 SCALE = 64
 _LIMIT = 2**62  # levels are held within it
 _LONG = 2**63
@@ -112,7 +112,7 @@ def _product(dim: int, n: int, sums: list[int], block: Broadcast):
 
 
 def _moments(dim: int, n: int, sums: list[int], projection: np.ndarray):
-    """Per split: rows of [whitened, 1]ᵀ[whitened, 1], and the exact sum of squares of n * level - sum."""
+    """Per split: rows of [whitened, 1]ᵀ[whitened, 1], and the sum of squares of n * level - sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = projection.shape[1] + 1
@@ -122,7 +122,7 @@ def _moments(dim: int, n: int, sums: list[int], projection: np.ndarray):
             p = np.hstack([(scaled / n).astype(np.float64) @ projection, np.ones((len(levels), 1))])
             total += p.T @ p
             spread += sum(_squares(scaled))
-        parts = [pa.array(range(width), pa.int32()), pa.array([str(spread)] + ["0"] * (width - 1), pa.string()), *(pa.array(c) for c in total.T)]
+        parts = [pa.array(range(width), pa.int32()), pa.array([float(spread)] + [0.0] * (width - 1)), *(pa.array(c) for c in total.T)]
         yield pa.RecordBatch.from_arrays(parts, names=["i", "spread", *(f"c{j}" for j in range(width))])
 
     return run
@@ -130,8 +130,8 @@ def _moments(dim: int, n: int, sums: list[int], projection: np.ndarray):
 
 def _square(partial: DataFrame, width: int) -> np.ndarray:
     """The partial matrices' sum, in the driver: one row per dimension."""
-    found = partial.groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width))).orderBy("i").toArrow()
-    return np.stack([found.column(f"c{j}").to_numpy() for j in range(width)], 1)
+    found = partial.groupBy("i").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width))).toArrow()
+    return np.stack([found.column(f"c{j}").to_numpy() for j in range(width)], 1)[np.argsort(found.column("i").to_numpy())]
 
 
 def leading_eigenpairs(product: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int = COMPONENTS, guard: int = GUARD, degree: int = DEGREE, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,13 +204,13 @@ def fit(keys: DataFrame, components: int = COMPONENTS) -> dict[int, Whitening]:
         values, vectors, residual = values[real], vectors[:, real], residual[real]
         projection = vectors / np.sqrt(values)
         width = len(values) + 1
-        schema = "i int, spread string, " + ", ".join(f"c{j} double" for j in range(width))
+        schema = "i int, spread double, " + ", ".join(f"c{j} double" for j in range(width))
         partial = own.mapInArrow(_moments(dim, n, sums, projection), schema)
-        sums_of = partial.groupBy("i").agg(F.sum(F.col("spread").cast("decimal(38,0)")).alias("spread"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
+        sums_of = partial.groupBy("i").agg(F.sum("spread").alias("spread"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(width)))
         ordered = sums_of.orderBy("i").collect()
         moments = np.array([[r[f"c{j}"] for j in range(width)] for r in ordered]) / n
         off = moments[:-1, :-1] - np.outer(moments[:-1, -1], moments[:-1, -1]) - np.eye(width - 1)
-        trace = float(ordered[0].spread / Decimal(n) ** 3) if ordered[0].spread else 0.0
+        trace = ordered[0].spread / n / n / n
         models[dim] = Whitening(n, sums, projection, (values / trace).tolist() if trace else [], residual.tolist(), float(np.abs(off).max(initial=0.0)))
     return models
 
@@ -249,7 +249,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     do not exist, so arrays are shorter where vectors span fewer dimensions, and empty for a single distinct vector.
     Repeated vectors are fitted once and returned each. An empty table gives an empty result. Extra columns pass
     through; input columns named like an output column give way. Products are distributed passes over the stored fit
-    list; the driver holds dimensions x 32 numbers.
+    list; the driver holds dimensions x 48 numbers.
     """
     vectors = without(vectors, OUTPUTS)
     keys = stored(vectors.select(F.col("embedding").alias("v")).mapInArrow(_keys, "dim int, key binary").distinct())
