@@ -6,15 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from emberline.llm.tables import cut, is_empty, joinable, without
 
 KINDS = ["email", "ip", "card", "phone"]
-GENERALISE, REMOVE = 0.8, 0.95
-PRIOR = 0.5  # pseudo-rows of the value's overall rate behind every term, so a single co-occurrence is not certainty
+GENERALISE, REMOVE = 1.0, 0.1  # bits of uncertainty about a value that a term may leave at most
+Z = 1.0  # standard errors by which a term's share of texts with the value is taken lower than counted
 _LETTERS = r"[^\p{L}]+"
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -22,7 +23,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = regex.compile(r"\p{L}{3,}")
 _LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 
 
@@ -118,46 +119,59 @@ def _clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def _entities(owners: DataFrame) -> DataFrame:
-    """(h, n, entity) from (h, n, value): values found in the very same texts have the same statistics and are one entity.
+    """(h, entity) from (h, value): values found in the very same texts have the same statistics and are one entity.
 
     So a text that alone holds thousands of values meets its own terms once, not once per value.
     """
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("h")), F.bit_xor(F.xxhash64("h", F.lit(1))))
     named = owners.groupBy("value").agg(F.xxhash64(mark).alias("entity"))
-    return owners.join(named, "value").select("h", "n", "entity").distinct()
+    return owners.join(named, "value").select("h", "entity").distinct()
 
 
-def revealing_terms(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+def share_at_least(both: Column, df: Column) -> Column:
+    """Lower confidence bound (Wilson's, Z standard errors) of the share both / df."""
+    p, z2 = both / df, Z * Z
+    return (p + z2 / (2 * df) - Z * F.sqrt(p * (1 - p) / df + z2 / (4 * df * df))) / (1 + z2 / df)
+
+
+def revealing_terms(docs: DataFrame, marked: DataFrame, copies: DataFrame) -> DataFrame:
     """(h, terms, removed) per text: its terms that disclose a value found anywhere in the corpus.
 
-    docs: (h, text) of all rows; marked: (h, n, entity) with n the rows of that text. Disclosure = PMI(value; term) /
-    IC(value), with document frequencies over all rows: 1 when the term occurs with the value only, 0 when they are
-    independent. The share of a term's rows that hold the value is smoothed by PRIOR rows at the value's overall rate,
-    so a value in a single text is analysed like any other and thin evidence counts for less.
+    docs: (h, text) of all rows; marked: (h, entity); copies: (h, n) of the texts that are there n > 1 times. All counts
+    are of distinct texts: a row of a text with n copies counts 1/n. A term leaves -log2 P(value | term) bits of
+    uncertainty about the value; P is the lower confidence bound of the share of the term's texts that hold the value,
+    so what a term discloses depends on its own evidence and neither on the size of the corpus nor on copies.
+
+    The term frequencies are one count combined per task. A term that occurs with the value only is found in the texts
+    that hold the value, which are looked at anyway; the rest of the corpus is only searched for the others.
     """
-    terms = F.array_distinct(F.filter(F.split(F.lower("text"), _LETTERS), lambda x: F.length(x) >= 3))
-    every = docs.select("h", F.explode(terms).alias("term"))
+    terms = F.transform(F.filter(F.split("text", _LETTERS), lambda x: F.length(x) >= 3), lambda x: F.lower(x))
+    terms = F.array_distinct(terms)
+    weighed = docs.join(joinable(copies), "h", "left").select("h", "text", (1 / F.coalesce("n", F.lit(1))).alias("w"))
     texts = docs.where(F.col("text").rlike("[0-9@]")).join(joinable(marked.select("h").distinct()), "h", "left_semi")
-    held = texts.select("h", F.explode(terms).alias("term")).distinct()
-    counted = cut(held.join(marked, "h").groupBy("entity", "term").agg(F.sum("n").alias("both")))
-    frequent = every.join(joinable(counted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    by_value = marked.groupBy("entity").agg(F.sum("n").alias("value_df"))
-    known = counted.join(frequent, "term").join(by_value, "entity")
-    rate = F.col("value_df") / F.lit(float(rows))
-    share = (F.col("both") + PRIOR * rate) / (F.col("df") + PRIOR)
-    disclosure = F.try_divide(F.ln(share / rate), -F.ln(rate))
-    strong = known.groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    hits = every.join(joinable(strong), "term")
-    return hits.groupBy("h").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
+    held = cut(texts.select("h", F.explode(terms).alias("term")).distinct())
+    counted = held.join(marked, "h").groupBy("entity", "term").agg(F.count("*").alias("both"))
+    frequent = weighed.select("w", F.explode(terms).alias("term")).groupBy("term").agg(F.sum("w").alias("df"))
+    known = counted.join(frequent, "term").withColumn("df", F.greatest(F.round("df"), F.col("both")))
+    left = -F.log2(share_at_least(F.col("both"), F.col("df")))
+    strong = known.groupBy("term").agg(F.min(left).alias("left"), F.max(F.col("both") < F.col("df")).alias("elsewhere")).where(F.col("left") <= GENERALISE + 1e-9)
+    strong = cut(strong)
+    hits = held.join(joinable(strong), "term").select("h", "term", "left")
+    elsewhere = strong.where("elsewhere")
+    if not is_empty(elsewhere):
+        hits = hits.unionAll(docs.select("h", F.explode(terms).alias("term")).join(joinable(elsewhere), "term").select("h", "term", "left"))
+    return hits.groupBy("h").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("left") <= REMOVE, F.col("term"))).alias("removed"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text to every row.
 
     The base patterns are matched over whole texts. Every distinct value they find, be it in one text only, is a
-    protected entity; terms (runs of three or more letters, lower-cased) whose corpus co-occurrence discloses it to
-    GENERALISE or more are added as spans of kind generalise, to REMOVE or more of kind remove, in every text that
-    contains the term. clean_text carries a label per span and drops removed terms; overlapping spans share one label.
+    protected entity; terms (runs of three or more letters, lower-cased) whose corpus co-occurrence leaves at most
+    GENERALISE bits of uncertainty about it are added as spans of kind generalise, at most REMOVE bits of kind remove,
+    in every text that contains the term. So a word that stands in the only text with a value is generalised there, and
+    it takes 14 distinct texts to remove one. clean_text carries a label per span and drops removed terms; overlapping
+    spans share one label.
 
     A null text is empty and stays null in clean_text. Texts without personal data are unchanged. Null ids and repeated
     rows are rows like any other; copies share their spans. An empty table gives an empty result. Extra columns pass
@@ -166,13 +180,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     docs = without(docs, [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "clean_text"])
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     base = cut(keyed.select("doc_id", "h", _base("text").alias("b")).select("doc_id", "h", "b.spans", "b.values"))
-    owners = base.where(F.size("values") > 0).groupBy("h", "values").agg(F.count("*").alias("n")).select("h", "n", F.explode("values").alias("value"))
+    owners = base.where(F.size("values") > 0).select("h", F.explode("values").alias("value")).distinct()
     marked = cut(_entities(owners))
     labels = base.select("doc_id", "h", "spans").distinct()
     if is_empty(marked):
         labels = labels.withColumn("more", F.lit(""))
     else:
-        terms = joinable(revealing_terms(keyed, marked, base.count()))
+        copies = base.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        terms = joinable(revealing_terms(keyed, marked, copies))
         found = keyed.join(terms, "h").select("h", _term_spans("text", "terms", "removed").alias("more")).dropDuplicates(["h"])
         labels = labels.join(found, "h", "left")
     whole = labels.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__base"), F.concat_ws(",", F.nullif("spans", F.lit("")), F.nullif("more", F.lit(""))).alias("spans"))
