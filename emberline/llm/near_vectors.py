@@ -20,6 +20,7 @@ SHARD_BYTES = 64 << 20
 BEAM = 64
 AUDIT_ROWS = 512
 AUDIT_RECALL = 0.99
+PLANTED = 64
 QUERIES = 256  # looked up at once in a shard, fewer where QUERIES times its vectors exceed PAIRS
 PAIRS = 6_000_000
 _SLACK = 1e-4  # single precision finds candidates, double precision decides
@@ -71,32 +72,30 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _load(row: pd.Series) -> tuple[Graph, np.ndarray, list[str], np.ndarray]:
+def _load(row: dict) -> tuple[Graph, np.ndarray, list[str], np.ndarray]:
     copies = np.frombuffer(row["copies"], np.int64)
     raw = np.frombuffer(row["raw"], np.float64).reshape(len(copies), -1)
     layers = [np.frombuffer(b, np.int32).reshape(len(copies), -1) for b in row["layers"]]
     return Graph(unit(raw), layers), raw, [row["names"][32 * i : 32 * i + 32] for i in range(len(copies))], copies
 
 
-def _matches(graph: Graph, raw: np.ndarray, asked: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query row, node) of the matches in one shard, cosine checked in double precision, some queries at a time."""
-    b = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    some = max(1, min(QUERIES, PAIRS // max(1, len(raw))))
+def _unit(raw: np.ndarray) -> np.ndarray:
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _matches(graph: Graph, nodes: np.ndarray, asked: np.ndarray, least: float, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, query row, node) of the matches in one shard, some queries at a time; cosines of the unit vectors
+    are checked in double precision."""
+    some = max(1, min(QUERIES, PAIRS // max(1, len(nodes))))
     for at in range(0, len(asked), some):
         part = asked[at : at + some]
         q, node = graph.within(unit(part), least - _SLACK, width)
-        a = part / np.linalg.norm(part, axis=1, keepdims=True)
+        a = _unit(part)
         sure = np.zeros(len(q), bool)
         for i in range(0, len(q), 50_000):
             s = slice(i, i + 50_000)
-            sure[s] = np.einsum("nd,nd->n", a[q[s]], b[node[s]]) >= least
-        yield q[sure] + at, node[sure]
-
-
-def _numbers(names: list[str], own: np.ndarray) -> np.ndarray:
-    """Number of each query: its node if the shard holds it, else one behind the nodes."""
-    node = {x: i for i, x in enumerate(names)}
-    return np.array([node.get(x, len(names) + i) for i, x in enumerate(own)], np.int64)
+            sure[s] = np.einsum("nd,nd->n", a[q[s]], nodes[node[s]]) >= least
+        yield at, q[sure], node[sure]
 
 
 def _unite(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -121,54 +120,110 @@ def _unite(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return up
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], dict | None, list[str], np.ndarray | None]]:
+    """((dim, shard), graph row, [], None) for a graph, ((dim, shard), None, names, vectors) for queries of its shard."""
+    for batch in batches:
+        dims, shards, names = (batch.column(c).to_pylist() for c in ("dim", "shard", "cls"))
+        kinds = [(d, s, n is None) for d, s, n in zip(dims, shards, names)]
+        at = 0
+        while at < len(kinds):
+            end = at + 1
+            while end < len(kinds) and kinds[end] == kinds[at] and not kinds[at][2]:
+                end += 1
+            if kinds[at][2]:
+                yield kinds[at][:2], batch.slice(at, 1).to_pylist()[0], [], None
+            else:
+                yield kinds[at][:2], None, names[at:end], np.frombuffer(b"".join(batch.column("vec").slice(at, end - at).to_pylist()), np.float64).reshape(end - at, -1)
+            at = end
+
+
+_FOUND = pa.schema([("cls", pa.string()), ("links", pa.int64()), ("to", pa.string())])
+
+
+def _found(rows: list[tuple[str | None, int, str | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
+
+
 def _searcher(least: float, width: int):
-    def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """Per query the vectors linked to it in this shard, and edges that join what the links join, no more."""
-        if not len(graphs) or not len(queries):
-            return pd.DataFrame({"cls": [], "links": [], "to": []})
-        graph, raw, names, copies = _load(graphs.iloc[0])
-        own = queries["cls"].to_numpy()
-        number = _numbers(names, own)
-        links, up = np.zeros(len(own), np.int64), np.arange(len(names) + len(own))
-        for q, node in _matches(graph, raw, _matrix(queries["vec"]), least, width):
-            other = number[q] != node
-            q, node = q[other], node[other]
-            if len(q):
-                low = q.min()
-                found = np.bincount(q - low, copies[node]).astype(np.int64)
-                links[low : low + len(found)] += found
-                up = _unite(up, number[q], node)
-        name = lambda i: names[i] if i < len(names) else own[i - len(names)]
-        rows = [(own[i], int(links[i]), None) for i in np.flatnonzero(links)]
-        rows += [(name(i), 0, name(up[i])) for i in np.flatnonzero(up != np.arange(len(up)))]
-        return pd.DataFrame(rows, columns=["cls", "links", "to"], dtype=object).astype({"links": np.int64})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per query of a shard the number of its links there, and edges that join what the links join, no more.
+
+        A shard's graph comes before its queries, which stream by; the forest over the shard's vectors is all that grows.
+        """
+        place, names = None, []
+        for key, row, own, asked in _runs(batches):
+            if row is not None:
+                if names:
+                    yield _found([(names[i], 0, names[up[i]]) for i in np.flatnonzero(up != np.arange(len(up)))])
+                place, (graph, raw, names, copies) = key, _load(row)
+                nodes, up, number = _unit(raw), np.arange(len(names)), {x: i for i, x in enumerate(names)}
+                continue
+            if key != place:  # a shard without vectors of this length
+                continue
+            for at, q, node in _matches(graph, nodes, asked, least, width):
+                part = own[at : at + QUERIES]
+                self_ = np.array([number.get(x, -1) for x in part])
+                other = self_[q] != node
+                q, node = q[other], node[other]
+                if not len(q):
+                    continue
+                links = np.bincount(q, copies[node], minlength=len(part)).astype(np.int64)
+                linked, first = np.unique(q, return_index=True)
+                anchor = np.full(len(part), -1)
+                anchor[linked] = node[first]
+                up = _unite(up, anchor[q], node)
+                inside = linked[self_[linked] >= 0]
+                up = _unite(up, self_[inside], anchor[inside])
+                yield _found([(part[i], int(links[i]), None if self_[i] >= 0 else names[anchor[i]]) for i in linked])
+        if names:
+            yield _found([(names[i], 0, names[up[i]]) for i in np.flatnonzero(up != np.arange(len(up)))])
 
     return run
 
 
 def _auditor(least: float, width: int):
-    def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(graphs) or not len(queries):
-            return pd.DataFrame({"hits": [0]})
-        graph, raw, names, _ = _load(graphs.iloc[0])
-        number = _numbers(names, queries["cls"].to_numpy())
-        return pd.DataFrame({"hits": [sum(int((number[q] != node).sum()) for q, node in _matches(graph, raw, _matrix(queries["vec"]), least, width))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(name, links found) of the audited vectors in a shard, and (null, found, planted) of neighbours planted there.
+
+        A planted neighbour is a vector of the shard turned by an angle just inside the threshold, in a random direction;
+        the search, which does not know it, has to come back with the vector.
+        """
+        place = None
+        for key, row, own, asked in _runs(batches):
+            if row is not None:
+                place, (graph, raw, names, _) = key, _load(row)
+                nodes, number = _unit(raw), {x: i for i, x in enumerate(names)}
+                rng = np.random.default_rng(11)
+                some = rng.choice(len(names), min(PLANTED, len(names)), replace=False)
+                if raw.shape[1] > 1:
+                    away = rng.standard_normal((len(some), raw.shape[1]))
+                    away = _unit(away - np.einsum("nd,nd->n", away, nodes[some])[:, None] * nodes[some])
+                    cosine = least + 0.1 * (1 - least)
+                    turned = cosine * nodes[some] + np.sqrt(1 - cosine**2) * away
+                    back = sum(int((some[q + at] == node).sum()) for at, q, node in _matches(graph, nodes, turned, least, width))
+                    yield _found([(None, back, str(len(some)))])
+                continue
+            if key != place:
+                continue
+            for at, q, node in _matches(graph, nodes, asked, least, width):
+                part = own[at : at + QUERIES]
+                other = np.array([number.get(x, -1) for x in part])[q] != node
+                yield _found([(part[i], int(n), None) for i, n in enumerate(np.bincount(q[other], minlength=len(part))) if n])
 
     return run
 
 
-def _exact(sample: dict[int, np.ndarray], least: float):
-    """Links of the sample's vectors by brute force over all rows of a split."""
-    unit_of = {d: m / np.linalg.norm(m, axis=1, keepdims=True) for d, m in sample.items()}
+def _exact(sample: dict[int, tuple[list[str], np.ndarray]], least: float):
+    """(name, links) of the sample's vectors by brute force over all rows of a split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = {d: np.zeros(len(names), np.int64) for d, (names, _) in sample.items()}
         for batch in slices(batches, 2048):
             for v in batch.column("vec").to_pylist():
                 x = np.frombuffer(v, np.float64)
-                if len(x) in unit_of:
-                    total += int((unit_of[len(x)] @ (x / np.linalg.norm(x)) >= least).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["hits"])
+                if len(x) in sample:
+                    total[len(x)] += sample[len(x)][1] @ (x / np.linalg.norm(x)) >= least
+        yield _found([(name, int(n), None) for d, (names, _) in sample.items() for name, n in zip(names, total[d])])
 
     return run
 
@@ -177,11 +232,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_bytes: int = SHA
     """Adds n_links, component_id and kept to every row (vec_id, embedding, ...).
 
     Equal vectors form a class first. Classes are dealt to shards of at most ``shard_bytes``, each shard's graph is
-    built in one task and kept in a checkpoint, and every class is looked up in every shard, in blocks. A query's beam
-    doubles while it is full of matches, and the starting beam doubles until an audit passes: ``audit_rows`` classes
-    (the first by name hash; a bound on the sample, not on the search) are compared with brute force over all rows, and
-    at least ``audit_recall`` of their links must be found. Candidates count only if their cosine in double precision
-    is ``least`` or more. A task returns per query a count, and edges of a spanning forest instead of pairs.
+    built in one task and kept in a checkpoint, and every class is looked up in every shard, streaming past its graph. A query's beam
+    doubles while it is full of matches, and the starting beam doubles until an audit passes. It has two parts, each to
+    reach ``audit_recall``: ``audit_rows`` classes (the first by name hash; a bound on the sample, not on the search) are
+    compared with brute force over all rows, and the recall is averaged over those that have a link, so a large family
+    counts once; and in every shard PLANTED of its vectors are turned to a cosine just above ``least``, searched for, and
+    must be found, so a table without any link is audited as well. Candidates count only if their cosine in double
+    precision is ``least`` or more. A task returns per query a count, and edges of a spanning forest instead of pairs.
 
     n_links: other rows linked directly, equal rows included. component_id: smallest vec_id reachable; kept: vec_id =
     component_id. Vectors that are null, empty, zero or hold null or non-finite components have no link; vectors of
@@ -212,25 +269,31 @@ def _search(classes: DataFrame, least: float, shard_bytes: int, audit_rows: int,
         return spark.createDataFrame([], "cls string, links long"), spark.createDataFrame([], "x string, y string")
     size, rows = classes.agg(F.sum(F.length("vec")), F.count("*")).first()
     shards = max(MIN_SHARDS, -(-size // shard_bytes))
-    blocks = max(2, -(-size // shard_bytes))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int"))
     graphs = cut(dealt.select("dim", "shard", "cls", "copies", "vec").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, names string, copies binary, raw binary, layers array<binary>"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+
+    def search(asked: DataFrame, task) -> DataFrame:
+        """Every vector asked for in every shard: its queries stream past a graph that is sent once."""
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        graph = graphs.select("dim", "shard", F.lit(None).cast("string").alias("cls"), F.lit(None).cast("binary").alias("vec"), "names", "copies", "raw", "layers")
+        queries = asked.select("dim", every, "cls", "vec", *(F.lit(None).cast(graph.schema[c].dataType).alias(c) for c in ("names", "copies", "raw", "layers")))
+        both = graph.unionAll(queries).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("cls").isNotNull())
+        return both.mapInArrow(task, "cls string, links long, to string")
+
     audited = cut(classes.orderBy(F.xxhash64("cls", F.lit(1))).limit(audit_rows).select("cls", "dim", "vec"))
-    sample: dict[int, list[bytes]] = {}
-    for dim, vec in audited.select("dim", "vec").collect():
-        sample.setdefault(dim, []).append(vec)
-    known = classes.mapInArrow(_exact({d: np.frombuffer(b"".join(v), np.float64).reshape(len(v), d) for d, v in sample.items()}, least), "hits long").agg(F.sum("hits")).first()[0]
-    known -= sum(map(len, sample.values()))  # each finds itself
-    asked = audited.select("*", every).groupBy("dim", "shard")
+    sample: dict[int, list[tuple[str, bytes]]] = {}
+    for cls, dim, vec in audited.collect():
+        sample.setdefault(dim, []).append((cls, vec))
+    known = classes.mapInArrow(_exact({d: ([c for c, _ in v], _unit(np.frombuffer(b"".join(x for _, x in v), np.float64).reshape(len(v), d))) for d, v in sample.items()}, least), "cls string, links long, to string")
+    known = {r.cls: r.links - 1 for r in known.groupBy("cls").agg(F.sum("links").alias("links")).collect() if r.links > 1}  # each finds itself
     width = BEAM
-    while True:
-        hits = graphs.groupBy("dim", "shard").cogroup(asked).applyInPandas(_auditor(least, width), "hits long").agg(F.sum("hits")).first()[0]
-        if hits >= audit_recall * known or width >= rows:
+    while width < rows:
+        seen = search(audited, _auditor(least, width)).groupBy("cls").agg(F.sum("links").alias("links"), F.sum(F.col("to").cast("long")).alias("planted")).collect()
+        hits = {r.cls: r.links for r in seen}
+        planted = next((r.links / r.planted for r in seen if r.cls is None), 1.0)
+        linked = sum(min(1.0, hits.get(c, 0) / n) for c, n in known.items()) / len(known) if known else 1.0
+        if min(planted, linked) >= audit_recall:
             break
         width *= 2
-    block = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
-    left = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).groupBy("dim", "shard", "block")
-    right = classes.select("cls", "dim", "vec", block).select("*", every).groupBy("dim", "shard", "block")
-    found = cut(left.cogroup(right).applyInPandas(_searcher(least, width), "cls string, links long, to string"))
-    return found.where("to is null").groupBy("cls").agg(F.sum("links").alias("links")), found.where("to is not null").select(F.col("cls").alias("x"), F.col("to").alias("y"))
+    found = cut(search(classes, _searcher(least, width)))
+    return found.where("links > 0").groupBy("cls").agg(F.sum("links").alias("links")), found.where("to is not null").select(F.col("cls").alias("x"), F.col("to").alias("y"))
