@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.tables import cut, without
+from emberline.llm.tables import joinable, stored, without
 
 TOLERANCE = 0.0005
 PROBES = 256
-HEAVY_ROWS = 100_000
 RUN_BYTES = 64 << 20
 _LOW, _HIGH = -(1 << 63), 1 << 63
 _HISTOGRAM = pa.schema([("at", pa.int64()), ("bytes", pa.int64()), ("rows", pa.int64())])
@@ -78,28 +77,31 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = TOLERAN
     table; then each row moves once, in runs of about 64 MB (a shard is many runs), and slot is its rank in the run
     plus the rows of the shard's earlier runs, counted without moving texts.
 
-    Null texts count 8 bytes, null ids are hashed as such. Rows repeated whole have equal keys and are numbered in any
-    order; where one key repeats more than HEAVY_ROWS times, its rows are fixed by a checkpoint and dealt by position,
-    so they too spread over runs and shards. An empty table gives an empty result. Extra columns pass through; input
-    columns named size, shard or slot give way.
+    The low bits of a key come from a hash of the row's position, so rows repeated whole are dealt over shards like any
+    others, whatever their number, and those of a group that alone fills an eighth of a run over tasks. Positions are
+    fixed by writing the rows once. How the input is split only decides which of several equal rows gets which place,
+    and, where a shard ends among equal rows, how many of them it takes within the tolerance.
+
+    Null texts count 8 bytes, null ids are hashed as such. An empty table gives an empty result. Extra columns pass
+    through; input columns named size, shard or slot give way.
     """
     docs = without(docs, ["size", "shard", "slot"])
-    own = docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("__key", F.xxhash64("doc_id", "text"))
-    fine = F.lit(0).cast("long")
-    keyed = cut(own.select(F.col("__key").alias("key"), "size"))
-    heaviest = keyed.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if heaviest > HEAVY_ROWS:
-        place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(0xFFFF)
-        own = cut(own.withColumn("__key", F.col("__key").bitwiseAND(-0x10000).bitwiseOR(place)))
-        fine = F.col("__key").bitwiseAND(0xFF)
-        keyed = own.select(F.col("__key").alias("key"), "size")
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(0xFFFF)
+    key = F.xxhash64("doc_id", "text").bitwiseAND(-0x10000).bitwiseOR(place)
+    own = stored(docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).withColumn("__key", key))
+    keyed = own.select(F.col("__key").alias("key"), "size")
+    alike = F.shiftright("__key", 16)
+    heavy = keyed.withColumnRenamed("key", "__key").groupBy(alike.alias("__alike")).agg(F.sum("size").alias("bytes"))
+    heavy = joinable(heavy.where(F.col("bytes") > RUN_BYTES // 8).select("__alike"))
+    own = own.join(heavy, alike == F.col("__alike"), "left")
+    fine = F.when(F.col("__alike").isNotNull(), F.col("__key").bitwiseAND(0xFF) + 1).otherwise(0)
     bounds = splitters(keyed, shards, tolerance)
     volume = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = max(1, (volume // RUN_BYTES).bit_length())
     shard = sum(((F.col("__key") >= b).cast("int") for b in bounds), F.lit(0))
     run = F.shiftright("__key", 64 - bits)
-    dealt = own.withColumns({"shard": shard, "__run": run, "__fine": fine})
-    runs = keyed.withColumnRenamed("key", "__key").select(shard.alias("shard"), run.alias("__run"), fine.alias("__fine")).groupBy("shard", "__run", "__fine").agg(F.count("*").alias("n"))
+    dealt = own.withColumns({"shard": shard, "__run": run, "__fine": fine}).drop("__alike")
+    runs = dealt.groupBy("shard", "__run", "__fine").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__run", "__fine").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select("shard", "__run", "__fine", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("shard", "__run", "__fine").orderBy("__key", "doc_id"))
