@@ -152,7 +152,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows_of = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     sketch = kept(rows_of.mapInArrow(_sketcher(words, bands_for(percent), ROWS), "d long, h long, cls string, n_shingles long, bands array<long>"))
     # from here on classes go by a number, fixed by the checkpoint
-    classes = kept(sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    classes = kept(sketch.where("cls is not null").groupBy("cls").agg(F.min("d").alias("d"), F.min(F.struct(F.col("d").isNull().alias("no"), "d", "h")).alias("at"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     roots = _class_roots(classes, rows_of, words, percent)
     named = classes.select("cls", "id", "d").join(joinable(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("d").alias("least"))
@@ -185,8 +185,9 @@ def _class_roots(classes: DataFrame, rows_of: DataFrame, words: int, percent: in
     held = kept(keyed.join(crowded, "bucket"))
     if is_empty(held):
         return classes.sparkSession.createDataFrame([], "id long, root long")
-    located = joinable(classes.select("id", "cls", F.col("d").alias("at")).join(joinable(held.select("id").distinct()), "id", "left_semi"))
-    sets = kept(rows_of.join(located, F.col("d").eqNullSafe(F.col("at"))).select("id", "cls", "text").mapInArrow(_set_reader(words), "id long, members binary").dropDuplicates(["id"]), size="length(members)")
+    # a class is read from one of its rows, named by id and text hash: an id that repeats on other texts costs nothing
+    located = joinable(classes.select("id", "cls", F.col("at.d").alias("at"), F.col("at.h").alias("hash")).join(joinable(held.select("id").distinct()), "id", "left_semi"))
+    sets = kept(rows_of.join(located, F.col("d").eqNullSafe(F.col("at")) & (F.col("h") == F.col("hash"))).select("id", "cls", "text").mapInArrow(_set_reader(words), "id long, members binary").dropDuplicates(["id"]), size="length(members)")
     # one band settles most families; the others then have few pairs left to test
     links = _links(_proper(held.where("band = 0"), "id", "leader"), sets, percent)
     roots = kept(_named(connected_components(links, "a", "b")))
