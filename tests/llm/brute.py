@@ -118,13 +118,18 @@ def personal_spans(text):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
 
 
-def propagated(edges, seeds, rounds=20, damping=0.85):
-    """{host: score} of one kind; edges {(src, dst): share}."""
-    score = dict(seeds)
+def received(edges, seeds, rounds=200, damping=0.85):
+    """{host: (mass from or through seeds, all mass)} that walks bring from elsewhere; edges {(src, dst): share}."""
+    now, total = {h: (0.0, 1 - damping) for h in seeds}, {}
     for _ in range(rounds):
-        push = Counter()
+        step = {}
         for (a, b), share in edges.items():
-            push[b] += damping * score.get(a, 0) * share
-        back = 1 - sum(push.values())
-        score = {h: push[h] + seeds.get(h, 0) * back for h in {*push, *seeds}}
-    return score
+            x, y = now.get(a, (0.0, 0.0))
+            f = seeds.get(a, 0.0)
+            old = step.get(b, (0.0, 0.0))
+            step[b] = (old[0] + damping * share * (x + f * (y - x)), old[1] + damping * share * y)
+        for h, (x, y) in step.items():
+            old = total.get(h, (0.0, 0.0))
+            total[h] = (old[0] + x, old[1] + y)
+        now = step
+    return total
