@@ -1,17 +1,18 @@
 """Exact order statistics per group, without ever holding a large group in one task.
 
-Groups up to ``limit`` members are sorted as arrays inside one aggregation (a bounded
-array).  Larger groups take the distributed route:
-
-1. one mergeable quantile sketch per large group gives splitters (checkpointed, so every
-   later stage sees the same ones, also after an executor is lost);
-2. counts per (group, bucket) - a map-side combined aggregate - locate the buckets that
-   hold the wanted ranks;
-3. only those buckets are ranked, after equal values were collapsed to (value, count).
-
-The splitters only steer the work; the answer is the exact order statistic whatever they
-are.  Whether a large group exists is probed with one small aggregate unless the caller
-already knows (``skewed``).
+A group, or the interval of a group that holds a wanted rank, is sorted as an array inside
+one aggregation once it has at most ``AT_ONCE`` rows.  What is larger is narrowed first:
+
+1. values become integers that order as the values do, so an interval is two integers;
+2. a round counts the rows of every open interval in equal steps - as many as its counted
+   size asks for - with a map-side combined aggregate, and each wanted rank moves to the
+   step that holds it, closed up to the least and largest value found there;
+3. rounds end when every interval is small enough or holds one value only.
+
+A round divides an interval's span by 16 at least, so there are 16 rounds at most whatever
+the values are, and one or two for what instruments measure.  Where every row's place is
+needed (ranks of many labels, empirical p-values) rows are dealt by ranges and places come
+from prefix counts over the ranges.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from emberline.session import cut
 
-GROUP_LIMIT = 100_000
-SPLITTERS = 128
+AT_ONCE = 25_000
+STEPS = (16, 4096)  # least and most steps of an interval in one round
 BROADCAST_ROWS = 20_000
 
 
 def group_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("emberline.group.limit", str(GROUP_LIMIT)))
+    """Rows that one aggregation may sort; the results do not depend on it."""
+    return int(df.sparkSession.conf.get("emberline.group.limit", str(AT_ONCE)))
 
 
 def has_large_groups(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -44,8 +46,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def split_by_size(df: DataFrame, keys: Sequence[str], skewed: bool | None):
-    """(bounded rows, rows of large groups or None, their keys and sizes or None)."""
+    """(bounded rows, rows of large groups or None, their keys and sizes or None).
+
+    Unless the caller knows the sizes, the rows are written once, so that counting them does not run their plan twice.
+    """
     if skewed is None:
+        df = cut(df)
         skewed = has_large_groups(df, keys)
     if not skewed:
         return df, None, None
@@ -61,45 +67,51 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return left.join(right, list(keys), how)
 
 
-def _bucketed(rows: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of large groups tagged with a bucket, and the materialised splitter table."""
-    fractions = [i / SPLITTERS for i in range(1, SPLITTERS)]
-    split = cut(
-        rows.groupBy(*keys).agg(
-            F.count(value).alias("__n"),
-            F.percentile_approx(value, fractions, 20 * SPLITTERS).alias("__splitters"),
-        )
-    )
-    tagged = join_on(rows, broadcast_if_small(split), keys, "inner")
-    tagged = tagged.withColumn(
-        "__b", F.size(F.filter("__splitters", lambda s: s < F.col(value)))
-    ).drop("__splitters")
-    return tagged, split.drop("__splitters")
+def order_key(value: Column) -> Column:
+    """63-bit integer that orders as the double does; neighbouring doubles may share one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("bigint")
+    return F.shiftright(F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits), 1)
+
+
+def _inside(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that lie in an interval of their group; intervals of a group do not overlap."""
+    both = join_on(rows, broadcast_if_small(cells), keys, "inner")
+    return both.where((F.col("__k") >= F.col("__lo")) & (F.col("__k") <= F.col("__hi")))
+
+
+def _narrowed(rows: DataFrame, keys: list[str], ranks: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(keys, n) and (keys, __pos, __r, __lo, __hi, __c): the interval of every wanted rank and its rank in there."""
+    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi")))
+    spans = sizes.select(*keys, F.posexplode(ranks(F.col("__n"))).alias("__pos", "__r"), "__lo", "__hi", F.col("__n").alias("__c"))
+    spans = cut(spans.where((F.col("__r") >= 1) & (F.col("__r") <= F.col("__c"))))
+    limit = group_limit(rows)
+    is_open = (F.col("__c") > limit) & (F.col("__lo") < F.col("__hi"))
+    columns = [*keys, "__pos", "__r", "__lo", "__hi", "__c"]
+    while not spans.where(is_open).isEmpty():
+        steps = F.greatest(F.lit(STEPS[0]), F.least(F.lit(STEPS[1]), F.ceil(F.col("__c") * 4 / limit)))
+        cells = spans.where(is_open).select(*keys, "__lo", "__hi", F.ceil((F.col("__hi") - F.col("__lo") + 1) / steps).cast("bigint").alias("__w")).distinct()
+        found = _inside(rows, cut(cells), keys).withColumn("__b", F.expr("(__k - __lo) div __w"))
+        counts = found.groupBy(*keys, "__lo", "__b").agg(F.count(F.lit(1)).alias("__m"), F.min("__k").alias("__min"), F.max("__k").alias("__max"))
+        upto = Window.partitionBy(*keys, "__lo").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("__to", F.sum("__m").over(upto))
+        inside = (F.col("__r") <= F.col("__to")) & (F.col("__r") > F.col("__to") - F.col("__m"))
+        moved = join_on(spans.where(is_open), counts, [*keys, "__lo"], "inner").where(inside)
+        moved = moved.select(*keys, "__pos", (F.col("__r") - F.col("__to") + F.col("__m")).alias("__r"), F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), F.col("__m").alias("__c"))
+        spans = cut(spans.where(~is_open).select(*columns).unionByName(moved.select(*columns)))
+    return sizes.select(*keys, F.col("__n").alias("n")), spans
 
 
 def _pick_large(rows: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
     keys = list(keys)
-    tagged, sizes = _bucketed(rows, keys, value)
-    counts = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__hi", F.sum("__c").over(upto)).withColumn("__lo", F.col("__hi") - F.col("__c"))
-    wanted = sizes.select(*keys, "__n", F.posexplode(ranks(F.col("__n"))).alias("__pos", "__rank"))
-    target = join_on(wanted, counts, keys, "inner").where(
-        (F.col("__rank") > F.col("__lo")) & (F.col("__rank") <= F.col("__hi"))
-    )
-    target = cut(target.select(*keys, "__n", "__b", "__pos", (F.col("__rank") - F.col("__lo")).alias("__r")))
-    cells = broadcast_if_small(target.select(*keys, "__b").distinct())
-    kept = join_on(tagged.select(*keys, "__b", value), cells, [*keys, "__b"], "left_semi")
-    kept = kept.groupBy(*keys, "__b", value).agg(F.count(F.lit(1)).alias("__c"))
-    in_cell = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("__hi", F.sum("__c").over(in_cell)).withColumn("__lo", F.col("__hi") - F.col("__c"))
-    found = join_on(target, kept, [*keys, "__b"], "inner").where(
-        (F.col("__r") > F.col("__lo")) & (F.col("__r") <= F.col("__hi"))
-    )
-    got = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("__pos", F.col(value)))).alias("__m")
-    )
-    out = join_on(sizes.withColumnRenamed("__n", "n"), got, keys, "left")
+    rows = cut(rows.select(*keys, F.col(value).cast("double").alias("__v"), order_key(F.col(value)).alias("__k")))
+    sizes, spans = _narrowed(rows, keys, ranks)
+    held = _inside(rows, spans.select(*keys, "__lo", "__hi").distinct(), keys).groupBy(*keys, "__lo", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    held = held.groupBy(*keys, "__lo").agg(F.sort_array(F.collect_list(F.struct(F.col("__v").alias("v"), F.col("__m").alias("m")))).alias("__xs"))
+    at = """aggregate(__xs, named_struct('left', __r, 'v', cast(null AS double)),
+        (a, x) -> CASE WHEN a.left < 1 THEN a WHEN a.left <= x.m THEN named_struct('left', 0L, 'v', x.v) ELSE named_struct('left', a.left - x.m, 'v', a.v) END, a -> a.v)"""
+    got = join_on(spans, held, [*keys, "__lo"], "inner").select(*keys, "__pos", F.expr(at).alias("__v"))
+    got = got.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__pos", "__v"))).alias("__m"))
+    out = join_on(sizes, got, keys, "left")
     picks = F.transform(
         F.sequence(F.lit(0), F.size(ranks(F.col("n"))) - 1),
         lambda i: F.try_element_at(F.coalesce(F.col("__m"), F.create_map().cast("map<int,double>")), i.cast("int")),
@@ -187,6 +199,9 @@ def leave_label_out_median(df, keys, label, value, skewed: bool | None = None) -
 
     ``med_out`` is the median of the group's members that do *not* carry the label
     (members without a label count as "other" for every label).
+
+    Only a label's own rows are looked at: with the i-th of them at place p of the whole group,
+    the r-th row without the label stands at place r + #{i: p - i < r}.
     """
     keys = list(keys)
     rows = df.select(*keys, label, value).where(F.col(value).isNotNull())
@@ -194,92 +209,79 @@ def leave_label_out_median(df, keys, label, value, skewed: bool | None = None) -
     arr = small.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(label).alias("l")))).alias("__x")
     )
-    labels = F.array_distinct(F.filter(F.transform("__x", lambda s: s["l"]), lambda c: c.isNotNull()))
-    arr = arr.select(*keys, "__x", F.explode(labels).alias(label))
-    arr = arr.select(
-        *keys,
-        label,
-        F.transform(F.filter("__x", lambda s: s["l"] == F.col(label)), lambda s: s["v"]).alias("__in"),
-        F.transform(F.filter("__x", lambda s: ~s["l"].eqNullSafe(F.col(label))), lambda s: s["v"]).alias("__out"),
-    )
+    each = arr.select(*keys, F.posexplode("__x").alias("__p", "__s")).select(*keys, F.col("__s.l").alias(label), (F.col("__p") + 1).cast("bigint").alias("__p"))
+    own = each.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.sort_array(F.collect_list("__p")).alias("__ps"))
+    both = join_on(own, arr, keys, "inner").withColumns({"n_in": F.size("__ps").cast("bigint"), "n_out": (F.size("__x") - F.size("__ps")).cast("bigint")})
 
-    def med(c):
-        n = F.size(c)
-        return F.when(
-            n > 0,
-            (F.get(c, F.floor((n - 1) / 2).cast("int")) + F.get(c, F.floor(n / 2).cast("int"))) / 2.0,
-        )
+    def place_in(r: Column) -> Column:
+        return F.get(F.col("__ps"), (r - 1).cast("int"))
 
-    out = arr.select(
-        *keys,
-        label,
-        F.size("__in").cast("bigint").alias("n_in"),
-        med("__in").alias("med_in"),
-        F.size("__out").cast("bigint").alias("n_out"),
-        med("__out").alias("med_out"),
+    def place_out(r: Column) -> Column:
+        before = F.filter("__ps", lambda p, i: p - (i + 1) < r)
+        return r + F.size(before)
+
+    def med(n: Column, place) -> Column:
+        a, b = ((F.get("__x", (place(r) - 1).cast("int")))["v"] for r in middle_pair(n))
+        return F.when(n > 0, (a + b) / 2.0)
+
+    out = both.select(
+        *keys, label, "n_in", med(F.col("n_in"), place_in).alias("med_in"), "n_out", med(F.col("n_out"), place_out).alias("med_out")
     )
     if large is None:
         return out
     return out.unionByName(_leave_label_out_large(large, keys, label, value))
 
 
+def middle_pair(n: Column) -> tuple[Column, Column]:
+    """The two ranks whose mean is the median (twice the same for odd sizes)."""
+    return F.floor((n + 1) / 2).cast("bigint"), F.floor(n / 2).cast("bigint") + 1
+
+
+def placed(rows: DataFrame, by: Sequence[tuple[str, Sequence[str]]], order: Sequence[Column]) -> DataFrame:
+    """Adds for every (name, keys) the 1-based place of a row among those of equal keys in ``order``.
+
+    Rows are dealt by ranges of (first keys, order), so a group of any size is spread; a place is the row's number in
+    its range plus the rows of earlier ranges, which are counted per range.
+    """
+    first = by[0][1]
+    out = cut(rows.repartitionByRange(*first, *order).withColumn("__range", F.spark_partition_id()))
+    for name, keys in by:
+        here = out.withColumn(name, F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order)))
+        earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = out.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__m"))
+        counts = cut(counts.select("__range", *keys, F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before")))
+        out = join_on(here, broadcast_if_small(counts), ["__range", *keys], "inner").withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+    return out.drop("__range")
+
+
 def _leave_label_out_large(rows, keys, label, value) -> DataFrame:
-    tagged, _ = _bucketed(rows, keys, value)
-    cells = cut(tagged.groupBy(*keys, label, "__b").agg(F.count(F.lit(1)).alias("__own")))
-    whole = cells.groupBy(*keys, "__b").agg(F.sum("__own").alias("__all"))
-    labels = cells.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.sum("__own").alias("n_in"))
-    # one row per (group, label, bucket): a few hundred buckets times the labels of a group
-    grid = join_on(labels, whole, keys, "inner")
-    own = cells.where(F.col(label).isNotNull())
-    grid = join_on(grid, own, [*keys, label, "__b"], "left").withColumn(
-        "__c", F.col("__all") - F.coalesce("__own", F.lit(0))
-    )
-    w = Window.partitionBy(*keys, label)
-    grid = grid.withColumn("n_out", F.sum("__c").over(w)).withColumn(
-        "__hi", F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    grid = grid.withColumn(
-        "__rank",
-        F.explode(F.array(F.floor((F.col("n_out") + 1) / 2).cast("bigint"), F.floor(F.col("n_out") / 2).cast("bigint") + 1)),
-    ).where((F.col("__rank") > F.col("__hi") - F.col("__c")) & (F.col("__rank") <= F.col("__hi")))
-    target = cut(
-        grid.select(*keys, label, "__b", "n_out", (F.col("__rank") - F.col("__hi") + F.col("__c")).alias("__r"))
-    )
-    kept = join_on(
-        tagged.select(*keys, label, "__b", value),
-        broadcast_if_small(target.select(*keys, "__b").distinct()),
-        [*keys, "__b"],
-        "left_semi",
-    )
-    kept = kept.groupBy(*keys, "__b", value, label).agg(F.count(F.lit(1)).alias("__c"))
-    pairs = join_on(
-        target.select(*keys, label, "__b").distinct().withColumnRenamed(label, "__for"),
-        kept,
-        [*keys, "__b"],
-        "inner",
-    ).where(~F.col(label).eqNullSafe(F.col("__for")))
-    pairs = pairs.groupBy(*keys, "__for", "__b", value).agg(F.sum("__c").alias("__c"))
-    wc = Window.partitionBy(*keys, "__for", "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("__hi", F.sum("__c").over(wc)).withColumn("__lo", F.col("__hi") - F.col("__c"))
-    pairs = pairs.withColumnRenamed("__for", label)
-    hit = join_on(target, pairs, [*keys, label, "__b"], "inner").where(
-        (F.col("__r") > F.col("__lo")) & (F.col("__r") <= F.col("__hi"))
-    )
-    med_out = hit.groupBy(*keys, label, "n_out").agg((F.sum(value) / F.count(F.lit(1))).alias("med_out"))
-    med_in = group_median(
-        rows.where(F.col(label).isNotNull()), [*keys, label], value, "med_in", skewed=None
-    ).withColumnRenamed("n", "n_in")
-    res = join_on(med_in, med_out, [*keys, label], "left")
-    return res.select(
-        *keys, label, "n_in", "med_in", F.coalesce("n_out", F.lit(0)).cast("bigint").alias("n_out"), "med_out"
+    rows = rows.select(*keys, F.col(value).cast("double").alias("__v"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("__l"), F.col(label).isNotNull().alias("__known"), label)
+    order = [F.col("__v"), F.col("__known"), F.col("__l")]
+    ranked = cut(placed(rows, [("__p", keys), ("__i", [*keys, "__known", "__l"])], order))
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    cells = ranked.where("__known").groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_in"))
+    cells = cut(join_on(cells, sizes, keys, "inner").withColumn("n_out", F.col("__n") - F.col("n_in")).drop("__n"))
+    own = join_on(ranked.where("__known").select(*keys, label, "__p", "__i", "__v"), broadcast_if_small(cells), [*keys, label], "inner")
+    low, high = middle_pair(F.col("n_out"))
+    shift = F.col("__p") - F.col("__i")
+    in_low, in_high = middle_pair(F.col("n_in"))
+    per = own.groupBy(*keys, label, "n_in", "n_out").agg(
+        F.count_if(shift < low).alias("__a"),
+        F.count_if(shift < high).alias("__b"),
+        ((F.min(F.when(F.col("__i") == in_low, F.col("__v"))) + F.min(F.when(F.col("__i") == in_high, F.col("__v")))) / 2.0).alias("med_in"),
     )
+    per = cut(per.select(*keys, label, "n_in", "n_out", "med_in", F.array(low + F.col("__a"), high + F.col("__b")).alias("__at")))
+    sought = per.select(*keys, label, F.explode("__at").alias("__p"))
+    there = join_on(ranked.select(*keys, "__p", "__v"), broadcast_if_small(cut(sought.select(*keys, "__p").distinct())), [*keys, "__p"], "inner")
+    found = join_on(sought, there, [*keys, "__p"], "inner").groupBy(*keys, label).agg((F.sum("__v") / F.count(F.lit(1))).alias("med_out"))
+    return join_on(per, found, [*keys, label], "left").select(*keys, label, "n_in", "med_in", F.col("n_out").cast("bigint").alias("n_out"), "med_out")
 
 
 def count_at_least(obs: DataFrame, ref: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """obs + (n_ref, n_ge): reference values of the same keys that are >= the observed one.
 
-    Rank merge: both sides are collapsed to (key, score) counts, bucketed per key and
-    accumulated twice - over buckets, then inside a bucket - so no key's sample meets in one task.
+    Rank merge: both sides are collapsed to (key, score) counts, dealt by ranges and accumulated
+    twice - over ranges, then inside a range - so no key's sample meets in one task.
     """
     keys = list(keys)
     refs = ref.select(*keys, F.col(score).alias("__s")).where(F.col("__s").isNotNull())
@@ -288,20 +290,15 @@ def count_at_least(obs: DataFrame, ref: DataFrame, keys: Sequence[str], score: s
         .withColumn("__c", F.lit(0).cast("bigint"))
     )
     both = both.groupBy(*keys, "__s").agg(F.sum("__c").alias("__c"))
-    if has_large_groups(both, keys):
-        both = cut(both)
-        both, _ = _bucketed(both, keys, "__s")
-        per = both.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
-        above = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-        per = per.withColumn("__above", F.coalesce(F.sum("__t").over(above), F.lit(0))).drop("__t")
-        both = join_on(both, per, [*keys, "__b"], "inner")
-        cell = [*keys, "__b"]
-    else:
-        both = both.withColumn("__above", F.lit(0))
-        cell = keys
-    down = Window.partitionBy(*cell).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    both = cut(both.repartitionByRange(*keys, F.desc("__s")).withColumn("__range", F.spark_partition_id()))
+    per = both.groupBy(*keys, "__range").agg(F.sum("__c").alias("__t"))
+    above = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = Window.partitionBy(*keys)
+    per = cut(per.select(*keys, "__range", F.coalesce(F.sum("__t").over(above), F.lit(0)).alias("__above"), F.sum("__t").over(totals).alias("__n")))
+    both = join_on(both, broadcast_if_small(per), [*keys, "__range"], "inner")
+    down = Window.partitionBy(*keys, "__range").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = both.withColumn("n_ge", (F.sum("__c").over(down) + F.col("__above")).cast("bigint"))
     ranked = ranked.select(*keys, F.col("__s").alias(score), "n_ge")
-    totals = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ref"))
     out = join_on(obs, ranked, [*keys, score], "left")
-    return join_on(out, totals, keys, "left").withColumn("n_ref", F.coalesce("n_ref", F.lit(0)))
+    whole = broadcast_if_small(per.select(*keys, F.col("__n").alias("n_ref")).distinct())
+    return join_on(out, whole, keys, "left").withColumn("n_ref", F.coalesce("n_ref", F.lit(0)))
