@@ -53,17 +53,50 @@ def fold_summary(scored: DataFrame, model: str = "model", fold: str = "lot_id")
     )
 
 
-def select_model(folds: DataFrame, default: str, challenger: str, tolerance: float = 0.005) -> DataFrame:
-    """H6: challenger wins on a relative MAE gap above the tolerance, then on fold spread, else default."""
-    p = folds.groupBy("parameter_name").agg(
-        *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{i}") for i, m in enumerate((default, challenger)) for c in ("mae_mean", "mae_std")]
+TIERS = (("TIER_1_POINT_MAE", "mae"), ("TIER_2_UNCERTAINTY_WINKLER", "winkler"), ("TIER_3_FOLD_STABILITY", "mae_std"))
+LAST_TIER = "TIER_4_DETERMINISTIC_DEFAULT"
+
+
+def model_evidence(scored: DataFrame, model: str = "model", fold: str = "lot_id") -> DataFrame:
+    """parameter_name, model, mae and winkler over all held-out rows, mae_std over folds; combined per task."""
+    per = scored.groupBy("parameter_name", model, fold).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("predicted") - F.col("v168"))).alias("e"), F.sum(_winkler()).alias("w")
     )
-    gap = F.try_divide(F.col("mae_mean_0") - F.col("mae_mean_1"), F.col("mae_mean_0"))
-    choice = (
-        F.when(gap > tolerance, challenger).when(gap < -tolerance, default)
-        .when(F.col("mae_std_1") < F.col("mae_std_0") * (1 - tolerance), challenger).otherwise(default)
+    return per.groupBy("parameter_name", F.col(model).alias("model")).agg(
+        (F.sum("e") / F.sum("n")).alias("mae"), (F.sum("w") / F.sum("n")).alias("winkler"), F.stddev_pop(F.col("e") / F.col("n")).alias("mae_std")
     )
-    return p.select("parameter_name", gap.alias("relative_gap"), choice.alias("choice"))
+
+
+def _winkler() -> Column:
+    y, lo, hi = F.col("v168"), F.col("lower"), F.col("upper")
+    return hi - lo + 20.0 * F.when(y < lo, lo - y).when(y > hi, y - hi).otherwise(0.0)
+
+
+def select_by_tiers(evidence: DataFrame, default: str, tolerance: float = 0.005, quorum: int = 3) -> DataFrame:
+    """H6: one model per parameter by a cascade over any number of models, and the family they agree on.
+
+    At each tier the models whose metric is within ``tolerance`` of the best one stay; the first tier that leaves one
+    decides, and what is still tied after the last goes to ``default``. relative_gap is that of the best two at the
+    deciding tier. consensus is the model that ``quorum`` parameters chose, else SPLIT. A model without a metric is out
+    at that tier unless none has it.
+    """
+    metrics = [m for _, m in TIERS]
+    c = evidence.groupBy("parameter_name").agg(F.array_sort(F.collect_list(F.struct("model", *metrics))).alias("c0"))
+    for k, m in enumerate(metrics):
+        best = f"array_min(transform(c{k}, x -> x.{m}))"
+        c = c.withColumn(f"b{k}", F.expr(best))
+        c = c.withColumn(f"c{k + 1}", F.expr(f"IF(b{k} IS NULL OR b{k} <= 1e-12, c{k}, filter(c{k}, x -> x.{m} <= b{k} * (1 + {tolerance}D)))"))
+        c = c.withColumn(f"g{k}", F.expr(f"IF(b{k} > 1e-12, get(array_sort(transform(filter(c{k}, x -> x.{m} IS NOT NULL), x -> x.{m})), 1) / b{k} - 1, 0D)"))
+    left = f"c{len(metrics)}"
+    choice = F.expr(f"IF(exists({left}, x -> x.model = '{default}'), '{default}', {left}[0].model)")
+    tier, gap = F.lit(LAST_TIER), F.lit(0.0)
+    for k in reversed(range(len(metrics))):
+        sole = F.size(f"c{k + 1}") == 1
+        choice, tier, gap = F.when(sole, F.col(f"c{k + 1}")[0]["model"]).otherwise(choice), F.when(sole, TIERS[k][0]).otherwise(tier), F.when(sole, F.coalesce(f"g{k}", F.lit(0.0))).otherwise(gap)
+    out = c.select("parameter_name", choice.alias("choice"), tier.alias("tier"), gap.alias("relative_gap"))
+    wins = out.groupBy("choice").agg(F.count(F.lit(1)).alias("n"))
+    agreed = wins.agg(F.coalesce(F.max(F.when(F.col("n") >= quorum, F.col("choice"))), F.lit("SPLIT")).alias("consensus"))
+    return out.crossJoin(F.broadcast(agreed))  # one row
 
 
 def confusion(pred: DataFrame, labels: DataFrame) -> DataFrame:

@@ -102,10 +102,13 @@ def theil_sen_forecast(feats: DataFrame, as_of: int, reg: Registry = REGISTRY) -
 
 
 def interval(df: DataFrame, u: str, sigma: str, reg: Registry = REGISTRY, width: float = Z90) -> DataFrame:
-    """Inverse-transformed u +/- z sigma, ordered."""
+    """Inverse-transformed u +/- z sigma, ordered; a diverged forecast (``guarded``) has no width."""
     a = inverse_transform("parameter_name", F.col(u) - width * F.col(sigma), reg)
     b = inverse_transform("parameter_name", F.col(u) + width * F.col(sigma), reg)
-    return df.withColumns({"lower": F.least(a, b), "upper": F.greatest(a, b)})
+    low, high = F.least(a, b), F.greatest(a, b)
+    if "divergent" in df.columns:
+        low, high = (F.when(F.col("divergent"), F.col("predicted")).otherwise(c) for c in (low, high))
+    return df.withColumns({"lower": low, "upper": high})
 
 
 def locked_score(df: DataFrame, reg: Registry = REGISTRY) -> DataFrame:

@@ -154,6 +154,85 @@ def gram_fit(df: DataFrame, features: Sequence[str], target: str, lam: float = 1
     return gram.mapInPandas(solve_batches, "parameter_name STRING, beta ARRAY<DOUBLE>")
 
 
+# Feature lists of the context variants (target u168) and of the residual variants (target u168 - u24)
+_CONTEXT = {
+    "A": ("u0", "u24"),
+    "B": ("u0", "u24", "loo_median_0"),
+    "C": ("u0", "u24", "loo_median_0", "loo_median_24"),
+    "D": ("u0", "u24", "lot_drift"),
+    "E": ("u0", "u24", "excess_drift"),
+    "F": ("u0", "u24", "lot_drift", "excess_drift"),
+    "G": ("u0", "u24", "lot_drift", "excess_drift", "loo_scale_0"),
+}
+_RESIDUAL = {
+    "A": (("u0", "u24"), "u168"),
+    "B": (("u0", "u24"), "delta_u"),
+    "C": (("u0", "u24", "lot_drift"), "delta_u"),
+    "D": (("u0", "u24", "excess_drift"), "delta_u"),
+    "E": (("u0", "u24", "lot_drift", "excess_drift"), "delta_u"),
+    "F": (("u24", "component_drift", "lot_drift", "excess_drift"), "delta_u"),
+}
+VARIANTS = {f"context_{k}": (v, "u168") for k, v in _CONTEXT.items()} | {f"residual_{k}": v for k, v in _RESIDUAL.items()}
+
+
+def variant_coefficients(df: DataFrame, variants: dict = VARIANTS, fold: str = "lot_id", lam: float = 1.0) -> DataFrame:
+    """parameter_name, fold, betas ARRAY<ARRAY<DOUBLE>> (by variant) of ridge fits that do not see the fold.
+
+    One wide table of cross products per parameter and lot holds everything: a fold is the total minus its own row, a
+    variant is a sub-matrix. Solving reads some dozen numbers per fold, in Arrow batches.
+    """
+    features = list(dict.fromkeys(f for fs, _ in variants.values() for f in fs))
+    targets = list(dict.fromkeys(t for _, t in variants.values()))
+    names = ["__one", *features, *targets]
+    pairs = [(i, j) for j in range(len(names)) for i in range(min(j, len(features)) + 1)]
+    df = df.where(reduce(and_, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in names[1:]])).withColumn("__one", F.lit(1.0))
+    cells = [f"s{i}_{j}" for i, j in pairs]
+    per = df.groupBy("parameter_name", fold).agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(c) for (i, j), c in zip(pairs, cells)])
+    per = cut(per)
+    total = per.groupBy("parameter_name").agg(*[F.sum(c).alias(f"t_{c}") for c in cells])
+    rest = per.join(total, "parameter_name").select("parameter_name", fold, *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in cells])
+    picks = [([0, *(names.index(f) for f in fs)], names.index(t)) for fs, t in variants.values()]
+    width = len(names)
+
+    def solve_batches(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            s = np.zeros((batch.num_rows, width, width))
+            for (i, j), c in zip(pairs, cells):
+                s[:, i, j] = s[:, j, i] = batch.column(c).to_numpy(zero_copy_only=False)
+            seen = s[:, 0, 0] > 0
+            out = [[] for _ in range(batch.num_rows)]
+            for at, t in picks:
+                a = s[:, at][:, :, at] + np.diag([0.0] + [lam] * (len(at) - 1))
+                a[~seen] = np.eye(len(at))
+                b = np.linalg.solve(a, s[:, at, t][..., None])[..., 0]
+                for row, beta, some in zip(out, b.tolist(), seen):
+                    row.append(beta if some else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["parameter_name", fold, "betas"])
+
+    return rest.mapInArrow(solve_batches, f"parameter_name STRING, {fold} STRING, betas ARRAY<ARRAY<DOUBLE>>")
+
+
+def variant_errors(df: DataFrame, variants: dict = VARIANTS, fold: str = "lot_id", lam: float = 1.0, reg: Registry = REGISTRY) -> DataFrame:
+    """parameter_name, variant, n, n_divergent, mae in physical units, every row forecast without its own lot.
+
+    df: features, targets, v24 and v168. A forecast beyond the divergence guard counts as the 24 h reading.
+    """
+    scored = df.join(variant_coefficients(df, variants, fold, lam), ["parameter_name", fold])
+    each = []
+    for k, (name, (features, target)) in enumerate(variants.items()):
+        beta = F.col("betas")[k]
+        u = reduce(lambda a, b: a + b, [beta[0], *(beta[i] * F.col(f) for i, f in enumerate(features, 1))])
+        each.append(F.struct(F.lit(name).alias("variant"), (u + F.col("u24") if target == "delta_u" else u).alias("u_hat")))
+    long = scored.select("parameter_name", "v24", "v168", F.explode(F.array(*each)).alias("e")).select("parameter_name", "v24", "v168", "e.*")
+    told = guarded(long.where("u_hat IS NOT NULL"), reg)
+    return told.groupBy("parameter_name", "variant").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("divergent").alias("n_divergent"), F.avg(F.abs(F.col("predicted") - F.col("v168"))).alias("mae")
+    )
+
+
 def gbt_residual(df: DataFrame, features: Sequence[str], target: str, parameters: Sequence[str], iterations: int = 50):
     """Boosted trees on the residual target, one MLlib model per parameter, over the rows of all of them.
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import inverse_transform, r6
 from emberline.operators import decomposition as DC
 from emberline.operators import evaluation as V
+from emberline.operators import folds as FO
 from emberline.operators import prognostics as P
 from emberline.operators import regression as G
 from emberline.plans import screening as S
 from emberline.plans.catalog import query
-from emberline.plans.oracle_parts import FLOOR, HIGH, LOW, inv, part, ridge
+from emberline.plans.oracle_parts import FLOOR, HIGH, LOW, huber, inv, med_mad, part, ridge
 from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.prognostic_queries import FIT, ID, SOLVE, SUMSQL, TRI, W, ZA, anchored, locked, tri
 from emberline.plans.quality_queries import PARTS_SQL, lot_partitions
@@ -60,34 +61,79 @@ def metrics_grouping_sets(spark, d):
     return shown(m, "sgn", "parameter_name")
 
 
-LOLO = FIT + f""",
-sc AS (SELECT t.lot_id, t.parameter_name, t.v168, 'ridge' AS model, CASE WHEN abs(c.b0 + c.b1 * u0 + c.b2 * u24) > 10 THEN v24 ELSE {inv('(c.b0 + c.b1 * u0 + c.b2 * u24)').replace('parameter_name', 't.parameter_name')} END AS p FROM tri t JOIN lc c ON c.parameter_name = t.parameter_name AND c.lot_id = t.lot_id
+ARMS = ("carry", "huber", "ridge", "two_point")
+MAECOLS = ("mae_mean", "mae_std", "mae_min", "mae_max")
+SUM2 = ", ".join(f"t.{c} - a.{c} - b.{c} AS {c}" for c in G.SUMS)
+FOLDS = FIT + f""",
+lots AS MATERIALIZED (SELECT DISTINCT lot_id FROM tri),
+hs AS MATERIALIZED (SELECT t.parameter_name, l.lot_id AS f, u0, u24, u168, flr FROM tri t JOIN lots l ON l.lot_id <> t.lot_id),
+""" + huber("hu", "hs", "parameter_name, f")
+# interval scales: the models that see neither the fold's lot nor the row's
+NESTED = FOLDS + f""",
+l2 AS MATERIALIZED (SELECT t.parameter_name, a.lot_id AS f, b.lot_id AS g, {SUM2} FROM fs t JOIN ls a USING (parameter_name) JOIN ls b ON b.parameter_name = t.parameter_name AND a.lot_id <> b.lot_id),
+c2 AS MATERIALIZED (SELECT parameter_name, f, g, {SOLVE} FROM l2),
+n2 AS MATERIALIZED (SELECT t.parameter_name, c.f, flr, u168 - (b0 + b1 * u0 + b2 * u24) AS r FROM tri t JOIN c2 c ON c.parameter_name = t.parameter_name AND c.g = t.lot_id),
+hp AS MATERIALIZED (SELECT t.parameter_name, a.lot_id AS f, b.lot_id AS g, u0, u24, u168, flr FROM tri t JOIN lots a ON a.lot_id <> t.lot_id JOIN lots b ON b.lot_id <> t.lot_id AND a.lot_id < b.lot_id),
+""" + huber("hv", "hp", "parameter_name, f, g", 9) + """,
+h2 AS MATERIALIZED (SELECT t.parameter_name, CASE WHEN c.f = t.lot_id THEN c.g ELSE c.f END AS f, flr, u168 - (b0 + b1 * u0 + b2 * u24) AS r FROM tri t JOIN hv c ON c.parameter_name = t.parameter_name AND (c.f = t.lot_id OR c.g = t.lot_id)),
+""" + med_mad("nm", "n2", "parameter_name, f", "r") + ",\n" + med_mad("hm", "h2", "parameter_name, f", "r")
+
+
+def _trained(model: str, table: str, fold: str, sigma: str = "NULL::DOUBLE") -> str:
+    return f"SELECT t.component_id, t.lot_id, t.parameter_name, t.v24, t.v168, '{model}' AS model, c.b0 + c.b1 * u0 + c.b2 * u24 AS uh, {sigma} AS sg FROM tri t JOIN {table} c ON c.parameter_name = t.parameter_name AND c.{fold} = t.lot_id"
+
+
+SOUND = "abs(uh) <= 10 AND isfinite({y}) AND coalesce(isfinite({lo}) AND isfinite({hi}), true)".format(y=inv("uh"), lo=inv("uh - 1.6448536269514722::DOUBLE * sg"), hi=inv("uh + 1.6448536269514722::DOUBLE * sg"))
+PREDICTED = f"""CASE WHEN {SOUND} THEN {inv('uh')} ELSE v24 END AS p, CASE WHEN {SOUND} THEN {inv('uh - 1.6448536269514722::DOUBLE * sg')} ELSE v24 END AS lo, CASE WHEN {SOUND} THEN {inv('uh + 1.6448536269514722::DOUBLE * sg')} ELSE v24 END AS hi"""
+LOLO = FOLDS + f""",
+uq AS ({_trained('ridge', 'lc', 'lot_id')} UNION ALL {_trained('huber', 'hu', 'f')}),
+sc AS (SELECT lot_id, parameter_name, v168, model, p FROM (SELECT *, {PREDICTED} FROM uq)
  UNION ALL SELECT lot_id, parameter_name, v168, 'carry', v24 FROM tri UNION ALL SELECT lot_id, parameter_name, v168, 'two_point', 7 * v24 - 6 * v0 FROM tri),
 fo AS (SELECT parameter_name, model, lot_id, avg(abs(p - v168)) AS m FROM sc GROUP BY 1, 2, 3),
 fz AS (SELECT parameter_name, model, count(*) AS n_folds, avg(m) AS mae_mean, stddev_pop(m) AS mae_std, min(m) AS mae_min, max(m) AS mae_max FROM fo GROUP BY 1, 2)"""
+_SIGMA = "(SELECT greatest(1.4826::DOUBLE * mad, {floor}) FROM {m} x WHERE x.parameter_name = t.parameter_name AND x.f = t.lot_id)"
+_FLOOR = FLOOR.replace("parameter_name", "t.parameter_name")
+EVIDENCE = NESTED + f""",
+uq AS ({_trained('ridge', 'lc', 'lot_id', _SIGMA.format(floor=_FLOOR, m='nm'))} UNION ALL {_trained('huber', 'hu', 'f', _SIGMA.format(floor=_FLOOR, m='hm'))}),
+sc AS MATERIALIZED (SELECT *, hi - lo + 20 * greatest(lo - v168, v168 - hi, 0) AS wk FROM (SELECT *, {PREDICTED} FROM uq)),
+fo AS (SELECT parameter_name, model, lot_id, count(*) AS n, sum(abs(p - v168)) AS e, sum(wk) AS w FROM sc GROUP BY 1, 2, 3),
+ev AS MATERIALIZED (SELECT parameter_name, model, sum(e) / sum(n) AS mae, sum(w) / sum(n) AS winkler, stddev_pop(e / n) AS mae_std FROM fo GROUP BY 1, 2)"""
 
 
-def lolo(spark, d):
-    t = tri(spark, d)
-    cols = ["lot_id", "parameter_name", "v168"]
-    ridge = G.guarded(G.score(t, G.lolo_coefficients(t), ["parameter_name", "lot_id"])).select(*cols, F.lit("ridge").alias("model"), "predicted")
-    carry = t.select(*cols, F.lit("carry").alias("model"), F.col("v24").alias("predicted"))
-    two = t.select(*cols, F.lit("two_point").alias("model"), (7 * F.col("v24") - 6 * F.col("v0")).alias("predicted"))
-    return V.fold_summary(ridge.unionByName(carry).unionByName(two))
+def held_out(spark, d, nested):
+    return FO.held_out_forecasts(tri(spark, d), nested=nested)
 
 
-@query("lolo_cv", W + LOLO + f" SELECT parameter_name, model, n_folds, {', '.join(f'{o6(c, 5)} AS {c}' for c in ('mae_mean', 'mae_std', 'mae_min', 'mae_max'))} FROM fz")
+@query("lolo_cv", W + LOLO + f" SELECT parameter_name, model, n_folds, {', '.join(f'{o6(c, 5)} AS {c}' for c in MAECOLS)} FROM fz")
 def lolo_cv(spark, d):
-    return lolo(spark, d).select("parameter_name", "model", "n_folds", *[r6(c, 5).alias(c) for c in ("mae_mean", "mae_std", "mae_min", "mae_max")])
+    return V.fold_summary(held_out(spark, d, False)).select("parameter_name", "model", "n_folds", *[r6(c, 5).alias(c) for c in MAECOLS])
+
+
+@query("lolo_intervals", W + EVIDENCE + f" SELECT parameter_name, model, {o6('mae', 5)} AS mae, {o6('winkler', 4)} AS winkler, {o6('mae_std', 5)} AS mae_std FROM ev")
+def lolo_intervals(spark, d):
+    """P10, H4: error and Winkler score of held-out forecasts whose interval scale is held out as well."""
+    e = V.model_evidence(held_out(spark, d, True).where("model IN ('ridge', 'huber')"))
+    return e.select("parameter_name", "model", r6("mae", 5).alias("mae"), r6("winkler", 4).alias("winkler"), r6("mae_std", 5).alias("mae_std"))
+
+
+def _gap(c: str) -> str:
+    return f"abs(a_{c} - b_{c}) / least(a_{c}, b_{c})"
+
+
+_TIER = " ".join(f"WHEN {_gap(c)} > 0.005 THEN '{t}'" for t, c in V.TIERS)
+_CHOICE = " ".join(f"WHEN {_gap(c)} > 0.005 THEN CASE WHEN a_{c} < b_{c} THEN 'ridge' ELSE 'huber' END" for _, c in V.TIERS)
+_GAP = " ".join(f"WHEN {_gap(c)} > 0.005 THEN {_gap(c)}" for _, c in V.TIERS)
 
 
 @query(
     "model_selection",
-    W + LOLO + f""", w AS (SELECT parameter_name, max(mae_mean) FILTER (model = 'carry') AS a, max(mae_mean) FILTER (model = 'ridge') AS b, max(mae_std) FILTER (model = 'carry') AS sa, max(mae_std) FILTER (model = 'ridge') AS sb FROM fz GROUP BY 1)
-SELECT parameter_name, {o6('(a - b) / a', 5)} AS relative_gap, CASE WHEN (a - b) / a > 0.005 THEN 'ridge' WHEN (a - b) / a < -0.005 THEN 'carry' WHEN sb < sa * 0.995 THEN 'ridge' ELSE 'carry' END AS choice FROM w""",
+    W + EVIDENCE + f""", pv AS (SELECT parameter_name, {', '.join(f"max({c}) FILTER (model = 'ridge') AS a_{c}, max({c}) FILTER (model = 'huber') AS b_{c}" for _, c in V.TIERS)} FROM ev GROUP BY 1),
+ch AS (SELECT parameter_name, CASE {_TIER} ELSE '{V.LAST_TIER}' END AS tier, CASE {_CHOICE} ELSE 'ridge' END AS choice, CASE {_GAP} ELSE 0.0::DOUBLE END AS gap FROM pv)
+SELECT parameter_name, choice, tier, {o6('gap', 4)} AS relative_gap, coalesce((SELECT max(choice) FROM (SELECT choice FROM ch GROUP BY 1 HAVING count(*) >= 3)), 'SPLIT') AS consensus FROM ch""",
 )
 def model_selection(spark, d):
-    return V.select_model(lolo(spark, d), "carry", "ridge").withColumn("relative_gap", r6("relative_gap", 5))
+    e = V.model_evidence(held_out(spark, d, True).where("model IN ('ridge', 'huber')"))
+    return V.select_by_tiers(e, "ridge").select("parameter_name", "choice", "tier", r6("relative_gap", 4).alias("relative_gap"), "consensus")
 
 
 SPLIT = TRI + ",\n" + PARTS_SQL + f""",

@@ -16,7 +16,7 @@ mean4 AS (
          CAST(p AS DOUBLE) / CAST(n AS DOUBLE) AS mp, CAST(d AS DOUBLE) / CAST(n AS DOUBLE) AS md,
          CAST(q AS DOUBLE) / CAST(n AS DOUBLE) AS mq, CAST(x AS DOUBLE) / CAST(n AS DOUBLE) AS mx
   FROM cells JOIN part ON l_partkey = p_partkey),
-tel AS (
+tel AS MATERIALIZED (
   SELECT component_id, lot_id, 'IDSS' AS parameter_name, elapsed_hours, mp / 1000000.0::DOUBLE AS value, 'uA' AS unit, instrument_id, channel_id FROM mean4
   UNION ALL SELECT component_id, lot_id, 'VGS(th)', elapsed_hours, 1.95::DOUBLE + md * 0.2::DOUBLE, 'V', instrument_id, channel_id FROM mean4
   UNION ALL SELECT component_id, lot_id, 'RDS(on)', elapsed_hours, 18.25::DOUBLE + mq, 'mOhm', instrument_id, channel_id FROM mean4
@@ -94,6 +94,33 @@ def ridge(name: str, src: str, keys: str, y: str = "u168", lam: str = "1.0::DOUB
 {name} AS (SELECT *, (g2 - m02 * b0 - m12 * b1) / m22 AS b2 FROM {name}d)"""
 
 
+def weighed(name: str, src: str, keys: str, y: str = "u168", lam: str = "1.0::DOUBLE") -> str:
+    """CTEs <name>s and <name>(keys, b0, b1, b2): ridge of weighted rows (w), the intercept free, from centred sums."""
+    p, q, r = f"(s11 - s1 * s1 / n + {lam})", "(s12 - s1 * s2 / n)", f"(s22 - s2 * s2 / n + {lam})"
+    v, w = "(s1y - s1 * sy / n)", "(s2y - s2 * sy / n)"
+    return f"""{name}s AS MATERIALIZED (SELECT {keys}, sum(w) AS n, sum(w * u0) AS s1, sum(w * u24) AS s2, sum(w * {y}) AS sy, sum(w * u0 * u0) AS s11, sum(w * u0 * u24) AS s12, sum(w * u24 * u24) AS s22, sum(w * u0 * {y}) AS s1y, sum(w * u24 * {y}) AS s2y FROM {src} GROUP BY {keys}),
+{name}z AS (SELECT *, ({v} - {q} * {w} / {r}) / ({p} - {q} * {q} / {r}) AS b1 FROM {name}s), {name}y AS (SELECT *, ({w} - {q} * b1) / {r} AS b2 FROM {name}z),
+{name} AS MATERIALIZED (SELECT {keys}, (sy - b1 * s1 - b2 * s2) / n AS b0, b1, b2 FROM {name}y)"""
+
+
+def huber(name: str, src: str, keys: str, rounds: int = 12) -> str:
+    """CTEs ending in <name>(keys, b0, b1, b2, done): Huber reweighting unrolled; src holds keys, u0, u24, u168, flr."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    out = [f"{name}r AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS w FROM {src})", weighed(f"{name}q", f"{name}r", keys), f"{name}0 AS MATERIALIZED (SELECT *, false AS done FROM {name}q)"]
+    for i in range(1, rounds + 1):
+        last, now = f"{name}{i - 1}", "" if i == rounds else i
+        out += [
+            f"{name}x{i} AS MATERIALIZED (SELECT a.*, u168 - (b0 + b1 * u0 + b2 * u24) AS r FROM {src} a JOIN {last} b ON {on} WHERE NOT done)",
+            f"{name}m{i} AS MATERIALIZED (SELECT {keys}, median(r) AS med FROM {name}x{i} GROUP BY {keys})",
+            f"{name}d{i} AS MATERIALIZED (SELECT {own}, 1.345::DOUBLE * greatest(1.4826::DOUBLE * median(abs(r - med)), any_value(flr)) AS delta FROM {name}x{i} a JOIN {name}m{i} b ON {on} GROUP BY {own})",
+            f"{name}w{i} AS (SELECT a.*, CASE WHEN abs(r) <= delta THEN 1.0::DOUBLE ELSE delta / greatest(abs(r), 1e-12::DOUBLE) END AS w FROM {name}x{i} a JOIN {name}d{i} b ON {on})",
+            weighed(f"{name}n{i}", f"{name}w{i}", keys),
+            f"{name}{now} AS MATERIALIZED (SELECT {own}, coalesce(b.b0, a.b0) AS b0, coalesce(b.b1, a.b1) AS b1, coalesce(b.b2, a.b2) AS b2, coalesce(greatest(abs(a.b0 - b.b0), abs(a.b1 - b.b1), abs(a.b2 - b.b2)) < 1e-6, true) AS done FROM {last} a LEFT JOIN {name}n{i} b ON {on})",
+        ]
+    return ",\n".join(out)
+
+
 def gram(name: str, src: str, key: str, xs: list[str], y: str) -> str:
     """CTEs ending in <name>(key, b0 .. bk): ridge on an intercept (free) and ``xs`` by elimination from the last unknown up."""
     cols, n = ["1", *xs], len(xs) + 1

@@ -10,7 +10,7 @@ from emberline.operators import regression as G
 from emberline.operators import represent as R
 from emberline.plans import screening as S
 from emberline.plans.catalog import query
-from emberline.plans.oracle_parts import gram, FLOOR, HIGH, LOW, TEL, TU, inv, loo, med_mad
+from emberline.plans.oracle_parts import gram, huber, FLOOR, HIGH, LOW, TEL, TU, inv, loo, med_mad
 from emberline.plans.oracle_parts import r6 as o6
 from emberline.plans.screening_oracle import component_ctes, screen_ctes
 from emberline.registry import CONFORMAL_QUANTILES, PRIMARY, REGIME_GATE, REGISTRY
@@ -28,7 +28,7 @@ B0, B1, B2 = (case({p.name: getattr(p, f"beta{i}") for p in PRIMARY}) for i in r
 SIG = case({p.name: p.sigma_eff for p in PRIMARY})
 POP = case({p.name: p.population_u for p in PRIMARY})
 TRI = TU + f""",
-tri AS (SELECT * FROM (SELECT component_id, lot_id, parameter_name, any_value(flr) AS flr, max(value) FILTER (elapsed_hours = 0) AS v0, max(value) FILTER (elapsed_hours = 24) AS v24, max(value) FILTER (elapsed_hours = 168) AS v168, max(u) FILTER (elapsed_hours = 0) AS u0, max(u) FILTER (elapsed_hours = 24) AS u24, max(u) FILTER (elapsed_hours = 168) AS u168 FROM tu GROUP BY 1, 2, 3) WHERE u0 IS NOT NULL AND u24 IS NOT NULL AND u168 IS NOT NULL),
+tri AS MATERIALIZED (SELECT * FROM (SELECT component_id, lot_id, parameter_name, any_value(flr) AS flr, max(value) FILTER (elapsed_hours = 0) AS v0, max(value) FILTER (elapsed_hours = 24) AS v24, max(value) FILTER (elapsed_hours = 168) AS v168, max(u) FILTER (elapsed_hours = 0) AS u0, max(u) FILTER (elapsed_hours = 24) AS u24, max(u) FILTER (elapsed_hours = 168) AS u168 FROM tu GROUP BY 1, 2, 3) WHERE u0 IS NOT NULL AND u24 IS NOT NULL AND u168 IS NOT NULL),
 lk AS (SELECT *, {B0} AS b0, {B1} AS b1, {B2} AS b2, {B0} + {B1} * u0 + {B2} * u24 AS uh, {SIG} AS sig FROM tri),
 lky AS (SELECT *, {inv('uh')} AS y FROM lk),
 du AS (SELECT component_id, lot_id, parameter_name, any_value(flr) AS flr, max(value) FILTER (elapsed_hours = 0) AS v0, max(value) FILTER (elapsed_hours = 24) AS v24, max(u) FILTER (elapsed_hours = 0) AS u0, max(u) FILTER (elapsed_hours = 24) AS u24 FROM tu GROUP BY 1, 2, 3),
@@ -171,7 +171,7 @@ def ridge_oof_sigma(spark, d):
     return G.oof_sigma(tri(spark, d)).select("parameter_name", "n", r6("sigma_eff").alias("sigma_eff"))
 
 
-@query("huber_fit")
+@query("huber_fit", W + TRI + ",\n" + huber("hf", "tri", "parameter_name") + f" SELECT parameter_name, {o6('b0', 5)} AS b0, {o6('b1', 5)} AS b1, {o6('b2', 5)} AS b2, done AS converged FROM hf")
 def huber_fit(spark, d):
     return G.huber_fit(tri(spark, d)).select("parameter_name", *[r6(c, 5).alias(c) for c in ("b0", "b1", "b2")], "converged")
 
@@ -206,6 +206,35 @@ def residual_ridge(spark, d):
     return b.select("parameter_name", *[r6(F.col("beta")[i], 5).alias(f"beta_{n}") for i, n in enumerate(["0", *FEATS])])
 
 
+SQL_NAME = {"loo_median_0": "lm0", "loo_median_24": "lm24", "component_drift": "cd", "lot_drift": "ld", "excess_drift": "xd", "loo_scale_0": "sc0"}
+
+
+def _variant_sql(name: str) -> tuple[str, str]:
+    features, target = G.VARIANTS[name]
+    xs = [SQL_NAME.get(f, f) for f in features]
+    g = f"g{name}"
+    u = " + ".join(["b0", *(f"b{i} * x.{c}" for i, c in enumerate(xs, 1))]) + (" + x.u24" if target == "delta_u" else "")
+    rows = f"SELECT x.parameter_name, '{name}' AS variant, x.v24, x.v168, {u} AS uh FROM rr x JOIN {g} c ON c.pk = x.parameter_name || '|' || x.lot_id"
+    return gram(g, "rf", "pk", xs, {"u168": "u168", "delta_u": "dy"}[target]), rows
+
+
+_VARIANTS = [_variant_sql(v) for v in G.VARIANTS]
+VARIANT_SQL = CTX + """,
+rr AS MATERIALIZED (SELECT c.*, coalesce(greatest(1.4826::DOUBLE * c.mad0, c.flr), c.flr) AS sc0, t.u168, t.v168, t.u168 - c.u24 AS dy FROM cx c JOIN tri t ON t.component_id = c.component_id AND t.parameter_name = c.parameter_name),
+rf AS MATERIALIZED (SELECT r.*, r.parameter_name || '|' || l.lot_id AS pk FROM rr r JOIN (SELECT DISTINCT lot_id FROM rr) l ON l.lot_id <> r.lot_id),
+""" + ",\n".join(q for q, _ in _VARIANTS) + ",\nvs AS (" + " UNION ALL ".join(r for _, r in _VARIANTS) + f"""),
+vp AS (SELECT *, abs(uh) <= 10 AND isfinite({inv('uh')}) AS sound FROM vs)"""
+
+
+@query("feature_variants", W + VARIANT_SQL + f" SELECT parameter_name, variant, count(*) AS n, count(*) FILTER (NOT sound) AS n_divergent, {o6('avg(abs(CASE WHEN sound THEN ' + inv('uh') + ' ELSE v24 END - v168))', 4)} AS mae FROM vp GROUP BY 1, 2")
+def feature_variants(spark, d):
+    """Every feature and target variant, judged on lots it was not fitted on."""
+    t = tri(spark, d).select(*ID, "u168", "v168")
+    rows = context(spark, d).join(t, ID).withColumn("delta_u", F.col("u168") - F.col("u24"))
+    v = G.variant_errors(rows)
+    return v.select("parameter_name", "variant", "n", "n_divergent", r6("mae", 4).alias("mae"))
+
+
 @query("gbt_residual")
 def gbt_residual(spark, d):
     rows = residual_rows(spark, d)

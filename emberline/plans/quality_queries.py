@@ -26,8 +26,8 @@ def labels_v1(spark, d):
 
 LABELS_SQL = TEL + """,
 zer AS (SELECT *, max(CASE WHEN elapsed_hours = 0 THEN value END) OVER (PARTITION BY component_id, parameter_name) AS z FROM tel),
-dev AS (SELECT * EXCLUDE (z), CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE (value - z) / z END AS r FROM zer WHERE z IS NOT NULL),
-fab AS (SELECT component_id, lot_id, parameter_name, min(CASE WHEN abs(r) >= 0.2 THEN elapsed_hours END) AS first_abnormal_hour FROM dev GROUP BY 1, 2, 3)"""
+dev AS MATERIALIZED (SELECT * EXCLUDE (z), CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE (value - z) / z END AS r FROM zer WHERE z IS NOT NULL),
+fab AS MATERIALIZED (SELECT component_id, lot_id, parameter_name, min(CASE WHEN abs(r) >= 0.2 THEN elapsed_hours END) AS first_abnormal_hour FROM dev GROUP BY 1, 2, 3)"""
 
 
 @query("scan_telemetry", W + TEL + f" SELECT component_id, lot_id, parameter_name, elapsed_hours, {o6('value')} AS value, unit, 'real' AS source_type FROM tel")
