@@ -231,31 +231,3 @@ def variant_errors(df: DataFrame, variants: dict = VARIANTS, fold: str = "lot_id
     return told.groupBy("parameter_name", "variant").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("divergent").alias("n_divergent"), F.avg(F.abs(F.col("predicted") - F.col("v168"))).alias("mae")
     )
-
-
-def gbt_residual(df: DataFrame, features: Sequence[str], target: str, parameters: Sequence[str], iterations: int = 50):
-    """Boosted trees on the residual target, one MLlib model per parameter, over the rows of all of them.
-
-    A row whose features are not all finite gets a null delta_hat; a parameter without a row to fit has none.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    def finite(columns):
-        return reduce(and_, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in columns])
-
-    df = cut(df)
-    vec = VectorAssembler(inputCols=list(features), outputCol="__x")
-    gbt = GBTRegressor(featuresCol="__x", labelCol=target, maxDepth=3, maxIter=iterations, stepSize=0.05, minInstancesPerNode=10, seed=7)
-    parts = []
-    for parameter in parameters:
-        rows = df.where(F.col("parameter_name") == parameter)
-        usable = rows.where(finite(features))
-        known = usable.where(finite([target]))
-        if not known.limit(1).count():
-            parts.append(rows.withColumn("delta_hat", F.lit(None).cast("double")))
-            continue
-        model = gbt.fit(vec.transform(known))
-        parts.append(model.transform(vec.transform(usable)).drop("__x").withColumnRenamed("prediction", "delta_hat"))
-        parts.append(rows.where(~finite(features)).withColumn("delta_hat", F.lit(None).cast("double")))
-    return reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberline.functions.scalars import inverse_transform, r6, transform
 from emberline.operators import prognostics as P
 from emberline.operators import regression as G
+from emberline.operators.boosting import cross_fitted
 from emberline.operators import represent as R
 from emberline.plans import screening as S
 from emberline.plans.catalog import query
@@ -237,8 +238,8 @@ def feature_variants(spark, d):
 
 @query("gbt_residual")
 def gbt_residual(spark, d):
-    rows = residual_rows(spark, d)
-    return out(G.gbt_residual(rows, FEATS, "delta_u", REGISTRY.names, iterations=50), "delta_hat", digits=4)
+    """Every row is forecast by trees that did not see its lot."""
+    return out(cross_fitted(residual_rows(spark, d), FEATS, "delta_u"), "delta_hat", digits=4)
 
 
 @query("regime_threshold", W + CTX + ",\n" + med_mad("xm", "cx", "parameter_name", "xd") + f" SELECT parameter_name, n, {o6(f'greatest(1.4826::DOUBLE * mad, {FLOOR})')} AS scale, {o6(f'0.5 * greatest(1.4826::DOUBLE * mad, {FLOOR})')} AS tau FROM xm")
