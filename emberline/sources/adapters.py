@@ -100,7 +100,7 @@ def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_rows(ev: DataFrame) -> DataFrame:
-    """Column mapping of the events table; works on a stream as well."""
+    """Column mapping of the events table; works on a stream as well. Readings arrive in the order of time and event."""
     kind = F.col("event_type")
     param, unit = F.lit("ERR"), F.lit("?")
     for k, v in EVENT_PARAMETER.items():
@@ -120,6 +120,7 @@ def event_rows(ev: DataFrame) -> DataFrame:
         _hours(bucket).alias("elapsed_hours"),
         "value",
         unit.alias("unit"),
+        F.struct("ts", "event_id").alias("arrival_seq"),
     )
 
 

@@ -10,8 +10,20 @@ from emberline.operators.quality import assert_columns, assert_no_labels
 from emberline.sources.schemas import KEY, TELEMETRY_DDL
 
 
+def arrival() -> Column:
+    """Order in which rows of files arrived: by time and name of the file, then by place in it.
+
+    A task reads a block of a file from top to bottom, so block start and row number are the place, whatever the split.
+    """
+    at = F.col("_metadata")
+    return F.struct(at["file_modification_time"].alias("time"), at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_csv(spark: SparkSession, path: str, source_type: str | None = None) -> DataFrame:
-    """CSV telemetry with the fixed schema; malformed lines are kept in ``_corrupt_record``."""
+    """CSV telemetry with the fixed schema; malformed lines are kept in ``_corrupt_record``.
+
+    ``arrival_seq`` says in which order readings came, so that of one read again the last counts.
+    """
     header = spark.read.option("header", True).csv(path).columns
     if any(c not in TELEMETRY_DDL for c in header):
         assert_no_labels(spark.read.option("header", True).csv(path))
@@ -24,17 +36,21 @@ def read_csv(spark: SparkSession, path: str, source_type: str | None = None) ->
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
     )
-    return tag_source(assert_columns(df), source_type)
+    return tag_source(assert_columns(_numbered(df)), source_type)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df if "arrival_seq" in df.columns else df.withColumn("arrival_seq", arrival())
 
 
 def read_parquet(spark: SparkSession, path: str, source_type: str | None = None) -> DataFrame:
-    return tag_source(assert_no_labels(assert_columns(spark.read.parquet(path))), source_type)
+    return tag_source(assert_no_labels(assert_columns(_numbered(spark.read.parquet(path)))), source_type)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded records, every field as text; coercion and rejection happen in :func:`coerce`."""
     cols = [c.strip().split(" ")[0] for c in TELEMETRY_DDL.split(",")]
-    return spark.read.schema(", ".join(f"{c} STRING" for c in cols)).json(path)
+    return _numbered(spark.read.schema(", ".join(f"{c} STRING" for c in cols)).json(path))
 
 
 def tag_source(df: DataFrame, source_type: str | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import prognostics as P
 from emberline.operators import regression as G
+from emberline.registry import REGISTRY
 from emberline.sources.adapters import telemetry_parts
 from emberline.streaming import jobs
 
@@ -117,3 +118,80 @@ def test_gbt_residual_of_all_parameters(spark):
     assert len(found) == len(rows) and [r.component_id for r in found if r.delta_hat is None] == ["none"]
     for k, p in enumerate(REGISTRY.names):
         assert max(r.delta_hat for r in found if r.parameter_name == p and r.delta_hat is not None) > 6 * (k + 1)
+
+
+def test_a_reading_read_again_from_csv(spark, tmp_path):
+    """The last reading of a key in the file counts, however the file is split: here it breaches its limit."""
+    from emberline.plans.screening import screen_components
+    from emberline.sources.ingest import read_csv
+
+    head = "component_id,lot_id,parameter_name,elapsed_hours,value,unit"
+    lines = [f"C{i},L1,{p},0,{v},{u}" for i in range(40) for p, v, u in (("IDSS", 1 + i % 3 / 10, "uA"), ("VGS(th)", 3 + i % 3 / 100, "V"), ("RDS(on)", 45, "mOhm"), ("IGSS", 1, "nA"))]
+    lines += ["C1,L1,IDSS,0,99.0,uA", "C2,L1,IDSS,0,99.0,uA", "C2,L1,IDSS,0,1.0,uA"]
+    (tmp_path / "t.csv").write_text("\n".join([head, *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = {r.component_id: r.state for r in screen_components(read_csv(spark, str(tmp_path / "t.csv")), 0).select("component_id", "final.state").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 40 and got["C1"] == "FAIL" and got["C2"] != "FAIL"
+
+
+def stream_rows(spark):
+    ts = F.to_timestamp(F.lit("2024-01-01")) + F.make_interval(hours=F.col("elapsed_hours") % F.lit(25))
+    return telemetry_parts(spark, SF).where("lot_id IN ('Brand#3', 'Brand#4')").withColumn("ts", ts)
+
+
+def test_lot_windows_equal_batch(spark):
+    """Members and medians of closed windows are exact."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = stream_rows(spark)
+    end = rows.limit(1).withColumn("ts", F.to_timestamp(F.lit("2024-03-01")))
+    rows.write.json(f"{base}/in")
+    end.write.mode("append").json(f"{base}/in2")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    stream = jobs.read_stream(spark, f"{base}/in*", files_per_trigger=100)
+    q = jobs.lot_windows(stream).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{base}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.window.start, r.lot_id, r.parameter_name): (r.n_readings, r.n_components, r.n_checkpoints, r.median_value) for r in spark.table("windows").collect()}
+    whole = rows.groupBy(F.window("ts", "6 hours"), "lot_id", "parameter_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("component_id").alias("m"), F.count_distinct("elapsed_hours").alias("h"), F.median("value").alias("v"))
+    want = {(r.window.start, r.lot_id, r.parameter_name): (r.n, r.m, r.h, pytest.approx(r.v)) for r in whole.collect()}
+    assert want and {k: got.get(k) for k in want} == want
+
+
+def test_dedup_and_static_join(spark):
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = stream_rows(spark).where("elapsed_hours = 0")
+    rows.unionByName(rows).write.json(f"{base}/in")
+    stream = jobs.deduplicated(jobs.read_stream(spark, f"{base}/in", files_per_trigger=100))
+    scored = jobs.score_stream(stream.withColumns({"u0": F.col("value"), "u24": F.col("value")}))
+    q = scored.writeStream.format("memory").queryName("scored").option("checkpointLocation", f"{base}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("scored")
+    assert got.count() == rows.count() == got.select("component_id", "parameter_name").distinct().count()
+    one = got.where("parameter_name = 'IDSS'").first()
+    p = next(p for p in REGISTRY.parameters if p.name == "IDSS")
+    assert one.spec_high == p.spec_high and one.u_hat == pytest.approx(p.beta0 + (p.beta1 + p.beta2) * one.value)
+
+
+def test_late_rows_go_aside_and_mark_their_lots(spark):
+    from emberline.plans.screening import screen_components
+
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    day = lambda d: F.to_timestamp(F.lit(f"2024-01-0{d}"))
+    tel = telemetry_parts(spark, SF).where("lot_id IN ('Brand#3', 'Brand#4') AND elapsed_hours <= 24")
+    early = tel.where("elapsed_hours = 0").withColumn("ts", day(1))
+    today = tel.where("elapsed_hours = 24 AND lot_id = 'Brand#3'").withColumn("ts", day(3))
+    late = tel.where("elapsed_hours = 24 AND lot_id = 'Brand#4'").withColumn("ts", day(2))
+    run = jobs.rescreen_with_late_output(f"{base}/store", f"{base}/out", f"{base}/late", 24)
+    for i, batch in enumerate((early, today, late)):
+        run(batch, i)
+    run(late, 2)  # a replay changes nothing
+    assert [spark.read.parquet(f"{base}/late/batch={i}").count() for i in range(3)] == [0, 0, late.count()]
+    want = {r.component_id: r.state for r in screen_components(tel, 24).select("component_id", "final.state").collect()}
+    assert {r.component_id: r.state for r in spark.read.parquet(f"{base}/out").collect()} == want
+    jobs.compact_store(spark, f"{base}/store")
+    run(late.withColumn("ts", day(4)), 3)
+    assert {r.component_id: r.state for r in spark.read.parquet(f"{base}/out").collect()} == want
