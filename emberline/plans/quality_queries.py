@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberline import families
 from emberline.functions.scalars import r6, transform
 from emberline.operators import quality as Q
 from emberline.operators import represent as R
@@ -211,6 +212,80 @@ def unit_mismatch(spark, d):
     return Q.unit_mismatch(ev).select("event_id", "expected_unit", "issue")
 
 
+FAM_SQL = TEL + """,
+fr AS (SELECT component_id, elapsed_hours, value, CAST(substr(component_id, 2) AS BIGINT) AS k, CASE parameter_name WHEN 'IDSS' THEN 'leakage_current' WHEN 'RDS(on)' THEN 'iddq' WHEN 'VGS(th)' THEN 'propagation_delay' ELSE parameter_name END AS parameter_name, unit FROM tel),
+fa AS (SELECT component_id, elapsed_hours, parameter_name, value, CASE k % 6 WHEN 0 THEN 'dc_dc_converter' WHEN 1 THEN 'POWER_SUPPLY_UNIT' WHEN 2 THEN 'ELECTRONIC_CONTROL_BOARD' WHEN 3 THEN 'PACKAGED_MMIC' WHEN 4 THEN 'HYBRID' END AS family_id,
+ CASE parameter_name WHEN 'iddq' THEN CASE WHEN k % 7 = 0 THEN 'mOhm' ELSE 'mA' END WHEN 'propagation_delay' THEN 'ns' ELSE unit END AS unit FROM fr),
+ft AS (SELECT * FROM (VALUES ('DC_DC_CONVERTER', 'leakage_current', 'uA'), ('DC_DC_CONVERTER', 'iddq', 'mA'), ('POWER_SUPPLY_UNIT', 'leakage_current', 'uA'), ('POWER_SUPPLY_UNIT', 'iddq', 'mA'), ('ELECTRONIC_CONTROL_BOARD', 'leakage_current', 'uA'), ('ELECTRONIC_CONTROL_BOARD', 'iddq', 'mA'), ('ELECTRONIC_CONTROL_BOARD', 'propagation_delay', 'ns'), ('PACKAGED_MMIC', 'leakage_current', 'uA')) v(f, p, u))"""
+
+
+def family_readings(spark, d):
+    """Telemetry of parts dealt to families, their parameters under the names that families use."""
+    tel = A.telemetry_parts(spark, d)
+    k = F.substring("component_id", 2, 20).cast("long")
+    name = F.expr("CASE parameter_name WHEN 'IDSS' THEN 'leakage_current' WHEN 'RDS(on)' THEN 'iddq' WHEN 'VGS(th)' THEN 'propagation_delay' ELSE parameter_name END")
+    family = F.element_at(F.array(*map(F.lit, ["dc_dc_converter", "POWER_SUPPLY_UNIT", "ELECTRONIC_CONTROL_BOARD", "PACKAGED_MMIC", "HYBRID", None])), (k % 6 + 1).cast("int"))
+    unit = F.when(F.col("parameter_name") == "iddq", F.when(k % 7 == 0, "mOhm").otherwise("mA")).when(F.col("parameter_name") == "propagation_delay", "ns").otherwise(F.col("unit"))
+    return tel.withColumns({"parameter_name": name, "family_id": family}).withColumn("unit", unit)
+
+
+@query(
+    "family_issues",
+    W + FAM_SQL + """, j AS (SELECT fa.*, CASE WHEN family_id IS NULL THEN CASE parameter_name WHEN 'IGSS' THEN 'nA' END ELSE u END AS expected_unit, family_id IS NOT NULL AND upper(family_id) NOT IN (SELECT f FROM ft) AS strange FROM fa LEFT JOIN ft ON f = upper(family_id) AND p = parameter_name)
+SELECT component_id, parameter_name, elapsed_hours, expected_unit, CASE WHEN strange THEN 'FAMILY_UNKNOWN' WHEN expected_unit IS NULL THEN 'PARAMETER_NOT_ALLOWED' ELSE 'UNIT_MISMATCH' END AS issue FROM j WHERE strange OR expected_unit IS NULL OR unit <> expected_unit""",
+)
+def family_issues(spark, d):
+    return Q.family_issues(family_readings(spark, d), families.to_df(spark)).select(*Q.KEY, "expected_unit", "issue")
+
+
+@query(
+    "family_limit_breaches",
+    W + FAM_SQL + """, l AS (SELECT *, CASE parameter_name WHEN 'iddq' THEN 40.0 END AS hi_run, CASE WHEN parameter_name = 'leakage_current' AND upper(family_id) = 'PACKAGED_MMIC' THEN 2.0 END AS lo_fam,
+ CASE WHEN parameter_name = 'leakage_current' AND upper(family_id) = 'PACKAGED_MMIC' THEN 4.0 WHEN parameter_name = 'leakage_current' AND upper(family_id) IN (SELECT f FROM ft) THEN 50.0 END AS hi_fam,
+ CASE WHEN parameter_name = 'leakage_current' THEN 1.0 END AS lo_row, CASE WHEN parameter_name = 'leakage_current' THEN 3.0 END AS hi_row FROM fa),
+m AS (SELECT *, CAST(coalesce(lo_fam, lo_row) AS DOUBLE) AS limit_low, CAST(coalesce(hi_run, hi_fam, hi_row) AS DOUBLE) AS limit_high FROM l)
+SELECT component_id, parameter_name, elapsed_hours, limit_low, limit_high, 'LOW' AS breach FROM m WHERE value < limit_low UNION ALL SELECT component_id, parameter_name, elapsed_hours, limit_low, limit_high, 'HIGH' FROM m WHERE value > limit_high""",
+)
+def family_limit_breaches(spark, d):
+    fam = families.to_df(spark, families.with_user_limits(families.FAMILIES, "packaged_mmic", "leakage_current", 2.0, 4.0))
+    run = spark.createDataFrame([("iddq", None, 40.0)], "parameter_name STRING, low DOUBLE, high DOUBLE")
+    leak = F.col("parameter_name") == "leakage_current"
+    rows = family_readings(spark, d).withColumns({"absolute_limit_low": F.when(leak, 1.0), "absolute_limit_high": F.when(leak, 3.0)})
+    return Q.family_limit_breaches(rows, fam, run).select(*Q.KEY, "limit_low", "limit_high", "breach")
+
+
+@query(
+    "dataset_audit",
+    W + TEL + """, o AS MATERIALIZED (SELECT component_id, parameter_name, CASE WHEN k % 23 = 0 AND elapsed_hours = 24 THEN 25 ELSE elapsed_hours END AS elapsed_hours, CASE WHEN k % 29 = 0 THEN 'kV' ELSE unit END AS unit, CASE WHEN k % 31 = 0 THEN NULL ELSE value END AS value FROM (SELECT *, CAST(substr(component_id, 2) AS BIGINT) AS k FROM tel)),
+lb AS MATERIALIZED (SELECT component_id, parameter_name, elapsed_hours, CASE WHEN k % 13 = 0 THEN -abs(value) ELSE value END AS latent, CASE WHEN k % 17 = 0 THEN 'odd' ELSE 'stable' END AS cls, CASE WHEN k % 5 = 0 THEN 24 END AS h, k % 10 = 0 AS f FROM (SELECT *, CAST(substr(component_id, 2) AS BIGINT) AS k FROM tel) WHERE NOT (k % 19 = 0 AND elapsed_hours = 96)),
+n AS (SELECT 'INVALID_CHECKPOINT' AS rule, count(*) AS n FROM o WHERE elapsed_hours NOT IN (0, 24, 96, 168)
+ UNION ALL SELECT 'UNIT_NOT_UNIFORM', count(*) FROM o WHERE unit <> CASE parameter_name WHEN 'IDSS' THEN 'uA' WHEN 'VGS(th)' THEN 'V' WHEN 'RDS(on)' THEN 'mOhm' ELSE 'nA' END
+ UNION ALL SELECT 'NON_FINITE_VALUE', count(*) FROM o WHERE value IS NULL OR NOT isfinite(value)
+ UNION ALL SELECT 'LATENT_NOT_PHYSICAL', count(*) FROM lb WHERE (parameter_name IN ('IDSS', 'RDS(on)') AND latent < 0) OR (parameter_name = 'VGS(th)' AND latent <= 0)
+ UNION ALL SELECT 'UNKNOWN_CLASS', count(*) FROM lb WHERE cls = 'odd' UNION ALL SELECT 'FLAG_INCONSISTENT', count(*) FROM lb WHERE h <= 24 AND NOT f
+ UNION ALL SELECT 'OBSERVATION_WITHOUT_LABEL', count(*) FROM (SELECT DISTINCT component_id, parameter_name, elapsed_hours FROM o EXCEPT SELECT component_id, parameter_name, elapsed_hours FROM lb))
+SELECT rule, n AS n_violations, n = 0 AS passed FROM n""",
+)
+def dataset_audit(spark, d):
+    tel = A.telemetry_parts(spark, d)
+    k = F.substring("component_id", 2, 20).cast("long")
+    obs = tel.withColumns(
+        {
+            "elapsed_hours": F.when((k % 23 == 0) & (F.col("elapsed_hours") == 24), 25).otherwise(F.col("elapsed_hours")),
+            "unit": F.when(k % 29 == 0, "kV").otherwise(F.col("unit")),
+            "value": F.when(k % 31 != 0, F.col("value")),
+        }
+    )
+    labels = tel.where(~((k % 19 == 0) & (F.col("elapsed_hours") == 96))).select(
+        *Q.KEY,
+        F.when(k % 13 == 0, -F.abs("value")).otherwise(F.col("value")).alias("latent_value"),
+        F.when(k % 17 == 0, "odd").otherwise("stable").alias("trajectory_class"),
+        F.when(k % 5 == 0, 24).alias("first_abnormal_hour"),
+        (k % 10 == 0).alias("abnormal_by_24h"),
+    )
+    return Q.dataset_audit(obs, labels)
+
+
 @query(
     "reference_deviation",
     W + TEL + f" SELECT component_id, parameter_name, elapsed_hours, {o6('value')} AS value FROM tel WHERE (parameter_name = 'IDSS' AND abs(value - 5.25) > 0.5 * 5.25) OR (parameter_name = 'RDS(on)' AND abs(value - 45.0) > 0.5 * 45.0)",
