@@ -76,15 +76,22 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
-def kept_by_quality(text, document_bands, chunk, chunk_band):
+def kept_by_quality(text, quality):
+    """The verdict from the module's bands and sizes, chunk by chunk."""
     if quality_counts(text)[5]:
         return False
-    raw = text.encode()
-    ratio = len(zstandard.compress(raw, 3)) / len(raw)
-    _, low, high = [b for b in document_bands if b[0] <= len(raw)][-1]
-    parts = [len(zstandard.compress(raw[i : i + chunk], 3)) / chunk for i in range(0, len(raw) - chunk + 1, chunk)]
-    few, many = sum(r < chunk_band[0] for r in parts), sum(r > chunk_band[1] for r in parts)
-    return low <= ratio <= high and 2 * few <= len(parts) and 2 * many <= len(parts)
+    raw, compress = text.encode(), zstandard.ZstdCompressor(level=3).compress
+    band = lambda bands, n: [b for b in bands if b[0] <= n][-1][1:]
+    low, high = band(quality.DOCUMENT_BANDS, len(raw))
+    if not low <= len(compress(raw)) / len(raw) <= high:
+        return False
+    (size,) = band(quality.CHUNK_SIZES, len(raw))
+    few = many = at = 0
+    while len(raw) >= 256 and at < len(raw):
+        end = at + size if len(raw) - at - size >= 256 else len(raw)
+        ratio, (low, high) = len(compress(raw[at:end])) / (end - at), band(quality.CHUNK_BANDS, end - at)
+        few, many, at = few + (end - at) * (ratio < low), many + (end - at) * (ratio > high), end
+    return max(few, many) <= quality.BAD_SHARE * len(raw)
 
 
 def boilerplate(docs, max_ratio, min_pages):

@@ -110,7 +110,7 @@ def test_quality(docs, rows):
     assert len(found) == len(rows)
     for r in found:
         assert tuple(r[c] for c in [*quality.COUNTS, "base_failed"]) == brute.quality_counts(r.text)
-        assert r.kept == brute.kept_by_quality(r.text, quality.DOCUMENT_BANDS, quality.CHUNK_BYTES, quality.CHUNK_BAND)
+        assert r.kept == brute.kept_by_quality(r.text, quality)
     assert sum(r.kept for r in found) > 100  # plain prose stays
 
 
@@ -122,6 +122,16 @@ def test_quality_bands(spark):
     assert got["prose"].kept and not got["repeats"].kept and not got["noise"].kept
 
 
+def test_quality_of_half_a_text(spark):
+    """A short text, and one of some thousand bytes, of which nearly half repeats itself; a short last line of noise is no fault."""
+    half = lambda n: prose(n) + " ".join(f"{pattern} {i}" for i in range(n // 6))
+    pattern = prose(5, random.Random(1)).replace("\n", " ")
+    texts = {"short": half(150), "long": half(700), "tail": prose(300) + " zq9 x7v kk2", "plain": prose(80)}
+    got = {r.name: r for r in quality.quality_rules(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    assert {k: brute.kept_by_quality(t, quality) for k, t in texts.items()} == {k: r.kept for k, r in got.items()}
+    assert not got["short"].kept and not got["long"].kept and got["tail"].kept and got["plain"].kept
+
+
 def test_lines(spark, rows):
     shared = [(i, f"{t or ''}\nSubscribe to our newsletter\n \n{'rare line' if i % 50 == 0 else ''}", *r) for i, t, *r in rows if i is not None and i % 2]
     table = [*shared, *rows]

@@ -43,7 +43,7 @@ def test_stages(spark, corpus, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
             seen.append(rows(docs))
     judged, cleaned, single, mixed = seen
-    ok = lambda t: brute.kept_by_quality(t, quality.DOCUMENT_BANDS, quality.CHUNK_BYTES, quality.CHUNK_BAND)
+    ok = lambda t: brute.kept_by_quality(t, quality)
     assert Counter(judged) == Counter(r for r in before if ok(r[1])) and len(judged) > 100
     lined = brute.boilerplate([(r[1], r[3]) for r in judged], lines.MAX_RATIO, lines.MIN_PAGES)
     assert Counter((r[0], r[1], r[4]) for r in cleaned) == Counter((r[0], t, len(t) if cut else r[4]) for r, (t, _, cut) in zip(judged, lined))
