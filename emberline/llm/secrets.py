@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 
 from emberline.llm.tables import cut, is_empty, slices
 
-MIN_LENGTH = 16
+RUN_LENGTH = 16  # token characters in a row that are a candidate without further signs
 DICTIONARY_SHARE = 0.005  # a dictionary word is in that share of all rows, so there are few hundred times a row's words
 TRAIN_ROWS = 20_000  # labelled findings of either class used to fit
 TREES, DEPTH = 40, 8
 KEYWORDS = ("token", "password", "passwd", "secret", "apikey", "api_key", "access_key", "auth", "credential", "private_key")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}" % MIN_LENGTH)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}" % RUN_LENGTH)
+# any value of four characters or more behind a keyword, and the password in the user-info of a url
+_VALUE = re.compile(r"(?i)(?:%s)[\"']?\s{0,8}[=:]\s{0,8}(?:\"([^\"\s]{4,})|'([^'\s]{4,})|([^\s\"'][^\s]{3,}))" % "|".join(KEYWORDS))
+_USER = re.compile(r"://[^\s/:@]{1,256}:([^\s/@]{1,1024})@")
+_DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}")
+_NATURAL = re.compile(r"[A-Za-z][a-z]+(?:-[A-Za-z]?[a-z]+)*")
 _ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{20,}")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 _WORDS = re.compile(r"[^\W\d]+")
@@ -67,11 +72,40 @@ def _covered(value: str, known: frozenset[str]) -> float:
     return hit / len(value)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Places of all candidates, in order: values behind a keyword or in a url's user-info, then runs that touch none."""
+    spans = []
+    for pattern in (_VALUE, _USER):
+        for m in pattern.finditer(text):
+            start, end = next(m.span(i) for i in range(1, m.re.groups + 1) if m[i] is not None)
+            end = start + len(text[start:end].rstrip(".,;:!?)]}>"))
+            if end - start >= (4 if pattern is _VALUE else 1):
+                spans.append((start, end))
+    taken, at = [], 0
+    for span in sorted(spans):
+        if span[0] >= at:
+            taken.append(span)
+            at = span[1]
+    out, i = list(taken), 0
+    for m in _RUN.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or taken[i][0] >= m.end():
+            out.append(m.span())
+    return sorted(out)
+
+
+def _luhn(digits: str) -> bool:
+    odd = sum(map(int, digits[-1::-2]))
+    return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
+
+
 def features(text: str, start: int, end: int, path: str | None, logs: np.ndarray, known: frozenset[str]) -> tuple[int | None, list[float]]:
     """Label (1 secret, 0 not, None unknown) and FEATURES of one candidate.
 
-    Issued formats, and digits mixed with letters behind an assigned keyword, are labelled secrets; digits alone,
-    letters alone and parts of addresses are labelled false positives; the rest has no label.
+    Labels need evidence that settles the matter: an issued format, or a digest's length in hex behind an assigned
+    keyword, for secrets; a checksum of digits, an address around it or a plain word for false positives. Everything
+    else - passwords, mixed runs, odd numbers - has no label and is the forest's to judge.
     """
     value = text[start:end]
     left, right = text[max(0, start - 64) : start], text[end : end + 48]
@@ -82,19 +116,18 @@ def features(text: str, start: int, end: int, path: str | None, logs: np.ndarray
     counts = np.unique(raw, return_counts=True)[1] / len(raw)
     keyword = any(w in KEYWORDS for w in behind[-2:])
     assigned = bool(_ASSIGNED.search(left))
-    mixed = share[0] > 0 and share[1] + share[2] > 0
     label = None
-    if _ISSUED.fullmatch(value) or (keyword and assigned and mixed):
+    if _ISSUED.fullmatch(value) or (keyword and assigned and _DIGEST.fullmatch(value)):
         label = 1
-    elif not mixed or right.startswith("@") or left.endswith("@"):
+    elif not keyword and (right.startswith("@") or left.endswith("@") or _NATURAL.fullmatch(value) or (value.isascii() and value.isdigit() and 13 <= len(value) <= 19 and _luhn(value))):
         label = 0
     bucket = lambda w: float(zlib.crc32(w.encode()) % 32)
     return label, [
         float(len(value)),
         *share,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / (len(value) - 1),
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(value) - 1),
         float(-(counts * np.log2(counts)).sum()),
-        float(logs[raw[:-1], raw[1:]].mean()),
+        float(logs[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else 0.0,
         _covered(value, known),
         float(left[-1:] in ("'", '"') and left[-1:] != ""),
         float(assigned),
@@ -110,16 +143,20 @@ def _scanner(logs: np.ndarray, known: frozenset[str]):
         for batch in slices(batches):
             rows = []
             for doc, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path"))):
-                for m in _RUN.finditer(text or ""):
-                    label, measured = features(text, *m.span(), path, logs, known)
-                    rows.append((doc, *m.span(), zlib.crc32(m[0].encode()), label, *measured))
+                for start, end in candidates(text or ""):
+                    label, measured = features(text, start, end, path, logs, known)
+                    rows.append((doc, start, end, zlib.crc32(text[start:end].encode()), label, *measured))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
 def find_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """Every run of MIN_LENGTH or more token characters in every text: place in code points, FEATURES, label where known."""
+    """Every candidate of every text: place in code points, FEATURES, label where known.
+
+    Candidates are wide, as the forest is there to remove the false ones: RUN_LENGTH or more token characters in a row,
+    any value of four or more characters behind an assigned keyword, and passwords in urls.
+    """
     logs, known = transitions(docs), dictionary(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(f"`{path}`").cast("string").alias("path")).mapInArrow(_scanner(logs, known), _DDL)
 

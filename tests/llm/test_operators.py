@@ -373,7 +373,43 @@ def test_secret_scan_edges(spark, docs, empty):
     assert secrets.scan_secrets(empty).count() == 0
     found = secrets.scan_secrets(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(re.fullmatch(r"[A-Za-z0-9+/_-]{16,}={0,2}", texts[r.doc_id][r.start : r.end]) for r in found if r.doc_id is not None)
+    for doc, text in texts.items():
+        if doc is not None:
+            assert {(r.start, r.end) for r in found if r.doc_id == doc} == set(secrets.candidates(text or ""))
+    runs = lambda t: {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", t)}
+    plain = [t for t in texts.values() if t and not re.search("(?i)" + "|".join(secrets.KEYWORDS), t)]
+    assert plain and all(set(secrets.candidates(t)) == runs(t) for t in plain)
+
+
+def test_wide_secret_candidates():
+    cut = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert cut('password = "hunter2x9"') == ["hunter2x9"] and cut("passwd: Tr0ub4dor&3.") == ["Tr0ub4dor&3"]
+    assert cut("see postgres://user:pw@host/db and secret='a b'") == ["pw"] and cut("my password is long") == []
+    assert cut("API_KEY=abcd-efgh.ijkl/mnop,x " + "f" * 20) == ["abcd-efgh.ijkl/mnop,x", "f" * 20]
+    assert cut("token" * 50_000 + ":" * 50_000) == ["token" * 50_000]
+    assert len(cut("password = x" * 20_000)) > 0
+
+
+def test_forest_judges_what_has_no_label(spark):
+    """Findings without a label are judged from the labelled ones: random keys are secrets, odd numbers are not."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(500):
+        kind = i % 5
+        key = rng.randbytes(20).hex()
+        words = "".join(w.capitalize() for w in rng.choices(VOCABULARY, k=4))
+        number = str(rng.randint(10**16, 10**17))
+        texts.append((i, prose(15) + [f' token = "{key}" ', f" {words.lower()}{'x' * 9} ", f' password = "{rng.randbytes(9).hex()}" ', f" number {number} ", f" card {luhn_number(rng)} "][kind] + prose(15), "en", None, 1))
+    found = secrets.scan_secrets(spark.createDataFrame(texts, DOCS)).where("label IS NULL").collect()
+    keys = [r.is_secret for r in found if r.doc_id % 5 == 2]
+    numbers = [r.is_secret for r in found if r.doc_id % 5 == 3]
+    assert len(keys) == 100 and sum(keys) > 90 and numbers and sum(numbers) < 0.1 * len(numbers)
+
+
+def luhn_number(rng):
+    head = "".join(str(rng.randint(0, 9)) for _ in range(15))
+    return next(head + str(d) for d in range(10) if secrets._luhn(head + str(d)))
+
 
 
 def test_near_vectors(spark):
