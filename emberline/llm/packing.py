@@ -16,6 +16,7 @@ from emberline.llm.tables import slices
 WINDOW = 2048
 END = 1
 GRAIN = 8
+OPEN_WINDOWS = 16  # held by a task at most; what is in them at its end is laid without the rule
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
@@ -62,25 +63,29 @@ class Encoder:
 
 
 class SumOfSquares:
-    """Online packing of pieces into windows of ``size`` tokens.
+    """Online packing of pieces (doc, start, ids, ...) into windows of ``size`` tokens.
 
     ``counts[h]`` holds how many open windows are filled to level h (levels of ``grain`` tokens, rounded up). A piece
     goes to the level, or to a new window, that makes the sum of squared counts smallest; among equals the fullest
-    level wins. A window whose level is the last one is closed. Only windows still open are held in memory.
+    level wins. A window whose level is the last one is closed. With ``most`` windows open no further one is begun: the
+    piece goes to the best level it fits into, or else it is cut, its head closing a window of the most crowded level,
+    which lowers the sum of squares most, and its tail is placed like any piece. So at most ``most`` windows are held.
     """
 
-    def __init__(self, size: int, grain: int):
-        self.size, self.grain, self.top = size, grain, -(-size // grain)
+    def __init__(self, size: int, grain: int, most: int | None = None):
+        self.size, self.grain, self.top, self.most = size, grain, -(-size // grain), most
         self.counts = np.zeros(self.top + 1, np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.top + 1)]  # by level: (tokens, pieces)
 
     def level(self, tokens: int) -> int:
         return -(-tokens // self.grain)
 
-    def place(self, piece: tuple, tokens: int) -> list | None:
-        """Put a piece of fewer than ``size`` tokens; the pieces of the window this closes, if any."""
+    def _choice(self, tokens: int) -> int:
+        """Level of the window for a piece; 0 for a new one, -1 for a cut."""
         step = self.level(tokens)
         best, cost = 0, (1 - self.size if step == self.top else 2 * int(self.counts[step]) + 1)
+        if step < self.top and self.most is not None and self.counts.sum() >= self.most:
+            best, cost = -1, np.iinfo(np.int64).max - 1
         last = (self.size - tokens) // self.grain
         if last > 0:
             here = self.counts[1 : last + 1]
@@ -92,6 +97,21 @@ class SumOfSquares:
             at = last - 1 - int(np.argmin(change[::-1]))
             if change[at] <= cost:
                 best = at + 1
+        return best
+
+    def place(self, piece: tuple, tokens: int) -> list[list]:
+        """Put a piece of fewer than ``size`` tokens; the pieces of each window this closes."""
+        closed = []
+        while (best := self._choice(tokens)) < 0:
+            crowded = self.top - int(np.argmax(self.counts[::-1]))  # the fullest of the most crowded levels
+            held, pieces = self.open[crowded].pop()
+            self.counts[crowded] -= 1
+            doc, start, ids, *more = piece
+            room = min(tokens, self.size - held)
+            closed.append([*pieces, (doc, start, ids[: 4 * room], *more)])
+            piece, tokens = (doc, start + room, ids[4 * room :], *more), tokens - room
+            if not tokens:
+                return closed
         held, pieces = (0, [])
         if best:
             held, pieces = self.open[best].pop()
@@ -99,10 +119,10 @@ class SumOfSquares:
         held += tokens
         pieces.append(piece)
         if (now := self.level(held)) == self.top:
-            return pieces
+            return [*closed, pieces]
         self.open[now].append((held, pieces))
         self.counts[now] += 1
-        return None
+        return closed
 
     def rest(self) -> Iterator[tuple]:
         """Pieces of the windows still open, the fullest windows first."""
@@ -115,7 +135,7 @@ def _packer(window: int, grain: int, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
         end = np.asarray([END], "<u4").tobytes()
-        packing = SumOfSquares(window, grain)
+        packing = SumOfSquares(window, grain, OPEN_WINDOWS)
         sequence = TaskContext.get().partitionId() << 33
         out, pending = [], 0
 
@@ -145,12 +165,13 @@ def _packer(window: int, grain: int, vocabulary: str):
                 full = total // window * window
                 for start in range(0, full, window):
                     lay([(doc, start, ids[4 * start : 4 * (start + window)], total)])
-                if full < total and (closed := packing.place((doc, full, ids[4 * full :], total), total - full)):
-                    lay(closed)
+                if full < total:
+                    for closed in packing.place((doc, full, ids[4 * full :], total), total - full):
+                        lay(closed)
                 if pending >= _FLUSH:
                     yield flush()
                     out, pending = [], 0
-        # the windows that never filled up share new ones; here documents are cut, so at most one window is padded
+        # the few windows open at the end share new ones, by further cuts, so at most one window is padded
         tail, room = [], window
         for doc, start, ids, total in packing.rest():
             while ids:
@@ -173,9 +194,9 @@ def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, vocabulary:
     """Pieces of all documents in windows of ``window`` tokens: PIECES, one row per piece; ids hold the tokens.
 
     A document is its tokens and the end id. What fills whole windows is cut off first; the remainder is placed by the
-    sum-of-squares rule over levels of ``grain`` tokens. Every Spark task packs the stream of its own split, so
-    nothing is shuffled and memory is bounded by the windows open at a time; the windows open at the end of a split
-    are laid anew with cuts. A task that runs again gives the same pieces.
+    sum-of-squares rule over levels of ``grain`` tokens, with OPEN_WINDOWS windows open at most. Every Spark task packs
+    the stream of its own split, so nothing is shuffled and memory is bounded by those windows; the ones open at the
+    end of a split are laid anew with cuts. A task that runs again gives the same pieces.
 
     A null or empty text is the end id alone. A null doc_id is kept. Repeated rows are packed once per row, an empty
     table gives no piece. Other input columns, clashing names included, are not carried over.

@@ -216,6 +216,28 @@ def test_sum_of_squares_choice():
         assert int((packed.counts.astype(int) ** 2).sum()) == min(map(cost, options))
 
 
+def test_few_windows_are_open():
+    """With a bound on open windows nothing is lost, windows come out full, and nearly all pieces are placed by the rule."""
+    rng, packed = random.Random(7), packing.SumOfSquares(2048, 8, packing.OPEN_WINDOWS)
+    pieces = [(i, 0, np.arange(n, dtype="<u4").tobytes(), n) for i, n in enumerate(min(2047, int(rng.lognormvariate(6, 1)) + 1) for _ in range(5000))]
+    closed = []
+    for piece in pieces:
+        closed += packed.place(piece, piece[3])
+        assert packed.counts.sum() == sum(map(len, packed.open)) <= packing.OPEN_WINDOWS
+    rest = list(packed.rest())
+    assert len(rest) < 100
+    laid = defaultdict(dict)
+    for doc, start, ids, _ in [p for w in closed for p in w] + rest:
+        laid[doc][start] = ids
+    for doc, _, ids, _ in pieces:
+        assert b"".join(laid[doc][at] for at in sorted(laid[doc])) == ids
+        assert all(at == sum(len(laid[doc][b]) // 4 for b in laid[doc] if b < at) for at in laid[doc])
+    assert all(sum(len(p[2]) // 4 for p in w) <= 2048 for w in closed)
+    assert sum(sum(len(p[2]) // 4 for p in w) for w in closed) > 0.99 * 2048 * len(closed)
+    cut = sum(len(parts) > 1 for parts in laid.values())
+    assert cut < 0.5 * len(pieces)
+
+
 def test_base_spans_match_the_patterns():
     rng = random.Random(4)
     parts = ["a", "b.c", "@", "mail", ".com", "_", "1", "25", "256", ".", "-", " ", "+4", "(0)", "4111111111111111", "00000000000000000000", "é", "x@y.z"]
