@@ -173,7 +173,7 @@ def held_out_target(tri: DataFrame, reg: Registry = REGISTRY) -> DataFrame:
     return out.withColumn("mae_gap_pct", gap).withColumn("better", F.when(F.col("mae_gap_pct") <= 0, "relative_delta").otherwise("direct_level"))
 
 
-def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float = -3.0, high: float = 3.0, reg: Registry = REGISTRY) -> DataFrame:
+def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float = -3.0, high: float = 3.0, reg: Registry = REGISTRY, extra: Sequence[float] = ()) -> DataFrame:
     """Held-out MAE in units per parameter and lambda, averaged over lot-grouped folds; the intercept is penalised.
 
     Coefficients come from the sums of the other folds: parameters x folds x points rows, a bounded table that is
@@ -184,7 +184,7 @@ def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float =
     tot = per.groupBy("parameter_name").agg(*[F.sum(c).alias(f"t_{c}") for c in SUMS])
     step = (high - low) / (points - 1)
     rest = per.join(tot, "parameter_name").select("parameter_name", "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in SUMS]).where("n > 0")
-    grid = rest.withColumn("lam", F.explode(F.array(*[F.lit(10.0 ** (low + i * step)) for i in range(points)])))
+    grid = rest.withColumn("lam", F.explode(F.array(*[F.lit(10.0 ** (low + i * step)) for i in range(points)], *map(F.lit, extra))))
     coef = grid.withColumns({k: F.expr(v) for k, v in ridge_sql("lam", True).items()}).select("parameter_name", "fold", "lam", "b0", "b1", "b2")
     j = t.select("parameter_name", "fold", "u0", "u24", "v168").join(F.broadcast(coef), ["parameter_name", "fold"])
     e = F.abs(inverse_transform("parameter_name", F.expr("b0 + b1 * u0 + b2 * u24"), reg) - F.col("v168"))
@@ -192,6 +192,39 @@ def lambda_sweep(tri: DataFrame, folds: int = 5, points: int = 50, low: float =
     return per_fold.groupBy("parameter_name", "lam").agg(F.avg("mae").alias("cv_mae"), F.count(F.lit(1)).alias("folds"))
 
 
+def lambda_choice(tri: DataFrame, locked: float = 1.0, **grid) -> DataFrame:
+    """Per parameter the best lambda of the sweep (the smallest of equals), its error, that of the locked one, and
+    the gap between them in per cent."""
+    sweep = lambda_sweep(tri, extra=(locked,), **grid)
+    own = F.col("lam") == locked
+    best = sweep.groupBy("parameter_name").agg(
+        F.min(F.when(~own, F.struct(F.col("cv_mae"), F.col("lam")))).alias("b"), F.max(F.when(own, F.col("cv_mae"))).alias("locked_mae")
+    )
+    gap = 100.0 * (F.col("locked_mae") - F.col("b.cv_mae")) / F.greatest(F.lit(1e-9), F.col("b.cv_mae"))
+    return best.select(
+        "parameter_name", F.col("b.lam").alias("optimal_lambda"), F.col("b.cv_mae").alias("optimal_mae"), "locked_mae", gap.alias("gap_pct"), (gap <= 0.5).alias("within_half_percent")
+    )
+
+
+def separation(df: DataFrame, distance: str, defective: str, flagged: str) -> DataFrame:
+    """One row: mean distance of nominal and defective rows, their ratio, the contingency, precision and recall."""
+    d, bad, hit = F.col(distance), F.col(defective), F.col(flagged)
+    g = df.where(d.isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.avg(F.when(~bad, d)), F.lit(0.0)).alias("mean_nominal"),
+        F.coalesce(F.avg(F.when(bad, d)), F.lit(0.0)).alias("mean_defective"),
+        *[F.count_if(c).alias(n) for n, c in (("tp", bad & hit), ("fp", ~bad & hit), ("fn", bad & ~hit), ("tn", ~bad & ~hit))],
+    )
+    none = F.lit(0.0)
+    return g.withColumns(
+        {
+            "separation_ratio": F.col("mean_defective") / F.greatest(F.lit(1e-9), F.col("mean_nominal")),
+            "precision": F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), none),
+            "recall": F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), none),
+        }
+    )
+
+
 def regime_coverage(tri: DataFrame, target: float = 0.9, skewed: bool | None = None) -> DataFrame:
     """One quantile for all against one per regime, calibrated on one half of the lots, covered on the other.
 

@@ -271,6 +271,17 @@ def lambda_sweep(spark, d):
     return V.lambda_sweep(tri(spark, d)).select("parameter_name", r6("lam").alias("lam"), r6("cv_mae", 5).alias("cv_mae"), "folds")
 
 
+@query("lambda_choice", W + TRI + f""", fd AS (SELECT *, {part(5)} AS fold FROM tri), tr AS (SELECT l.lam, h.fold AS held, f.* FROM fd f JOIN (SELECT DISTINCT parameter_name, fold FROM fd) h ON h.parameter_name = f.parameter_name AND h.fold <> f.fold, (VALUES {GRID}, (1.0::DOUBLE)) l(lam)),
+{ridge('lw', 'tr', 'parameter_name, held, lam', lam='lam')},
+pe AS (SELECT f.parameter_name, w.lam, f.fold, v168, w.b0 + w.b1 * u0 + w.b2 * u24 AS uh FROM fd f JOIN lw w ON w.parameter_name = f.parameter_name AND w.held = f.fold),
+pf AS (SELECT parameter_name, lam, fold, avg(abs({inv('uh')} - v168)) AS mae FROM pe GROUP BY 1, 2, 3), cv AS (SELECT parameter_name, lam, avg(mae) AS m FROM pf GROUP BY 1, 2),
+ck AS (SELECT parameter_name, arg_min(lam, m) FILTER (lam <> 1) AS bl, min(m) FILTER (lam <> 1) AS bm, max(m) FILTER (lam = 1) AS lm FROM cv GROUP BY 1)
+SELECT parameter_name, {o6('bl')} AS optimal_lambda, {o6('bm', 5)} AS optimal_mae, {o6('lm', 5)} AS locked_mae, {o6('100 * (lm - bm) / bm', 4)} AS gap_pct, 100 * (lm - bm) / bm <= 0.5 AS within_half_percent FROM ck""")
+def lambda_choice(spark, d):
+    c = V.lambda_choice(tri(spark, d))
+    return c.select("parameter_name", r6("optimal_lambda").alias("optimal_lambda"), r6("optimal_mae", 5).alias("optimal_mae"), r6("locked_mae", 5).alias("locked_mae"), r6("gap_pct", 4).alias("gap_pct"), "within_half_percent")
+
+
 SPLIT = "(CAST('0x' || substr(md5(split || lot_id), 1, 8) AS BIGINT) % 4)"
 
 
@@ -335,6 +346,16 @@ def joint_eval(spark, d):
     return g.join(q, "defective").select("defective", "n", "mean", "flagged", r6("p05", 4).alias("p05"), r6("p95", 4).alias("p95"))
 
 
+@query("joint_separation", CONFUSION + f""", jpart AS (SELECT defective, d, d >= 4.25 AS hit FROM lab JOIN jd USING (component_id) WHERE d IS NOT NULL),
+jsum AS (SELECT count(*) AS n, avg(d) FILTER (NOT defective) AS a, avg(d) FILTER (defective) AS b, count(*) FILTER (defective AND hit) AS tp, count(*) FILTER (NOT defective AND hit) AS fp, count(*) FILTER (defective AND NOT hit) AS fn, count(*) FILTER (NOT defective AND NOT hit) AS tn FROM jpart)
+SELECT n, {o6('a', 4)} AS mean_nominal, {o6('b', 4)} AS mean_defective, tp, fp, fn, tn, {o6('b / a', 4)} AS separation_ratio, {o6('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)', 4)} AS precision, {o6('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)', 4)} AS recall FROM jsum""")
+def joint_separation(spark, d):
+    lab = labels(spark, d).groupBy("component_id").agg(F.bool_or("is_defective").alias("defective"))
+    j = S.joint_only(A.telemetry_parts(spark, d), 24).select("component_id", F.col("joint.distance").alias("dist"), F.col("joint.suspected").alias("hit"))
+    s = V.separation(lab.join(j, "component_id"), "dist", "defective", "hit")
+    return s.select("n", "tp", "fp", "fn", "tn", *[r6(c, 4).alias(c) for c in ("mean_nominal", "mean_defective", "separation_ratio", "precision", "recall")])
+
+
 @query("fn_fp_tables", CONFUSION + " SELECT lot_id, qualifier, defective, count(*) AS n FROM lab JOIN cf USING (component_id) WHERE defective <> (state IN ('FAIL', 'ALERT', 'HOLD')) GROUP BY 1, 2, 3")
 def fn_fp_tables(spark, d):
     lab = labels(spark, d).groupBy("component_id").agg(F.bool_or("is_defective").alias("defective"))

@@ -33,6 +33,37 @@ def equipment_diagnostics(s: DataFrame) -> DataFrame:
     return out.withColumn("action", action)
 
 
+def channel_verdicts(s: DataFrame, parameter: str = "RDS(on)") -> DataFrame:
+    """per lot and channel of one parameter: components, offset, z, status, reason, action and the lot's protocol.
+
+    A channel without enough components of its own or beside it is SUPPRESSED and its action SAMPLE_INSUFFICIENT.
+    """
+    at = s.where((F.col("parameter_name") == parameter) & F.expr("has_now AND eq.channel IS NOT NULL"))
+    ch = at.groupBy("lot_id", F.col("eq.channel").alias("channel")).agg(
+        F.count_distinct("component_id").alias("n_components"),
+        F.max("eq.channel_offset").alias("channel_offset"),
+        F.max("eq.channel_z").alias("z"),
+        F.bool_or("eq.channel_suspected").alias("suspected"),
+        F.max("eq.channel_reason").alias("reason"),
+    )
+    short = F.col("reason").isin("CHANNEL_BIAS_SUPPRESSED_SMALL_SAMPLE", "INSUFFICIENT_REFERENCE_POPULATION")
+    told = ch.withColumns(
+        {
+            "status": F.when(F.col("suspected"), "DRIFT_SUSPECTED").when(short, "SUPPRESSED").otherwise("NOMINAL"),
+            "action": F.when(F.col("suspected"), "QUARANTINE_SOCKET_FIXTURE").when(short, "SAMPLE_INSUFFICIENT").otherwise("ACCEPT_FOR_FLIGHT"),
+        }
+    )
+    lots = told.groupBy("lot_id").agg(F.bool_or("suspected").alias("any"), F.sum(F.when(F.col("suspected"), F.col("n_components")).otherwise(0)).alias("n_affected"))
+    protocol = F.when(F.col("any"), "EXCURSION_DETECTED").otherwise("NOMINAL").alias("fixture_status")
+    return told.join(lots.select("lot_id", protocol, "n_affected"), "lot_id").drop("suspected")
+
+
+def affected_components(s: DataFrame, parameter: str = "RDS(on)") -> DataFrame:
+    """lot_id, channel, component_id of the components in suspected channels; one row each, whatever their number."""
+    hit = s.where((F.col("parameter_name") == parameter) & F.expr("has_now AND eq.channel_suspected"))
+    return hit.select("lot_id", F.col("eq.channel").alias("channel"), "component_id").distinct()
+
+
 def naive_vs_aware(naive: DataFrame, components: DataFrame) -> DataFrame:
     """F8: what the naive screener rejects against the fused state."""
     rej = naive.groupBy("component_id").agg(F.bool_or("reject").alias("naive"))

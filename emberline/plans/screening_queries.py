@@ -301,6 +301,27 @@ def equipment_diagnostics(spark, d):
     return E.equipment_diagnostics(s).withColumn("worst_z", r6("worst_z"))
 
 
+CHANNELS = SCREEN + """, c AS (SELECT lot_id, channel_id AS channel, component_id, bhit, off, cz, CASE WHEN bhit THEN 'B' WHEN n_in < 4 OR n_out < 4 THEN 'S' ELSE 'N' END AS k, n_in, n_out FROM eq WHERE has_now AND channel_id IS NOT NULL AND parameter_name = 'RDS(on)'),
+v AS (SELECT lot_id, channel, count(DISTINCT component_id) AS n_components, max(off) AS off, max(cz) AS cz, min(k) AS k, max(n_in) AS n_in FROM c GROUP BY 1, 2),
+w AS (SELECT lot_id, bool_or(k = 'B') AS hit, CAST(coalesce(sum(n_components) FILTER (k = 'B'), 0) AS BIGINT) AS n_affected FROM v GROUP BY 1)"""
+
+
+@query(
+    "channel_verdicts",
+    CHANNELS + f""" SELECT v.lot_id, channel, n_components, {o6('off')} AS channel_offset, {o6('cz')} AS z, CASE k WHEN 'B' THEN 'ATE_CHANNEL_FIXTURE_BIAS' WHEN 'S' THEN CASE WHEN n_in < 4 THEN 'CHANNEL_BIAS_SUPPRESSED_SMALL_SAMPLE' ELSE 'INSUFFICIENT_REFERENCE_POPULATION' END ELSE 'NOMINAL_ATE_CHANNEL' END AS reason,
+ CASE k WHEN 'B' THEN 'DRIFT_SUSPECTED' WHEN 'S' THEN 'SUPPRESSED' ELSE 'NOMINAL' END AS status, CASE k WHEN 'B' THEN 'QUARANTINE_SOCKET_FIXTURE' WHEN 'S' THEN 'SAMPLE_INSUFFICIENT' ELSE 'ACCEPT_FOR_FLIGHT' END AS action, CASE WHEN hit THEN 'EXCURSION_DETECTED' ELSE 'NOMINAL' END AS fixture_status, n_affected
+FROM v JOIN w USING (lot_id)""",
+)
+def channel_verdicts(spark, d):
+    s = D.detect(ctx(spark, d, ("level", "chamber"), True), "eq")
+    return E.channel_verdicts(s).withColumns({"channel_offset": r6("channel_offset"), "z": r6("z")})
+
+
+@query("affected_components", CHANNELS + " SELECT DISTINCT lot_id, channel, component_id FROM c WHERE bhit")
+def affected_components(spark, d):
+    return E.affected_components(D.detect(ctx(spark, d, ("level", "chamber"), True), "eq"))
+
+
 @query(
     "naive_vs_aware",
     COMPONENTS + NAIVE + """, nr AS (SELECT component_id, bool_or(abs(z) >= 3) AS naive FROM nz GROUP BY 1)
