@@ -135,6 +135,33 @@ def wilson(k: Column | str, n: Column | str, z: float = 1.959963984540054) -> tu
     return F.when(n > 0, low).otherwise(0.0), F.when(n > 0, high).otherwise(0.0)
 
 
+_WILSON = (
+    "(k / n + 3.841458820694124D / (2D * n) {side} 1.959963984540054D * "
+    "sqrt((k / n * (1D - k / n) + 3.841458820694124D / (4D * n)) / n)) / (1D + 3.841458820694124D / n)"
+)
+
+
+def _erf_sql(z: str) -> str:
+    """erf(|z| / sqrt 2) in SQL, by the series of ``erf_abs``."""
+    step = "s.term * {z} * {z} / (2D * n + 1D)".format(z=z)
+    return (
+        f"CASE WHEN abs({z}) > 7 THEN 1D ELSE least(1D, 1.1283791670955126D * exp(-{z} * {z} / 2D) * aggregate(sequence(1, 60), "
+        f"struct(abs({z}) / sqrt(2D) AS term, abs({z}) / sqrt(2D) AS total), (s, n) -> struct({step} AS term, s.total + {step} AS total), s -> s.total)) END"
+    )
+
+
+def _none_sql(c: str) -> str:
+    return f"({c} IS NULL OR isnan({c}) OR abs({c}) = DOUBLE('Infinity'))"
+
+
+def _moved_sql(c: str) -> str:
+    return f"CASE WHEN {_none_sql(c)} THEN 0D ELSE 1D / (1D + exp(-1.2D * (abs({c}) / greatest(floor, 1e-9D) - 3D))) END"
+
+
+def _unit_sql(x: str) -> str:
+    return f"round(greatest(0D, least(1D, {x})), 4) + 0D"
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Expose the scalar layer to ``spark.sql`` as temporary SQL functions (no Python)."""
     log = ", ".join(f"'{p.name}'" for p in REGISTRY.parameters if p.transform == "log")
@@ -158,12 +185,27 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
             "d DOUBLE",
             "round(1D - (1D + 0.5D * d * d) * exp(-0.5D * d * d), 4)",
         ),
-        "el_score_peer": (
-            "z DOUBLE",
-            "CASE WHEN abs(z) > 7 THEN 1D ELSE round(least(1D, 1.1283791670955126D * exp(-z * z / 2D) * "
-            "aggregate(sequence(1, 60), struct(abs(z) / sqrt(2D) AS term, abs(z) / sqrt(2D) AS total), "
-            "(s, n) -> struct(s.term * z * z / (2D * n + 1D) AS term, "
-            "s.total + s.term * z * z / (2D * n + 1D) AS total), s -> s.total)), 4) END",
+        "el_score_peer": ("z DOUBLE", f"CASE WHEN {_none_sql('z')} THEN NULL ELSE {_unit_sql(_erf_sql('z'))} END"),
+        "el_score_drift": (
+            "g DOUBLE, c DOUBLE",
+            f"CASE WHEN {_none_sql('g')} AND {_none_sql('c')} THEN NULL ELSE "
+            + _unit_sql(
+                f"greatest(CASE WHEN {_none_sql('g')} THEN NULL ELSE {_erf_sql('g')} END, "
+                f"CASE WHEN {_none_sql('c')} THEN NULL WHEN c <= 0 THEN 0D ELSE 1D / (1D + exp(-1.5D * (c - 3.5D))) END)"
+            )
+            + " END",
+        ),
+        "el_score_equipment": (
+            "shift DOUBLE, off DOUBLE, floor DOUBLE",
+            _unit_sql(f"greatest({_moved_sql('shift')}, {_moved_sql('off')})"),
+        ),
+        "el_wilson_low": (
+            "k DOUBLE, n DOUBLE",
+            f"CASE WHEN n > 0 THEN CASE WHEN k = 0 THEN 0D ELSE greatest(0D, {_WILSON.format(side='-')}) END ELSE 0D END",
+        ),
+        "el_wilson_high": (
+            "k DOUBLE, n DOUBLE",
+            f"CASE WHEN n > 0 THEN CASE WHEN k = n THEN 1D ELSE least(1D, {_WILSON.format(side='+')}) END ELSE 0D END",
         ),
     }
     for name, (args, body) in bodies.items():
