@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalars import MAD_SCALE
 from emberline.operators import boosting, evaluation, folds, regression
-from emberline.plans.prognostic_queries import FEATS, residual_rows, tri
-from emberline.registry import REGISTRY, Registry
+from emberline.plans.prognostic_queries import FEATS, residual_rows
+from emberline.registry import REGISTRY
 
 FLOOR = {p.name: p.floor for p in REGISTRY.parameters}
 
