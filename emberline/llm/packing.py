@@ -33,12 +33,11 @@ class Encoder:
     runs of white space behind a space are encoded whole, and texts that spell a special token by its own library.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 100_000):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.special = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.library, self.special = public_tokenizers.path(f"{vocabulary}.json"), None
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -52,9 +51,17 @@ class Encoder:
             found = self.memo[word] = np.asarray(self.plain.encode_ordinary(word), "<u4").tobytes()
         return found
 
+    def spelled(self, text: str) -> bytes:
+        """Ids by the tokenizer library, which is loaded for the first text that needs it."""
+        if self.special is None:
+            from tokenizers import Tokenizer
+
+            self.special = Tokenizer.from_file(self.library)
+        return np.asarray(self.special.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if _SPECIAL in text:
-            return np.asarray(self.special.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.spelled(text)
         first, *rest = text.split(" ")
         if not all(rest) or any(w[0].isspace() for w in rest) or (rest and not first):
             return np.asarray(self.plain.encode_ordinary(text), "<u4").tobytes()
