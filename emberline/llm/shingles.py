@@ -15,7 +15,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 class WordHashes(dict):
     """Memo of word hashes; emptied when full, which changes no value."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
