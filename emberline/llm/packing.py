@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +24,19 @@ _OUT = pa.schema(
 PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _FLUSH = 2_000_000
 _SPECIAL = "<|endoftext|>"
+_CUT = re.compile(r"\S(?= \S)")
 
 
 class Encoder:
     """Byte-level BPE ids of a text as little-endian unsigned 32-bit bytes.
 
-    A text is cut where a single space stands between two characters that are no white space: the vocabulary's word
-    pattern always starts a new word there, so the parts can be encoded, and remembered, one by one. Texts with other
-    runs of white space behind a space are encoded whole, and texts that spell a special token by its own library.
+    A text is encoded as a whole; a longer one than ``longest`` characters in parts, so that few ids are Python objects
+    at once. It is cut in front of a single space between two characters that are no white space: the vocabulary's word
+    pattern always starts a new word there. Texts that spell a special token go through the vocabulary's own library,
+    which is loaded for the first of them.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 100_000):
+    def __init__(self, vocabulary: str, longest: int = 1_000_000):
         import public_tokenizers
         import tiktoken
 
@@ -41,32 +44,26 @@ class Encoder:
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo, self.limit = {}, limit
-
-    def part(self, word: str) -> bytes:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            found = self.memo[word] = np.asarray(self.plain.encode_ordinary(word), "<u4").tobytes()
-        return found
+        self.longest = longest
 
     def spelled(self, text: str) -> bytes:
-        """Ids by the tokenizer library, which is loaded for the first text that needs it."""
         if self.special is None:
             from tokenizers import Tokenizer
 
             self.special = Tokenizer.from_file(self.library)
         return np.asarray(self.special.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def parts(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > self.longest and (before := _CUT.search(text, start + self.longest - 1)):
+            yield text[start : before.end()]
+            start = before.end()
+        yield text[start:]
+
     def __call__(self, text: str) -> bytes:
         if _SPECIAL in text:
             return self.spelled(text)
-        first, *rest = text.split(" ")
-        if not all(rest) or any(w[0].isspace() for w in rest) or (rest and not first):
-            return np.asarray(self.plain.encode_ordinary(text), "<u4").tobytes()
-        part = self.part
-        return b"".join([part(first), *[part(" " + w) for w in rest]])
+        return b"".join(np.asarray(self.plain.encode_ordinary(part), "<u4").tobytes() for part in self.parts(text))
 
 
 class SumOfSquares:
