@@ -13,6 +13,7 @@ from emberline.operators.loo import with_loo
 from emberline.operators.ranks import count_at_least, group_median_mad, group_quantiles, pick_ranks
 from emberline.operators.represent import SERIES, trajectories
 from emberline.registry import REGISTRY, Registry
+from emberline.session import cut
 
 LOT_T = ["lot_id", "parameter_name", "elapsed_hours"]
 
@@ -112,6 +113,31 @@ def rate_rollup(df: DataFrame, dims: Sequence[str], hit: str) -> DataFrame:
     return out.withColumns({"rate": F.col("k") / F.col("n"), "low": low, "high": high})
 
 
+def excess_versus_raw(excess: DataFrame, reference_lots: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Breach rates of slopes on the leave-one-out excess and on the raw coordinate, per parameter.
+
+    Both slopes come from the same points (rows of ``loo_excess``) and are held against the same reference lots. A
+    series counts once: n series, breaches of either coordinate and of both, rates with Wilson bounds and their gap.
+    """
+    points = cut(excess)
+    slopes = [
+        trend_statistics(points, value).select(*SERIES, "k", F.round("slope", 10).alias("slope"), F.lit(name).alias("coordinate"))
+        for name, value in (("excess", "excess"), ("raw", "u"))
+    ]
+    both = slopes[0].unionByName(slopes[1])
+    lots = reference_lots.select("lot_id")
+    p = empirical_p(both.join(lots, "lot_id", "left_anti"), both.join(lots, "lot_id", "left_semi"), ["coordinate", "parameter_name", "k"], "slope")
+    hit = F.coalesce(F.col("p") <= alpha, F.lit(False))
+    wide = p.groupBy(*SERIES).agg(*[F.coalesce(F.bool_or(hit & (F.col("coordinate") == c)), F.lit(False)).alias(c) for c in ("excess", "raw")])
+    out = wide.groupBy("parameter_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("excess").alias("k_excess"), F.count_if("raw").alias("k_raw"), F.count_if(F.col("excess") & F.col("raw")).alias("k_both")
+    )
+    for c in ("excess", "raw"):
+        low, high = wilson(f"k_{c}", "n")
+        out = out.withColumns({f"rate_{c}": F.col(f"k_{c}") / F.col("n"), f"low_{c}": low, f"high_{c}": high})
+    return out.withColumn("gap", F.col("rate_raw") - F.col("rate_excess"))
+
+
 def trend_screen(df: DataFrame, reference_lots: DataFrame, alpha: float = 0.001, skewed: bool | None = None) -> DataFrame:
     """Excess -> tau -> empirical p against the reference lots -> Holm per component."""
     st = trend_statistics(loo_excess(df, skewed))

@@ -157,6 +157,29 @@ def fpr_rollup(spark, d):
     return out.select("points", "parameter_name", "n", "k", *[r6(c).alias(c) for c in ("rate", "low", "high")])
 
 
+_BOUNDS = {c: _wilson(f"k_{c}", "n") for c in ("excess", "raw")}
+_STEP = "/ (b.elapsed_hours - a.elapsed_hours)"
+
+
+@query(
+    "excess_versus_raw",
+    W + EXC + f""",
+sl AS MATERIALIZED (SELECT a.component_id, a.lot_id, a.parameter_name, round(median((b.e - a.e) {_STEP}), 10) AS excess, round(median((b.u - a.u) {_STEP}), 10) AS raw FROM ex a JOIN ex b ON a.component_id = b.component_id AND a.parameter_name = b.parameter_name AND b.elapsed_hours > a.elapsed_hours GROUP BY 1, 2, 3),
+sk AS MATERIALIZED (SELECT sl.*, og.k, part = 'CAL' AS cal FROM sl JOIN og USING (component_id, parameter_name) JOIN lp USING (lot_id)),
+lg AS MATERIALIZED (SELECT component_id, parameter_name, k, cal, 'excess' AS coordinate, abs(excess) AS s FROM sk UNION ALL SELECT component_id, parameter_name, k, cal, 'raw', abs(raw) FROM sk),
+pv AS (SELECT o.component_id, o.parameter_name, o.coordinate, (1.0::DOUBLE + (SELECT count(*) FROM lg r WHERE r.cal AND r.coordinate = o.coordinate AND r.parameter_name = o.parameter_name AND r.k = o.k AND r.s >= o.s)) / (1.0::DOUBLE + (SELECT count(*) FROM lg r WHERE r.cal AND r.coordinate = o.coordinate AND r.parameter_name = o.parameter_name AND r.k = o.k)) AS p FROM lg o WHERE NOT o.cal),
+wd AS (SELECT component_id, parameter_name, bool_or(p <= 0.05 AND coordinate = 'excess') AS he, bool_or(p <= 0.05 AND coordinate = 'raw') AS hr FROM pv GROUP BY 1, 2),
+c AS (SELECT parameter_name, count(*) AS n, count(*) FILTER (he) AS k_excess, count(*) FILTER (hr) AS k_raw, count(*) FILTER (he AND hr) AS k_both FROM wd GROUP BY 1)
+SELECT parameter_name, n, k_excess, k_raw, k_both, {o6('k_excess::DOUBLE / n')} AS rate_excess, {o6(_BOUNDS['excess'][0])} AS low_excess, {o6(_BOUNDS['excess'][1])} AS high_excess,
+ {o6('k_raw::DOUBLE / n')} AS rate_raw, {o6(_BOUNDS['raw'][0])} AS low_raw, {o6(_BOUNDS['raw'][1])} AS high_raw, {o6('k_raw::DOUBLE / n - k_excess::DOUBLE / n')} AS gap FROM c""",
+)
+def excess_versus_raw(spark, d):
+    cal = lot_partitions(spark, d).where("partition = 'CAL'")
+    out = K.excess_versus_raw(K.loo_excess(tu(spark, d)), cal)
+    shown = [f"{v}_{c}" for c in ("excess", "raw") for v in ("rate", "low", "high")]
+    return out.select("parameter_name", "n", "k_excess", "k_raw", "k_both", *[r6(c).alias(c) for c in [*shown, "gap"]])
+
+
 @query("trend_screen", W + EP.replace("abs(r.slope) >= abs(o.slope)", "abs(r.tau) >= abs(o.tau) - 1e-9") + f""",
 h0 AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY p, parameter_name) AS step, count(*) OVER (PARTITION BY component_id) AS m FROM ep)
 SELECT component_id, parameter_name, {o6('p')} AS p, min(CASE WHEN p <= 0.001::DOUBLE / (m - step + 1) THEN 1 ELSE 0 END) OVER (PARTITION BY component_id ORDER BY p, parameter_name ROWS UNBOUNDED PRECEDING) = 1 AS reject FROM h0""")
