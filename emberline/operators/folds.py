@@ -39,7 +39,7 @@ _SUMS = 9
 
 @dataclass
 class Design:
-    """Numbered rows (p, lot, x0, x1, y) and what the numbers stand for."""
+    """Numbered rows (p, lot, x0, x1, y), equal ones once with their number m, and what the numbers stand for."""
 
     rows: DataFrame
     parameters: list[str]
@@ -63,7 +63,8 @@ def design(tri: DataFrame, x0: str = "u0", x1: str = "u24", y: str = "u168") ->
     spark = tri.sparkSession
     named = [spark.createDataFrame(list(enumerate(names)), f"{n} int, {c} string") for names, n, c in ((parameters, "p", "parameter_name"), (lots, "lot", "lot_id"))]
     rows = tri.join(F.broadcast(named[0]), "parameter_name").join(named[1], "lot_id")
-    return Design(cut(rows.select("p", "lot", "x0", "x1", "y")), parameters, lots)
+    rows = rows.groupBy("p", "lot", "x0", "x1", "y").agg(F.count(F.lit(1)).alias("m"))
+    return Design(cut(rows), parameters, lots)
 
 
 Residuals = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -84,15 +85,15 @@ def nested_residuals(p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray, coef
     return r
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     most = max(1, CELLS // max(1, width))
     for batch in batches:
-        p, lot, x0, x1, y = (c.to_numpy() for c in batch.columns)
+        p, lot, x0, x1, y, m = (c.to_numpy() for c in batch.columns)
         for q in np.unique(p):
             at = np.flatnonzero(p == q)
             for i in range(0, len(at), most):
                 some = at[i : i + most]
-                yield int(q), lot[some], np.stack([np.ones(len(some)), x0[some], x1[some]], 1), y[some]
+                yield int(q), lot[some], np.stack([np.ones(len(some)), x0[some], x1[some]], 1), y[some], m[some]
 
 
 def _emit(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -104,12 +105,12 @@ def _weigher(residuals: Residuals, delta: np.ndarray | None, shape: tuple[int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((*shape, _SUMS))
-        for p, lot, x, y in _blocks(batches, shape[1]):
+        for p, lot, x, y, m in _blocks(batches, shape[1]):
             r = np.abs(residuals(p, lot, x, y))
             seen = ~np.isnan(r)
             w = seen.astype(float) if delta is None else np.where(seen, np.where(r <= delta[p], 1.0, delta[p] / np.maximum(r, 1e-12)), 0.0)
             a, b = x[:, 1], x[:, 2]
-            total[p] += w.T @ np.stack([x[:, 0], a, b, y, a * a, a * b, b * b, a * y, b * y], 1)
+            total[p] += (w * m[:, None]).T @ np.stack([x[:, 0], a, b, y, a * a, a * b, b * b, a * y, b * y], 1)
         p, fit = np.nonzero(total[:, :, 0])
         yield _emit(schema, p, fit, *total[p, fit].T)
 
@@ -119,36 +120,37 @@ def _weigher(residuals: Residuals, delta: np.ndarray | None, shape: tuple[int, i
 def _spanner(values: Residuals, shape: tuple[int, int], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, n = np.full(shape, np.inf), np.full(shape, -np.inf), np.zeros(shape, np.int64)
-        for p, lot, x, y in _blocks(batches, shape[1]):
+        for p, lot, x, y, m in _blocks(batches, shape[1]):
             v = values(p, lot, x, y)
             seen = ~np.isnan(v)
             low[p] = np.minimum(low[p], np.where(seen, v, np.inf).min(0))
             high[p] = np.maximum(high[p], np.where(seen, v, -np.inf).max(0))
-            n[p] += seen.sum(0)
+            n[p] += m @ seen
         p, fit = np.nonzero(n)
-        yield _emit(schema, p, fit, np.zeros(len(p)), n[p, fit], low[p, fit], high[p, fit])
+        yield _emit(schema, p, fit, np.zeros(len(p)), n[p, fit], low[p, fit], high[p, fit], n[p, fit])
 
     return run
 
 
 def _counter(values: Residuals, low: np.ndarray, high: np.ndarray, schema: pa.Schema):
-    """Per split, parameter, fit and step of the bracket: rows, least and largest value; step -1 is below the bracket."""
+    """Per split, parameter, fit and step of the bracket: rows, least and largest value, distinct rows; step -1 is below the bracket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = (*low.shape, STEPS + 1)
-        n, least, most = np.zeros(shape, np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
-        for p, lot, x, y in _blocks(batches, low.shape[1]):
+        n, d, least, most = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
+        for p, lot, x, y, m in _blocks(batches, low.shape[1]):
             v = values(p, lot, x, y)
             row, fit = np.nonzero(v <= high[p])
             v = v[row, fit]
             part = (v - low[p, fit]) / (high[p, fit] - low[p, fit]) * STEPS
             step = np.where(v < low[p, fit], 0, 1 + np.clip(part, 0, STEPS - 1).astype(np.int64))
             cell = fit * (STEPS + 1) + step
-            n[p] += np.bincount(cell, minlength=n[p].size).reshape(n[p].shape)
+            n[p] += np.bincount(cell, m[row], minlength=n[p].size).reshape(n[p].shape).astype(np.int64)
+            d[p] += np.bincount(cell, minlength=n[p].size).reshape(n[p].shape)
             np.minimum.at(least[p].reshape(-1), cell, v)
             np.maximum.at(most[p].reshape(-1), cell, v)
         p, fit, step = np.nonzero(n)
-        yield _emit(schema, p, fit, step - 1, n[p, fit, step], least[p, fit, step], most[p, fit, step])
+        yield _emit(schema, p, fit, step - 1, n[p, fit, step], least[p, fit, step], most[p, fit, step], d[p, fit, step])
 
     return run
 
@@ -158,12 +160,13 @@ def _taker(values: Residuals, low: np.ndarray, high: np.ndarray, schema: pa.Sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = np.zeros(low.shape, np.int64)
-        for p, lot, x, y in _blocks(batches, low.shape[1]):
+        for p, lot, x, y, m in _blocks(batches, low.shape[1]):
             v = values(p, lot, x, y)
-            below[p] += (v < low[p]).sum(0)
+            below[p] += m @ (v < low[p])
             row, fit = np.nonzero((v >= low[p]) & (v <= high[p]))
             if len(row):
-                pairs, n = np.unique(np.stack([fit.astype(float), v[row, fit]], 1), axis=0, return_counts=True)
+                pairs, which = np.unique(np.stack([fit.astype(float), v[row, fit]], 1), axis=0, return_inverse=True)
+                n = np.bincount(which.reshape(-1), m[row]).astype(np.int64)
                 yield _emit(schema, np.full(len(n), p), pairs[:, 0].astype(np.int32), pairs[:, 1], n)
         p, fit = np.nonzero(below)
         yield _emit(schema, p, fit, [None] * len(p), below[p, fit])
@@ -171,11 +174,11 @@ def _taker(values: Residuals, low: np.ndarray, high: np.ndarray, schema: pa.Sche
     return run
 
 
-_CELL = pa.schema([("p", pa.int32()), ("fit", pa.int32()), ("step", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+_CELL = pa.schema([("p", pa.int32()), ("fit", pa.int32()), ("step", pa.int32()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("d", pa.int64())])
 _VALUE = pa.schema([("p", pa.int32()), ("fit", pa.int32()), ("value", pa.float64()), ("n", pa.int64())])
 _SUM = pa.schema([("p", pa.int32()), ("fit", pa.int32()), *((f"s{i}", pa.float64()) for i in range(_SUMS))])
 _DDL = {
-    "cell": "p int, fit int, step int, n long, low double, high double",
+    "cell": "p int, fit int, step int, n long, low double, high double, d long",
     "value": "p int, fit int, value double, n long",
     "sum": "p int, fit int, " + ", ".join(f"s{i} double" for i in range(_SUMS)),
 }
@@ -232,17 +235,22 @@ def _medians(d: Design, values: Residuals, n: np.ndarray, guess: Median | None =
     inside, below = np.where(missing, n, 0), np.zeros(n.shape, np.int64)
     while (wide := (inside > LEFT) & (low < high)).any():
         cells = d.rows.mapInArrow(_counter(values, np.where(wide, low, np.inf), np.where(wide, high, -np.inf), _CELL), _DDL["cell"])
-        p, fit, step, count, lo, hi = _table(cells.where("step >= 0").groupBy("p", "fit", "step").agg(F.sum("n"), F.min("low"), F.max("high")))
-        grid = np.zeros((*n.shape, STEPS), np.int64)
+        p, fit, step, count, lo, hi, several = _table(cells.where("step >= 0").groupBy("p", "fit", "step").agg(F.sum("n"), F.min("low"), F.max("high"), F.sum("d")))
+        grid, distinct = np.zeros((*n.shape, STEPS), np.int64), np.zeros((*n.shape, STEPS), np.int64)
         lows, highs = np.full(grid.shape, np.inf), np.full(grid.shape, -np.inf)
-        grid[p, fit, step], lows[p, fit, step], highs[p, fit, step] = count, lo, hi
+        grid[p, fit, step], lows[p, fit, step], highs[p, fit, step], distinct[p, fit, step] = count, lo, hi, several
         upto = grid.cumsum(-1)
         for q, f in zip(*np.nonzero(wide)):
             a, b = (int(np.searchsorted(upto[q, f], k[q, f] - below[q, f], side="right")) for k in (first, second))
-            before = upto[q, f, a] - grid[q, f, a]
-            low[q, f], high[q, f] = lows[q, f, a], highs[q, f, b]
-            inside[q, f] = upto[q, f, b] - before
-            below[q, f] += before
+            if a != b:  # neighbours in order: the last value of one step and the first of the other
+                lower, upper = highs[q, f, a], lows[q, f, b]
+                found[q, f] = (lower + upper) / 2
+                width[q, f] = max(2 * (upper - lower), abs(found[q, f]) * 1e-9, 1e-12)
+                missing[q, f], low[q, f], high[q, f], inside[q, f] = False, np.inf, -np.inf, 0
+                continue
+            low[q, f], high[q, f] = lows[q, f, a], highs[q, f, a]
+            inside[q, f] = distinct[q, f, a]
+            below[q, f] += upto[q, f, a] - grid[q, f, a]
     one = missing & (low == high)
     found[one] = low[one]
     rest = missing & ~one

@@ -163,3 +163,16 @@ def test_trees_beat_carry_forward(spark):
     got = boosting.cross_fitted(rows, FEATS, "delta_u", iterations=10)
     for r in got.groupBy("parameter_name").agg(F.avg(F.abs(F.col("delta_hat") - F.col("delta_u"))).alias("trees"), F.avg(F.abs("delta_u")).alias("carry")).collect():
         assert r.trees < r.carry
+
+
+def test_median_between_two_often_repeated_values(spark):
+    """Equal rows are kept once, and the search ends where both middle ranks lie in values with more rows than a bracket may hold."""
+    rows = [("IGSS", f"L{i % 2}", 0.0, 0.0, float(v)) for v, n in ((0.0, 10), (1.0, 190), (2.0, 190), (9.0, 10)) for i in range(n)]
+    d = folds.design(spark.createDataFrame(rows, "parameter_name string, lot_id string, u0 double, u24 double, u168 double"))
+
+    def plain(p, lot, x, y):
+        return y[:, None]
+
+    assert d.rows.count() == 8
+    found = folds._medians(d, plain, np.array([[400]]))
+    assert found.value[0, 0] == 1.5 and found.width[0, 0] > 0
