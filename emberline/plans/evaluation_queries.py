@@ -200,7 +200,7 @@ sm AS (SELECT parameter_name, count(*) FILTER (f AND defective) AS tp, count(*)
 
 
 def counts(spark, d):
-    c = S.screen_components(A.telemetry_parts(spark, d), 24).select("component_id", F.col("final.state").isin("FAIL", "ALERT", "HOLD").alias("flagged"))
+    c = S.screen_components(A.telemetry_parts(spark, d), 24, evidence=False).select("component_id", F.col("final.state").isin("FAIL", "ALERT", "HOLD").alias("flagged"))
     return V.confusion(c, labels(spark, d))
 
 
@@ -359,5 +359,5 @@ def joint_separation(spark, d):
 @query("fn_fp_tables", CONFUSION + " SELECT lot_id, qualifier, defective, count(*) AS n FROM lab JOIN cf USING (component_id) WHERE defective <> (state IN ('FAIL', 'ALERT', 'HOLD')) GROUP BY 1, 2, 3")
 def fn_fp_tables(spark, d):
     lab = labels(spark, d).groupBy("component_id").agg(F.bool_or("is_defective").alias("defective"))
-    c = S.screen_components(A.telemetry_parts(spark, d), 24).select("component_id", "lot_id", "final.qualifier", F.col("final.state").isin("FAIL", "ALERT", "HOLD").alias("f"))
+    c = S.screen_components(A.telemetry_parts(spark, d), 24, evidence=False).select("component_id", "lot_id", "final.qualifier", F.col("final.state").isin("FAIL", "ALERT", "HOLD").alias("f"))
     return lab.join(c, "component_id").where("defective <> f").groupBy("lot_id", "qualifier", "defective").agg(F.count(F.lit(1)).alias("n"))

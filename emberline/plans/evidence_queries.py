@@ -37,7 +37,7 @@ WHY = ", ".join(
 
 @query("why_flagged", "WITH " + screen_ctes(T) + f" SELECT component_id, parameter_name, coalesce(nullif(concat_ws('; ', {WHY}), ''), 'nominal') AS why FROM pf")
 def why_flagged(spark, d):
-    return O.why_flagged(S.screen_parameters(A.telemetry_parts(spark, d), T)).select(*ID, "why")
+    return O.why_flagged(S.screen_parameters(A.telemetry_parts(spark, d), T, fields={})).select(*ID, "why")
 
 
 @query("evidence_flat")
@@ -52,7 +52,7 @@ def evidence_flat(spark, d):
  WHEN 'INSUFFICIENT_DATA' THEN component_id || ' cannot be judged at 168 h: ' || reason || '.' WHEN 'EQUIPMENT_SUSPECTED' THEN component_id || ' moved with its equipment at 168 h: ' || reason || '.' ELSE component_id || ' needs review at 168 h: ' || reason || '.' END AS justification FROM cf""",
 )
 def justification(spark, d):
-    return O.justification(S.screen_components(A.telemetry_parts(spark, d), T)).select("component_id", "justification")
+    return O.justification(S.screen_components(A.telemetry_parts(spark, d), T, evidence=False)).select("component_id", "justification")
 
 
 SAID = """CASE state WHEN 'PASS' THEN component_id || ' is within limits and stable at {t} h.' WHEN 'FAIL' THEN component_id || ' fails at {t} h: ' || reason || '.' WHEN 'HOLD' THEN component_id || ' is held for re-test at {t} h: ' || reason || '.'
@@ -69,7 +69,7 @@ SELECT component_id, lot_id, state, CASE state WHEN 'FAIL' THEN 'CONDEMN_TO_SCRA
 def component_report(spark, d):
     f = P.breach_interpretation(decided(spark, d), "v24")
     f = f.withColumn("predicted", r6("predicted", 4))
-    rep = O.component_report(S.screen_components(A.telemetry_parts(spark, d), 24), f)
+    rep = O.component_report(S.screen_components(A.telemetry_parts(spark, d), 24, evidence=False), f)
     told = F.array_join(F.transform("forecasts", lambda x: F.concat(x["parameter_name"], F.lit("="), x["decision"], F.lit("/"), x["interval_status"])), ";")
     number = F.when(F.col("forecasts").isNotNull(), F.size("forecasts").cast("long"))
     return rep.select("component_id", "lot_id", "final.state", "action", "early_reject", number.alias("n_forecasts"), told.alias("decisions"), "justification")

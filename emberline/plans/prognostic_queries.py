@@ -358,7 +358,7 @@ SELECT component_id, parameter_name, flag, {o6('uh', 5)} AS u_hat FROM g3 WHERE
 
 @query("fc_drift_gated", GATED)
 def fc_drift_gated(spark, d):
-    s = S.screen_parameters(A.telemetry_parts(spark, d), 24)
+    s = S.screen_parameters(A.telemetry_parts(spark, d), 24, fields={})
     zero = F.expr("get(filter(obs, r -> r.elapsed_hours = 0), 0).u")
     rows = s.select(
         *ID, F.col("u_now").alias("u_t"), F.col("now.value").alias("v_t"), ((F.col("u_now") - zero) / 24.0).alias("slope"),
@@ -401,5 +401,5 @@ def production_forecast(spark, d):
  WHEN w THEN 'PROGNOSTIC_EARLY_WARNING' WHEN coalesce(n, 0) < 4 THEN 'INSUFFICIENT_TELEMETRY' ELSE 'NOMINAL_CONTINUE' END AS unified FROM cf LEFT JOIN (SELECT component_id, bool_or(advisory = 'EARLY_WARNING') AS w, count(*) AS n FROM adv GROUP BY 1) a USING (component_id)""",
 )
 def unified_advisory(spark, d):
-    c = S.screen_components(A.telemetry_parts(spark, d), 24).select("component_id", "final.state")
+    c = S.screen_components(A.telemetry_parts(spark, d), 24, evidence=False).select("component_id", "final.state")
     return P.unified_advisory(c, production(spark, d)).select("component_id", "unified")

@@ -176,7 +176,7 @@ def rescreen_on_batch(store: str, out: str, as_of: int) -> Callable[[DataFrame,
         touched = fixed.select("lot_id").distinct()
         buckets = [r[0] for r in touched.select(lot_bucket()).distinct().collect()]
         rows = _parts(spark, store).where(F.col("lot_bucket").isin(buckets)).join(touched, "lot_id", "left_semi")
-        result = screen_components(_latest(rows).drop("batch"), as_of).select("component_id", "lot_id", "final.state", "final.reason")
+        result = screen_components(_latest(rows).drop("batch"), as_of, evidence=False).select("component_id", "lot_id", "final.state", "final.reason")
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lot_id").parquet(out)
 
     return run

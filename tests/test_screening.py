@@ -121,3 +121,34 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
     context = SimpleNamespace(master="yarn", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: undefined))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
+
+
+def test_lean_screen_has_the_same_dispositions(spark):
+    rows = lot(only(1, "IDSS", lambda t, v: {0: 0.5, 24: 1.2, 96: 3.5, 168: 6.8}[t]))
+    tel = frame(spark, [r for r in rows if not (r[0] == "C002" and r[2] == "IGSS")])
+    full = {r.component_id: r.final for r in screen_components(tel, 168).collect()}
+    lean = screen_components(tel, 168, evidence=False)
+    assert "params" not in lean.columns
+    for r in lean.collect():
+        want = full[r.component_id]
+        assert (r.final.state, r.final.qualifier, r.final.reason, r.final.compound) == (want.state, want.qualifier, want.reason, want.compound)
+
+
+def test_named_fields_keep_the_values(spark):
+    tel = frame(spark, lot(only(1, "RDS(on)", lambda t, v: 58.0)))
+    full = {(r.component_id, r.parameter_name): r for r in screen_parameters(tel, 168).collect()}
+    some = screen_parameters(tel, 168, fields={"peer": ["z"]})
+    assert "score" not in some.schema["peer"].dataType.names
+    for r in some.collect():
+        want = full[r.component_id, r.parameter_name]
+        assert r.peer.z == want.peer.z and r.fused == want.fused
+
+
+def test_series_median_builds_its_array_once(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.functions.series import theil_sen
+
+    one = spark.createDataFrame([([(0, 1.0), (24, 2.0), (96, 8.0)],)], "pts ARRAY<STRUCT<t: INT, u: DOUBLE>>").select(theil_sen(F.col("pts")).alias("m"))
+    assert one._jdf.queryExecution().analyzed().toString().count("sort_array") == 1
+    assert one.first()["m"] == (8.0 - 1.0) / 96
