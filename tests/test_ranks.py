@@ -55,3 +55,35 @@ def test_rank_merge(spark, limit):
     for r in got:
         ref = [x for g, _, _, x in rows if g == r["g"]]
         assert r["n_ge"] == sum(v >= r["s"] for v in ref) and r["n_ref"] == len(ref)
+
+
+@pytest.mark.parametrize("kind", ["fresh", "far", "copies", "tiny"])
+def test_record_of_a_large_group_gathers_few_rows(spark, kind):
+    """Fresh values in a large lot: the record equals the sorted one, and no row is repeated for every centre."""
+    rnd = random.Random(3)
+    draw = {
+        "fresh": lambda i: rnd.gauss(3, 0.1),
+        "far": lambda i: rnd.gauss(0, 1e-3) + (1e4 if i % 2 else -7.0),
+        "copies": lambda i: float(rnd.choice([-2, 0, 0, 1, 5])),
+        "tiny": lambda i: rnd.choice([-1, 1]) * 10.0 ** rnd.uniform(-300, 300),
+    }[kind]
+    sizes = {"a": 300, "b": 301, "c": 5}
+    rows = [(g, draw(i)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE")
+    spark.conf.set("emberline.group.limit", "100000")
+    want = {r.g: r.loo for r in loo.loo_record(df, ["g"], "x", False).collect()}
+    spark.conf.set("emberline.group.limit", "60")
+    widest = []
+    cells = loo.value_cells
+
+    def spy(part, keys):
+        widest.append(part.count())
+        return cells(part, keys)
+
+    loo.value_cells = spy
+    try:
+        got = {r.g: r.loo for r in loo.loo_record(df, ["g"], "x").collect()}
+    finally:
+        loo.value_cells = cells
+    assert got == want
+    assert max(widest) <= (4 if kind == "far" else 1) * len(rows)
