@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from emberline.operators.represent import with_u
-from emberline.operators.trend import loo_excess, trend_statistics
+from emberline.operators.trend import trend_statistics
 from emberline.plans import trend_queries as Q
 
 SCHEMA = "component_id string, lot_id string, parameter_name string, elapsed_hours int, value double"
@@ -34,3 +34,13 @@ def test_last_bit_values_and_domain(spark):
     for r in with_u(spark.createDataFrame(rows, SCHEMA), last_bit=True).collect():
         sound = r.value is not None and math.isfinite(r.value)
         assert r.u == (exact[r.parameter_name](r.value) if sound else None) and r.domain_ok == (r.u is not None)
+
+
+def test_ols_t_of_a_level_series(spark):
+    """0 / 0 where all excesses are equal, as the SQL has it; a number where they are not."""
+    u = {"level": [0.1] * 4, "three": [0.1] * 3, "two": [0.1] * 2, "moved": [0.1, 0.1, 0.2, 0.1]}
+    rows = [(c, "l", "VGS(th)", h, x) for c, xs in u.items() for h, x in zip((0, 24, 96, 168), xs)]
+    df = spark.createDataFrame(rows, "component_id string, lot_id string, parameter_name string, elapsed_hours int, excess double")
+    got = {r.component_id: r.ols_t for r in trend_statistics(df).collect()}
+    assert math.isnan(got["level"]) and math.isnan(got["three"]) and got["two"] is None
+    assert got["moved"] == pytest.approx(0.304997, abs=1e-6)
