@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from emberline.operators.represent import with_u
-from emberline.operators.trend import trend_statistics
+from emberline.operators.trend import trend_screen, trend_statistics
 from emberline.plans import trend_queries as Q
 
 SCHEMA = "component_id string, lot_id string, parameter_name string, elapsed_hours int, value double"
@@ -44,3 +44,13 @@ def test_ols_t_of_a_level_series(spark):
     got = {r.component_id: r.ols_t for r in trend_statistics(df).collect()}
     assert math.isnan(got["level"]) and math.isnan(got["three"]) and got["two"] is None
     assert got["moved"] == pytest.approx(0.304997, abs=1e-6)
+
+
+def test_a_series_without_reference_stays_in_the_screen(spark):
+    """No reference series has two points: p is (1 + 0) / (1 + 0), and the series keeps its row."""
+    rows = [(f"{lot}{c}", lot, "VGS(th)", h, 2.0 + 0.01 * ((c * (h + 7)) % 5)) for lot in ("cal", "obs") for c in range(5) for h in (0, 24, 96)]
+    rows = [(c, lot, p, h, v, v) for c, lot, p, h, v in rows if not (c == "obs3" and h == 96)]
+    df = spark.createDataFrame(rows, "component_id string, lot_id string, parameter_name string, elapsed_hours int, value double, u double")
+    got = {r.component_id: r for r in trend_screen(df, spark.createDataFrame([("cal",)], "lot_id string")).collect()}
+    assert sorted(got) == [f"obs{c}" for c in range(5)]
+    assert (got["obs3"].k, got["obs3"].p, got["obs3"].reject) == (2, 1.0, False)
