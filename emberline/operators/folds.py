@@ -2,9 +2,10 @@
 
 A fit is a parameter and the lots it does not see.  Leave-one-lot-out needs one fit per lot;
 the interval scale inside a fold needs one per pair of lots, as the model that judges lot g
-for fold f sees neither (and is the same for fold g and lot f).  Rows are read in place: a
-pass multiplies a batch of rows with the coefficients of all fits, so rows are never copied
-per fit and nothing but sums, brackets and a few values per fit is moved.
+for fold f sees neither (and is the same for fold g and lot f).  Rows are read in place, never
+copied per fit, and nothing but sums, brackets and a few values per fit is moved.  The fits of a
+parameter hardly differ, so a row's residuals in all of them lie in a short interval: only rows
+whose interval meets what a pass looks for are taken fit by fit, the others are counted by lot.
 
 The robust scale of a fit is an exact median: a bracket that holds it is narrowed by counts
 until few values are left inside.  From the second iteration on a median is sought around
@@ -17,7 +18,6 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +32,24 @@ from emberline.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this module
 
 CELLS = 1_000_000  # rows times fits held at once in a task
-STEPS = 64
+STEPS, STEPS_OF_FEW = 64, 4096  # of a bracket, of up to FEW fits
+FEW = 8
 LEFT = 64  # values of a bracket that are sorted
 _SUMS = 9
+BLOCK = 65_536  # rows in a row of the blocks table
+PART = 400_000  # rows read by a task, about
 
 
 @dataclass
 class Design:
-    """Numbered rows (p, lot, x0, x1, y), equal ones once with their number m, and what the numbers stand for."""
+    """Numbered rows (p, lot, x0, x1, y), equal ones once with their number m, and what the numbers stand for.
+
+    blocks: the rows by parameter, columns as bytes; total: rows per parameter.
+    """
 
     rows: DataFrame
+    blocks: DataFrame
+    total: np.ndarray
     parameters: list[str]
     lots: list[str]
 
@@ -64,53 +72,187 @@ def design(tri: DataFrame, x0: str = "u0", x1: str = "u24", y: str = "u168") ->
     named = [spark.createDataFrame(list(enumerate(names)), f"{n} int, {c} string") for names, n, c in ((parameters, "p", "parameter_name"), (lots, "lot", "lot_id"))]
     rows = tri.join(F.broadcast(named[0]), "parameter_name").join(named[1], "lot_id")
     rows = rows.groupBy("p", "lot", "x0", "x1", "y").agg(F.count(F.lit(1)).alias("m"))
-    return Design(cut(rows), parameters, lots)
+    rows = cut(rows)
+    count, cores = rows.count(), spark.sparkContext.defaultParallelism
+    parts = cores * -(-count // (PART * cores)) if count > PART else -(-count // (PART // cores))
+    total = np.zeros(len(parameters), np.int64)
+    for r in rows.groupBy("p").agg(F.sum("m").alias("m")).collect():
+        total[r.p] = r.m
+    blocks = rows.repartition(max(1, parts)).sortWithinPartitions("p").mapInArrow(_pack, _BLOCK_DDL)
+    return Design(rows, cut(blocks), total, parameters, lots)
+
+
+_BLOCK = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("lot", "x0", "x1", "y", "m"))])
+_BLOCK_DDL = "p int, lot binary, x0 binary, x1 binary, y binary, m binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by parameter, some ten thousand of one parameter as one row."""
+
+    def block(p: int, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return _emit(_BLOCK, [p], *([np.concatenate(column).tobytes()] for column in zip(*parts)))
+
+    key, parts, held = None, [], 0
+    for batch in batches:
+        p, *columns = (c.to_numpy() for c in batch.columns)
+        ends = np.append(np.flatnonzero(p[1:] != p[:-1]) + 1, len(p))
+        at = 0
+        for end in ends if len(p) else ():
+            if parts and (p[at] != key or held >= BLOCK):
+                yield block(key, parts)
+                parts, held = [], 0
+            key = int(p[at])
+            parts.append([c[at:end] for c in columns])
+            held, at = held + end - at, end
+    if parts:
+        yield block(key, parts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for p, lot, x0, x1, y, m in zip(*(c.to_pylist() for c in batch.columns)):
+            x0, x1, y = (np.frombuffer(c) for c in (x0, x1, y))
+            yield p, np.frombuffer(lot, np.int32), np.stack([np.ones(len(y)), x0, x1], 1), y, np.frombuffer(m, np.int64)
+
+
+def _some(width: int, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """A few rows at a time, so that rows times fits stay within CELLS."""
+    most = max(1, CELLS // max(1, width))
+    for i in range(0, len(columns[0]), most):
+        yield tuple(c[i : i + most] for c in columns)
 
 
 Residuals = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def fit_residuals(p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray, coef: np.ndarray, without: np.ndarray) -> np.ndarray:
+def _reach(coef: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the forecast of the mean fit, and how far that of any fit may lie from it, rounding included."""
+    coef = coef[np.isfinite(coef).all(1)]
+    if not len(coef):
+        return np.zeros(len(x)), np.full(len(x), np.inf)
+    middle = coef.mean(0)
+    along = np.linalg.svd(coef - middle, full_matrices=False)[2]
+    apart = np.abs(x @ along.T) @ np.abs((coef - middle) @ along.T).max(0)
+    return x @ middle, apart * (1 + 1e-9) + 1e-12 * (np.abs(x) @ np.abs(coef).max(0))
+
+
+@dataclass
+class FitResiduals:
     """Residual of every row (down) in every fit (across), NaN for lots the fit does not see."""
-    r = y[:, None] - x @ coef[p].T
-    r[(lot[:, None] == without[:, 0]) | (lot[:, None] == without[:, 1])] = np.nan
-    return r
 
+    coef: np.ndarray
+    without: np.ndarray
+    lots: int
 
-def nested_residuals(p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray, coef: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Residual of every row in the model that sees neither its lot nor the fold's; NaN for rows of the fold."""
-    own = coef[p][at[lot]]  # rows x folds x coefficients
-    r = y[:, None] - np.einsum("mfc,mc->mf", own, x)
-    r[np.arange(len(lot)), lot] = np.nan
-    return r
+    def __call__(self, p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        c = self.coef[p]
+        r = y[:, None] - (c[:, 0] + x[:, 1, None] * c[:, 1] + x[:, 2, None] * c[:, 2])
+        r[~self.seen[lot]] = np.nan
+        return r
 
+    @property
+    def seen(self) -> np.ndarray:
+        """Lots (down) that a fit (across) sees."""
+        lot = np.arange(self.lots)[:, None]
+        return (lot != self.without[:, 0]) & (lot != self.without[:, 1])
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    most = max(1, CELLS // max(1, width))
-    for batch in batches:
-        p, lot, x0, x1, y, m = (c.to_numpy() for c in batch.columns)
-        for q in np.unique(p):
-            at = np.flatnonzero(p == q)
-            for i in range(0, len(at), most):
-                some = at[i : i + most]
-                yield int(q), lot[some], np.stack([np.ones(len(some)), x0[some], x1[some]], 1), y[some], m[some]
+    def bounds(self, p: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An interval per row that holds its value in every fit."""
+        f, apart = _reach(self.coef[p], x)
+        apart = apart + 1e-12 * np.abs(y)
+        return y - f - apart, y - f + apart
+
+
+@dataclass
+class NestedResiduals:
+    """Residual of every row in the model that sees neither its lot nor the fold's (across); NaN for rows of the fold."""
+
+    coef: np.ndarray
+    at: np.ndarray
+
+    def __call__(self, p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = self.coef[p][self.at[lot]]  # rows x folds x coefficients
+        r = y[:, None] - (own[..., 0] + x[:, 1, None] * own[..., 1] + x[:, 2, None] * own[..., 2])
+        r[np.arange(len(lot)), lot] = np.nan
+        return r
+
+    @property
+    def seen(self) -> np.ndarray:
+        return ~np.eye(len(self.at), dtype=bool)
+
+    bounds = FitResiduals.bounds
+
+
+@dataclass
+class Distances:
+    """Distance of the residuals from a centre per fit."""
+
+    residuals: FitResiduals | NestedResiduals
+    centre: np.ndarray
+
+    def __call__(self, p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.abs(self.residuals(p, lot, x, y) - self.centre[p])
+
+    @property
+    def seen(self) -> np.ndarray:
+        return self.residuals.seen
+
+    def bounds(self, p: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = self.residuals.bounds(p, x, y)
+        centre = self.centre[p][np.isfinite(self.centre[p])]
+        if not len(centre):
+            return np.zeros(len(x)), np.full(len(x), np.inf)
+        low, high = low - centre.max(), high - centre.min()
+        return np.maximum(0.0, np.maximum(low, -high)), np.maximum(high, -low)
+
+
+@dataclass
+class Common:
+    """One value per row for all fits of a parameter, the middle of its interval, in four columns."""
+
+    values: FitResiduals | NestedResiduals | Distances
+
+    def __call__(self, p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = self.values.bounds(p, x, y)
+        return np.stack([(low + high) / 2] * 4, 1)
+
+
+def _asked(values: Residuals, p: int, lot: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray | int]:
+    """Rows that may be inside the bracket of a fit, and per fit the number of all others below."""
+    if not hasattr(values, "bounds"):
+        return np.arange(len(lot)), 0
+    least, most = values.bounds(p, x, y)
+    under = most < low.min()
+    seen = values.seen
+    below = np.bincount(lot[under], m[under], len(seen)) @ seen
+    return np.flatnonzero(~under & (least <= high.max())), below.astype(np.int64)
 
 
 def _emit(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _weigher(residuals: Residuals, delta: np.ndarray | None, shape: tuple[int, int], schema: pa.Schema):
+def _weigher(residuals: FitResiduals, delta: np.ndarray | None, shape: tuple[int, int], schema: pa.Schema):
     """Per split, parameter and fit the nine sums of rows weighted 1, or delta / |r| beyond delta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((*shape, _SUMS))
-        for p, lot, x, y, m in _blocks(batches, shape[1]):
-            r = np.abs(residuals(p, lot, x, y))
-            seen = ~np.isnan(r)
-            w = seen.astype(float) if delta is None else np.where(seen, np.where(r <= delta[p], 1.0, delta[p] / np.maximum(r, 1e-12)), 0.0)
+        total, seen = np.zeros((*shape, _SUMS)), residuals.seen
+        for p, lot, x, y, m in _blocks(batches):
             a, b = x[:, 1], x[:, 2]
-            total[p] += (w * m[:, None]).T @ np.stack([x[:, 0], a, b, y, a * a, a * b, b * b, a * y, b * y], 1)
+            terms = np.stack([x[:, 0], a, b, y, a * a, a * b, b * b, a * y, b * y], 1) * m[:, None]
+            plain = np.ones(len(y), bool)
+            if delta is not None:
+                known = delta[p][np.isfinite(delta[p])]
+                if not len(known):
+                    continue
+                low, high = residuals.bounds(p, x, y)
+                plain = np.maximum(high, -low) <= known.min()  # weighted 1 in every fit
+            per = np.stack([np.bincount(lot[plain], terms[plain, i], len(seen)) for i in range(_SUMS)], 1)
+            total[p] += seen.T @ per
+            for lot_, x_, y_, terms_ in _some(shape[1], lot[~plain], x[~plain], y[~plain], terms[~plain]):
+                r = np.abs(residuals(p, lot_, x_, y_))
+                w = np.where(np.isnan(r), 0.0, np.where(r <= delta[p], 1.0, delta[p] / np.maximum(r, 1e-12)))
+                total[p] += w.T @ terms_
         p, fit = np.nonzero(total[:, :, 0])
         yield _emit(schema, p, fit, *total[p, fit].T)
 
@@ -120,35 +262,46 @@ def _weigher(residuals: Residuals, delta: np.ndarray | None, shape: tuple[int, i
 def _spanner(values: Residuals, shape: tuple[int, int], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, n = np.full(shape, np.inf), np.full(shape, -np.inf), np.zeros(shape, np.int64)
-        for p, lot, x, y, m in _blocks(batches, shape[1]):
-            v = values(p, lot, x, y)
-            seen = ~np.isnan(v)
-            low[p] = np.minimum(low[p], np.where(seen, v, np.inf).min(0))
-            high[p] = np.maximum(high[p], np.where(seen, v, -np.inf).max(0))
-            n[p] += m @ seen
+        for p, *columns in _blocks(batches):
+            for lot, x, y, m in _some(shape[1], *columns):
+                v = values(p, lot, x, y)
+                seen = ~np.isnan(v)
+                low[p] = np.minimum(low[p], np.where(seen, v, np.inf).min(0))
+                high[p] = np.maximum(high[p], np.where(seen, v, -np.inf).max(0))
+                n[p] += m @ seen
         p, fit = np.nonzero(n)
         yield _emit(schema, p, fit, np.zeros(len(p)), n[p, fit], low[p, fit], high[p, fit], n[p, fit])
 
     return run
 
 
+def _steps(low: np.ndarray) -> int:
+    return STEPS_OF_FEW if low.shape[1] <= FEW else STEPS
+
+
 def _counter(values: Residuals, low: np.ndarray, high: np.ndarray, schema: pa.Schema):
     """Per split, parameter, fit and step of the bracket: rows, least and largest value, distinct rows; step -1 is below the bracket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = (*low.shape, STEPS + 1)
+        steps = _steps(low)
+        shape = (*low.shape, steps + 1)
         n, d, least, most = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
-        for p, lot, x, y, m in _blocks(batches, low.shape[1]):
-            v = values(p, lot, x, y)
-            row, fit = np.nonzero(v <= high[p])
-            v = v[row, fit]
-            part = (v - low[p, fit]) / (high[p, fit] - low[p, fit]) * STEPS
-            step = np.where(v < low[p, fit], 0, 1 + np.clip(part, 0, STEPS - 1).astype(np.int64))
-            cell = fit * (STEPS + 1) + step
-            n[p] += np.bincount(cell, m[row], minlength=n[p].size).reshape(n[p].shape).astype(np.int64)
-            d[p] += np.bincount(cell, minlength=n[p].size).reshape(n[p].shape)
-            np.minimum.at(least[p].reshape(-1), cell, v)
-            np.maximum.at(most[p].reshape(-1), cell, v)
+        for p, *columns in _blocks(batches):
+            if not np.isfinite(low[p]).any():
+                continue
+            near, below = _asked(values, p, *columns, low[p], high[p])
+            n[p, :, 0] += below
+            for lot, x, y, m in _some(low.shape[1], *(c[near] for c in columns)):
+                v = values(p, lot, x, y)
+                row, fit = np.nonzero(v <= high[p])
+                v = v[row, fit]
+                part = (v - low[p, fit]) / (high[p, fit] - low[p, fit]) * steps
+                step = np.where(v < low[p, fit], 0, 1 + np.clip(part, 0, steps - 1).astype(np.int64))
+                cell = fit * (steps + 1) + step
+                n[p] += np.bincount(cell, m[row], minlength=n[p].size).reshape(n[p].shape).astype(np.int64)
+                d[p] += np.bincount(cell, minlength=n[p].size).reshape(n[p].shape)
+                np.minimum.at(least[p].reshape(-1), cell, v)
+                np.maximum.at(most[p].reshape(-1), cell, v)
         p, fit, step = np.nonzero(n)
         yield _emit(schema, p, fit, step - 1, n[p, fit, step], least[p, fit, step], most[p, fit, step], d[p, fit, step])
 
@@ -160,14 +313,19 @@ def _taker(values: Residuals, low: np.ndarray, high: np.ndarray, schema: pa.Sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = np.zeros(low.shape, np.int64)
-        for p, lot, x, y, m in _blocks(batches, low.shape[1]):
-            v = values(p, lot, x, y)
-            below[p] += m @ (v < low[p])
-            row, fit = np.nonzero((v >= low[p]) & (v <= high[p]))
-            if len(row):
-                pairs, which = np.unique(np.stack([fit.astype(float), v[row, fit]], 1), axis=0, return_inverse=True)
-                n = np.bincount(which.reshape(-1), m[row]).astype(np.int64)
-                yield _emit(schema, np.full(len(n), p), pairs[:, 0].astype(np.int32), pairs[:, 1], n)
+        for p, *columns in _blocks(batches):
+            if not np.isfinite(low[p]).any():
+                continue
+            near, under = _asked(values, p, *columns, low[p], high[p])
+            below[p] += under
+            for lot, x, y, m in _some(low.shape[1], *(c[near] for c in columns)):
+                v = values(p, lot, x, y)
+                below[p] += m @ (v < low[p])
+                row, fit = np.nonzero((v >= low[p]) & (v <= high[p]))
+                if len(row):
+                    pairs, which = np.unique(np.stack([fit.astype(float), v[row, fit]], 1), axis=0, return_inverse=True)
+                    n = np.bincount(which.reshape(-1), m[row]).astype(np.int64)
+                    yield _emit(schema, np.full(len(n), p), pairs[:, 0].astype(np.int32), pairs[:, 1], n)
         p, fit = np.nonzero(below)
         yield _emit(schema, p, fit, [None] * len(p), below[p, fit])
 
@@ -189,8 +347,8 @@ def _table(df: DataFrame) -> list[np.ndarray]:
     return [found.column(c).to_numpy() for c in found.column_names]
 
 
-def _sums(d: Design, residuals: Residuals, delta: np.ndarray | None, shape: tuple[int, int]) -> np.ndarray:
-    found = d.rows.mapInArrow(_weigher(residuals, delta, shape, _SUM), _DDL["sum"]).groupBy("p", "fit").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(_SUMS)))
+def _sums(d: Design, residuals: FitResiduals, delta: np.ndarray | None, shape: tuple[int, int]) -> np.ndarray:
+    found = d.blocks.mapInArrow(_weigher(residuals, delta, shape, _SUM), _DDL["sum"]).groupBy("p", "fit").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(_SUMS)))
     p, fit, *s = _table(found)
     out = np.zeros((*shape, _SUMS))
     out[p, fit] = np.stack(s, 1) if len(p) else 0
@@ -209,15 +367,19 @@ def _solve(s: np.ndarray, lam: float) -> np.ndarray:
 
 @dataclass
 class Median:
-    """Middle values per (parameter, fit), with the bracket they were last found in."""
+    """Middle values per (parameter, fit), with the half width of a bracket that holds few values, and of one to look in next."""
 
     value: np.ndarray
     width: np.ndarray
+    reach: np.ndarray
 
 
-def _medians(d: Design, values: Residuals, n: np.ndarray, guess: Median | None = None) -> Median:
-    """Exact medians of the rows' values per parameter and fit; n: their counts, zero where no median is asked for."""
-    first, second = (n - 1) // 2, n // 2
+def _medians(d: Design, values: Residuals, n: np.ndarray, guess: Median | None = None, ranks: tuple[np.ndarray, np.ndarray] | None = None) -> Median:
+    """Exact medians of the rows' values per parameter and fit; n: their counts, zero where no median is asked for.
+
+    ranks: the two places in order, from 0, whose mean is taken instead of the middle ones.
+    """
+    first, second = ranks or ((n - 1) // 2, n // 2)
     low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
     found, width = np.full(n.shape, np.nan), np.zeros(n.shape)
     missing = n > 0
@@ -225,43 +387,81 @@ def _medians(d: Design, values: Residuals, n: np.ndarray, guess: Median | None =
         low = np.where(missing, guess.value - guess.width, np.inf)
         high = np.where(missing, guess.value + guess.width, -np.inf)
         missing &= ~_settle(d, values, low, high, first, second, found, width)
-    if not missing.any():
-        return Median(found, width)
-    cells = d.rows.mapInArrow(_spanner(values, n.shape, _CELL), _DDL["cell"]).groupBy("p", "fit").agg(F.min("low"), F.max("high"))
-    p, fit, lo, hi = _table(cells)
-    low[...], high[...] = np.inf, -np.inf
-    low[p, fit], high[p, fit] = lo, hi
-    low[~missing], high[~missing] = np.inf, -np.inf
-    inside, below = np.where(missing, n, 0), np.zeros(n.shape, np.int64)
+        look = missing & (guess.reach > guess.width)
+        if look.any():
+            low, high = np.where(look, guess.value - guess.reach, np.inf), np.where(look, guess.value + guess.reach, -np.inf)
+            missing &= ~_narrow(d, values, low, high, first, second, found, width)
+    reach = np.zeros(n.shape) if guess is None else guess.width.copy()
+    if missing.any() and hasattr(values, "bounds"):
+        for low, high in _around(d, values, n, missing):
+            low, high = np.where(missing, low, np.inf), np.where(missing, high, -np.inf)
+            if (low < high).any():
+                reach = np.where(low < high, (high - low) / 2, reach)
+                missing &= ~_narrow(d, values, low, high, first, second, found, width)
+    if missing.any():
+        cells = d.blocks.mapInArrow(_spanner(values, n.shape, _CELL), _DDL["cell"]).groupBy("p", "fit").agg(F.min("low"), F.max("high"))
+        p, fit, lo, hi = _table(cells)
+        low[...], high[...] = np.inf, -np.inf
+        low[p, fit], high[p, fit] = lo, hi
+        low[~missing], high[~missing] = np.inf, -np.inf
+        _narrow(d, values, low, high, first, second, found, width)
+    return Median(found, width, reach)
+
+
+def _around(d: Design, values: FitResiduals | NestedResiduals | Distances, n: np.ndarray, asked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Brackets around the median of one common value per row: as far as lots that are alike, and as any lots, may move it."""
+    total = np.where(asked.any(1), d.total, 0)
+    out = np.maximum(0, d.total - np.where(asked, n, d.total[:, None]).min(1))  # rows that a fit does not see
+    shares = [s for far in (3 * np.sqrt(out) + 32, out / 2 + 0.005 * d.total) for s in (-far, far)]
+    place = np.clip(np.stack([d.total / 2 + s for s in shares], 1), 0, np.maximum(0, d.total - 1)[:, None]).astype(np.int64)
+    at = _medians(d, Common(values), np.repeat(total[:, None], 4, 1), ranks=(place, place)).value
+    found = []
+    for lo, hi in (at[:, :2].T, at[:, 2:].T):
+        pad = 0.25 * (hi - lo)
+        good = asked & (pad > 0)[:, None]
+        found.append((np.where(good, (lo - pad)[:, None], np.inf), np.where(good, (hi + pad)[:, None], -np.inf)))
+    return found
+
+
+def _narrow(d: Design, values: Residuals, low: np.ndarray, high: np.ndarray, first: np.ndarray, second: np.ndarray, found: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Narrows brackets (low above high: none) by counts until few values are left inside and reads the medians off;
+    says where they were found, which is everywhere but where a bracket did not hold its middle ranks."""
+    low, high = low.copy(), high.copy()
+    done = low == high  # a single value
+    found[done] = low[done]
+    low[done], high[done] = np.inf, -np.inf
+    inside, steps = np.where(low < high, LEFT + 1, 0), _steps(low)
     while (wide := (inside > LEFT) & (low < high)).any():
-        cells = d.rows.mapInArrow(_counter(values, np.where(wide, low, np.inf), np.where(wide, high, -np.inf), _CELL), _DDL["cell"])
-        p, fit, step, count, lo, hi, several = _table(cells.where("step >= 0").groupBy("p", "fit", "step").agg(F.sum("n"), F.min("low"), F.max("high"), F.sum("d")))
-        grid, distinct = np.zeros((*n.shape, STEPS), np.int64), np.zeros((*n.shape, STEPS), np.int64)
+        cells = d.blocks.mapInArrow(_counter(values, np.where(wide, low, np.inf), np.where(wide, high, -np.inf), _CELL), _DDL["cell"])
+        p, fit, step, count, lo, hi, several = _table(cells.groupBy("p", "fit", "step").agg(F.sum("n"), F.min("low"), F.max("high"), F.sum("d")))
+        grid, distinct = np.zeros((*low.shape, steps + 1), np.int64), np.zeros((*low.shape, steps + 1), np.int64)
         lows, highs = np.full(grid.shape, np.inf), np.full(grid.shape, -np.inf)
-        grid[p, fit, step], lows[p, fit, step], highs[p, fit, step], distinct[p, fit, step] = count, lo, hi, several
+        grid[p, fit, step + 1], lows[p, fit, step + 1], highs[p, fit, step + 1], distinct[p, fit, step + 1] = count, lo, hi, several
         upto = grid.cumsum(-1)
         for q, f in zip(*np.nonzero(wide)):
-            a, b = (int(np.searchsorted(upto[q, f], k[q, f] - below[q, f], side="right")) for k in (first, second))
-            if a != b:  # neighbours in order: the last value of one step and the first of the other
+            a, b = (int(np.searchsorted(upto[q, f], k[q, f], side="right")) for k in (first, second))
+            if a == 0 or b > steps:
+                low[q, f], high[q, f], inside[q, f] = np.inf, -np.inf, 0
+            elif a != b:  # neighbours in order: the last value of one step and the first of the other
                 lower, upper = highs[q, f, a], lows[q, f, b]
                 found[q, f] = (lower + upper) / 2
                 width[q, f] = max(2 * (upper - lower), abs(found[q, f]) * 1e-9, 1e-12)
-                missing[q, f], low[q, f], high[q, f], inside[q, f] = False, np.inf, -np.inf, 0
-                continue
-            low[q, f], high[q, f] = lows[q, f, a], highs[q, f, a]
-            inside[q, f] = distinct[q, f, a]
-            below[q, f] += upto[q, f, a] - grid[q, f, a]
-    one = missing & (low == high)
+                done[q, f], low[q, f], high[q, f], inside[q, f] = True, np.inf, -np.inf, 0
+            else:
+                low[q, f], high[q, f] = lows[q, f, a], highs[q, f, a]
+                inside[q, f] = distinct[q, f, a]
+    one = low == high
     found[one] = low[one]
-    rest = missing & ~one
+    done |= one
+    rest = low < high
     if rest.any():
-        _settle(d, values, np.where(rest, low, np.inf), np.where(rest, high, -np.inf), first, second, found, width)
-    return Median(found, width)
+        done |= _settle(d, values, np.where(rest, low, np.inf), np.where(rest, high, -np.inf), first, second, found, width)
+    return done
 
 
 def _settle(d: Design, values: Residuals, low: np.ndarray, high: np.ndarray, first: np.ndarray, second: np.ndarray, found: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Reads the medians off the values inside the brackets; says where both middle ranks lay inside."""
-    p, fit, value, n = _table(d.rows.mapInArrow(_taker(values, low, high, _VALUE), _DDL["value"]).groupBy("p", "fit", "value").agg(F.sum("n")))
+    p, fit, value, n = _table(d.blocks.mapInArrow(_taker(values, low, high, _VALUE), _DDL["value"]).groupBy("p", "fit", "value").agg(F.sum("n")))
     order = np.lexsort((np.nan_to_num(value, nan=-np.inf), fit, p))  # null, the rows below, comes first
     p, fit, value, n = p[order], fit[order], value[order].astype(float), n[order]
     done = np.zeros(low.shape, bool)
@@ -279,14 +479,10 @@ def _settle(d: Design, values: Residuals, low: np.ndarray, high: np.ndarray, fir
     return done
 
 
-def _absolute(p, lot, x, y, residuals: Residuals, centre: np.ndarray) -> np.ndarray:
-    return np.abs(residuals(p, lot, x, y) - centre[p])
-
-
-def _scale(d: Design, residuals: Residuals, n: np.ndarray, floors: np.ndarray, guess: tuple[Median, Median] | None = None) -> tuple[np.ndarray, tuple[Median, Median]]:
+def _scale(d: Design, residuals: FitResiduals | NestedResiduals, n: np.ndarray, floors: np.ndarray, guess: tuple[Median, Median] | None = None) -> tuple[np.ndarray, tuple[Median, Median]]:
     """max(1.4826 MAD, floor) of the residuals per parameter and fit."""
     middle = _medians(d, residuals, n, guess and guess[0])
-    spread = _medians(d, partial(_absolute, residuals=residuals, centre=middle.value), n, guess and guess[1])
+    spread = _medians(d, Distances(residuals, middle.value), n, guess and guess[1])
     return np.maximum(MAD_SCALE * spread.value, floors[:, None]), (middle, spread)
 
 
@@ -307,7 +503,7 @@ class Fits:
 def ridge_fits(d: Design, without: np.ndarray, lam: float = 1.0) -> tuple[Fits, np.ndarray]:
     """Ridge of every fit, and the rows it sees."""
     shape = (len(d.parameters), len(without))
-    s = _sums(d, partial(fit_residuals, coef=np.zeros((*shape, 3)), without=without), None, shape)
+    s = _sums(d, FitResiduals(np.zeros((*shape, 3)), without, len(d.lots)), None, shape)
     return Fits(_solve(s, lam), np.zeros(shape, int), np.ones(shape, bool)), s[..., 0].astype(np.int64)
 
 
@@ -321,13 +517,14 @@ def huber_fits(d: Design, without: np.ndarray, lam: float = 1.0, scale: float =
         if not moving.any():
             break
         at = np.flatnonzero(moving.any(0))  # fits that move in any parameter
-        residuals = partial(fit_residuals, coef=coef[:, at], without=without[at])
-        near = guess and tuple(Median(m.value[:, at], m.width[:, at]) for m in guess)
+        residuals = FitResiduals(coef[:, at], without[at], len(d.lots))
+        near = guess and tuple(Median(m.value[:, at], m.width[:, at], m.reach[:, at]) for m in guess)
         sigma, (middle, spread) = _scale(d, residuals, np.where(moving[:, at], n[:, at], 0), floors, near)
         if guess is None:
-            guess = tuple(Median(np.full(n.shape, np.nan), np.zeros(n.shape)) for _ in range(2))
+            guess = tuple(Median(np.full(n.shape, np.nan), np.zeros(n.shape), np.zeros(n.shape)) for _ in range(2))
         for kept, new in zip(guess, (middle, spread)):
-            kept.value[:, at], kept.width[:, at] = new.value, new.width
+            moved = np.nan_to_num(np.abs(new.value - kept.value[:, at]))
+            kept.value[:, at], kept.width[:, at], kept.reach[:, at] = new.value, new.width, np.maximum(2 * moved, new.reach)
         new = _solve(_sums(d, residuals, scale * sigma, (len(coef), len(at))), lam)
         go = moving[:, at]
         moved = np.abs(new - coef[:, at]).max(-1)
@@ -344,7 +541,7 @@ def nested_sigma(d: Design, pairs: Fits, n: np.ndarray, reg: Registry = REGISTRY
     for i, (a, b) in enumerate(d.pairs):
         at[a, b] = at[b, a] = i
     floors = _floors(d, reg)
-    return _scale(d, partial(nested_residuals, coef=pairs.coef, at=at), n, floors)[0]
+    return _scale(d, NestedResiduals(pairs.coef, at), n, floors)[0]
 
 
 def held_out_coefficients(d: Design, model: str, nested: bool = True, lam: float = 1.0, reg: Registry = REGISTRY) -> DataFrame:
