@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.components import connected_components
@@ -262,6 +262,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_bytes: int = SHA
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).drop("__h", "id", "h")
 
 
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that a repartition into n by their column puts into partition 0, 1, ..., so that no two share one."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    found = dict(spark.range(0, 64 * n, 1, 1).groupBy(at.alias("at")).agg(F.min("id")).collect())
+    return [found.get(i, i) for i in range(n)]
+
+
+def _dealt(df: DataFrame, place: Column, n: int) -> DataFrame:
+    """``df`` in n partitions by the number ``place``, which stands for its key in the new column deal."""
+    return df.withColumn("deal", F.element_at(F.lit(_keys(df.sparkSession, n)), place.cast("int") + 1).cast("long")).repartition(n, "deal")
+
+
 def _search(classes: DataFrame, least: float, shard_bytes: int, audit_rows: int, audit_recall: float) -> tuple[DataFrame, DataFrame]:
     """(cls, links) of the linked classes, and edges (x, y) between classes."""
     spark = classes.sparkSession
@@ -270,14 +282,18 @@ def _search(classes: DataFrame, least: float, shard_bytes: int, audit_rows: int,
     size, rows = classes.agg(F.sum(F.length("vec")), F.count("*")).first()
     shards = max(MIN_SHARDS, -(-size // shard_bytes))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int"))
-    graphs = cut(dealt.select("dim", "shard", "cls", "copies", "vec").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, names string, copies binary, raw binary, layers array<binary>"))
+    own = _dealt(dealt.select("dim", "shard", "cls", "copies", "vec"), F.col("shard"), shards)  # a shard a task
+    graphs = cut(own.groupBy("dim", "shard", "deal").applyInPandas(_build, "dim int, shard int, names string, copies binary, raw binary, layers array<binary>"))
 
-    def search(asked: DataFrame, task) -> DataFrame:
-        """Every vector asked for in every shard: its queries stream past a graph that is sent once."""
+    def search(asked: DataFrame, task, parts: int = 1) -> DataFrame:
+        """Every vector asked for in every shard: its queries, in so many parts, stream past a graph that is sent once to each."""
         every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-        graph = graphs.select("dim", "shard", F.lit(None).cast("string").alias("cls"), F.lit(None).cast("binary").alias("vec"), "names", "copies", "raw", "layers")
-        queries = asked.select("dim", every, "cls", "vec", *(F.lit(None).cast(graph.schema[c].dataType).alias(c) for c in ("names", "copies", "raw", "layers")))
-        both = graph.unionAll(queries).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("cls").isNotNull())
+        sent = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        graph = graphs.select("dim", "shard", sent, F.lit(None).cast("string").alias("cls"), F.lit(None).cast("binary").alias("vec"), "names", "copies", "raw", "layers")
+        part = F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(parts)).cast("int").alias("part")
+        queries = asked.select("dim", every, part, "cls", "vec", *(F.lit(None).cast(graph.schema[c].dataType).alias(c) for c in ("names", "copies", "raw", "layers")))
+        both = _dealt(graph.unionAll(queries), F.col("shard") * parts + F.col("part"), shards * parts)
+        both = both.sortWithinPartitions("deal", "dim", "shard", F.col("cls").isNotNull()).drop("deal", "part")
         return both.mapInArrow(task, "cls string, links long, to string")
 
     audited = cut(classes.orderBy(F.xxhash64("cls", F.lit(1))).limit(audit_rows).select("cls", "dim", "vec"))
@@ -295,5 +311,6 @@ def _search(classes: DataFrame, least: float, shard_bytes: int, audit_rows: int,
         if min(planted, linked) >= audit_recall:
             break
         width *= 2
-    found = cut(search(classes, _searcher(least, width)))
+    parts = max(1, -(-spark.sparkContext.defaultParallelism // shards))  # all cores have work where shards are few
+    found = cut(search(classes, _searcher(least, width), parts))
     return found.where("links > 0").groupBy("cls").agg(F.sum("links").alias("links")), found.where("to is not null").select(F.col("cls").alias("x"), F.col("to").alias("y"))
